@@ -1,0 +1,16 @@
+"""Queries over the engine's own operators, each with the SQL that gives the same rows."""
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+
+def _timeline_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.where("event_type = 'click'").orderBy(F.desc("ts"), "event_id").limit(100).select("event_id", "ts")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"timeline_filter": _timeline_filter}
+ORACLE_SQL: dict[str, str] = {
+    "timeline_filter": "SELECT event_id, ts FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 100"
+}
