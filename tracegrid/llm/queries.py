@@ -5,7 +5,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op01_token_lengths import token_lengths
+from .op02_toxicity import toxicity
+from .op03_minhash import near_duplicates
+from .op04_vector_forest import near_vectors
+from .op05_licenses import scan_licenses
 from .op06_bpe import encode_digests
+from .op08_wrappers import extract
+from .op09_media import described, to_media
 from .op10_packing import pack
 
 
@@ -17,16 +23,40 @@ def op1_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_minhash_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op5_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op9_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return described(to_media(table(spark, sf_dir, "documents")))
+
+
 def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_lengths, op6_bpe_tree, op10_pattern_packing)
+    f.__name__: f for f in (op1_token_lengths, op2_toxicity_chain, op3_minhash_stars, op4_vector_forest, op5_license_templates, op6_bpe_tree, op8_html_wrappers, op9_avi_media, op10_pattern_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
