@@ -18,7 +18,7 @@ import regex
 import tiktoken
 
 DEFAULT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-LEAF_CHARS = 16_384
+LEAF_CHARS = 16_000
 #: No pattern that splits text looks farther ahead than this many characters after a match.
 LOOK_AHEAD = 3
 

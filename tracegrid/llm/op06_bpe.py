@@ -46,6 +46,9 @@ def _run(docs: DataFrame, path: str, leaf_chars: int, finish, schema: str) -> Da
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     names = [x.split()[0] for x in schema.split(", ")]
     is_long = F.length("text") > leaf_chars
+    # a piece has at most four tokens a character
+    step_kind = "<u2" if 4 * leaf_chars < 1 << 16 else "<u4"
+    id_kind = lambda code: "<u2" if code.encoding.n_vocab <= 1 << 16 else "<u4"
 
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = codec(path)
@@ -69,8 +72,12 @@ def _run(docs: DataFrame, path: str, leaf_chars: int, finish, schema: str) -> Da
         code = codec(path)
         for batch in batches:
             nodes = [code.leaf(x) if not s else None for x, s in zip(batch["leaf"], batch["special"], strict=True)]
-            pack = lambda name: [b"" if n is None else getattr(n, name).astype("<u4").tobytes() for n in nodes]
-            yield batch.assign(starts=pack("starts"), first=pack("first"), ids=pack("ids"))
+            steps = lambda x, end: np.diff(x, append=end).astype(step_kind).tobytes()
+            yield batch.assign(
+                chars=[b"" if n is None else steps(n.starts, len(n.text)) for n in nodes],
+                tokens=[b"" if n is None else steps(n.first, len(n.ids)) for n in nodes],
+                ids=[b"" if n is None else n.ids.astype(id_kind(code)).tobytes() for n in nodes],
+            )
 
     def join_leaves(group: pd.DataFrame) -> pd.DataFrame:
         from .bpe import Node
@@ -78,13 +85,17 @@ def _run(docs: DataFrame, path: str, leaf_chars: int, finish, schema: str) -> Da
         code, out, runs = codec(path), [], {}
         for r in group.sort_values("at").itertuples():
             runs.setdefault(r.run, []).append(r)
-        unpack = lambda b, kind: np.frombuffer(b, "<u4").astype(kind)
+
+        def firsts(steps: bytes) -> np.ndarray:
+            x = np.frombuffer(steps, step_kind).astype(np.int64)
+            return np.cumsum(x) - x
+
         for parts in runs.values():
             if parts[0].special:
                 out.append(np.array([code.special[parts[0].leaf]], np.uint32))
             else:
                 nodes = [
-                    Node(p.leaf, unpack(p.starts, np.int64), unpack(p.first, np.int64), unpack(p.ids, np.uint32))
+                    Node(p.leaf, firsts(p.chars), firsts(p.tokens), np.frombuffer(p.ids, id_kind(code)).astype(np.uint32))
                     for p in parts
                 ]
                 out.append(code.join_all(nodes).ids)
@@ -100,7 +111,7 @@ def _run(docs: DataFrame, path: str, leaf_chars: int, finish, schema: str) -> Da
         .dropDuplicates(["key", "at"])
         .mapInPandas(
             encode_leaves,
-            "key string, at int, run int, special boolean, leaf string, starts binary, first binary, ids binary",
+            "key string, at int, run int, special boolean, leaf string, chars binary, tokens binary, ids binary",
         )
     )
     joined = scratch.put(leaf_rows.groupBy("key").applyInPandas(join_leaves, "key string, " + schema))
