@@ -15,7 +15,7 @@ from .scratch import Scratch
 
 #: Lengths in a bucket of the suffix sums. Buckets are summed first, so no window has more
 #: rows than this or than the longest document's length divided by this.
-BUCKET = 4096
+BUCKET = 256
 
 
 def lengths(docs: DataFrame, path: str = DEFAULT_VOCABULARY) -> DataFrame:

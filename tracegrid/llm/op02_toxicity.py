@@ -20,14 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 #: Bounds of the fit: labelled rows, hash range of words, words with a weight in each model.
-TRAIN_ROWS, HASH_BITS, WORDS_EACH = 6000, 22, 400
+TRAIN_ROWS, HASH_BITS, WORDS_EACH = 6000, 22, 256
 #: A feature needs this chi-square, which chance alone stays below among some ten thousands of
 #: them, and this share of the largest one, which the odd words of a family of copies do not have.
 LEAST_CHI_SQUARE, LEAST_SHARE = 25.0, 0.04
 #: Beginnings of words that are features besides whole words, as inflected words share them.
 STEMS = (4, 5)
-FOLDS, ROUNDS, DECAY = 4, 150, 1e-3
-THRESHOLD = 0.5
+FOLDS, ROUNDS, DECAY = 4, 150, 1e-4
+THRESHOLD = 0.3
 
 #: The chain, each category as a condition on the columns of ``labels``.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_low_quality": "toxic = 1 AND quality = 0"}
@@ -110,7 +110,12 @@ def fit_linear(x: Sparse, earlier: np.ndarray, y: np.ndarray) -> Linear:
     dense[row[used], place[index][used]] = 1
     dense[:, len(chosen) : -1] = earlier
     dense[:, -1] = 1
-    bound = 0.25 * np.linalg.norm(dense, 2) ** 2 / max(n, 1) + DECAY
+    probe = np.ones(dense.shape[1])
+    for _ in range(15):  # the largest eigenvalue, for the step
+        probe = dense.T @ (dense @ probe)
+        scale = np.linalg.norm(probe) + 1e-12
+        probe /= scale
+    bound = 0.25 * 1.05 * scale / max(n, 1) + DECAY
     w = v = np.zeros(dense.shape[1])
     decay = np.append(np.full(len(w) - 1, DECAY), 0.0)
     t = 1.0

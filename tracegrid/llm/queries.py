@@ -10,6 +10,7 @@ from .op03_minhash import near_duplicates
 from .op04_vector_forest import near_vectors
 from .op05_licenses import scan_licenses
 from .op06_bpe import encode_digests
+from .op07_lines import dedup_lines
 from .op08_wrappers import extract
 from .op09_media import described, to_media
 from .op10_packing import pack
@@ -43,6 +44,10 @@ def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op8_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -56,7 +61,7 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_lengths, op2_toxicity_chain, op3_minhash_stars, op4_vector_forest, op5_license_templates, op6_bpe_tree, op8_html_wrappers, op9_avi_media, op10_pattern_packing)
+    f.__name__: f for f in (op1_token_lengths, op2_toxicity_chain, op3_minhash_stars, op4_vector_forest, op5_license_templates, op6_bpe_tree, op7_line_minhash, op8_html_wrappers, op9_avi_media, op10_pattern_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
