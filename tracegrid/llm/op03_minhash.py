@@ -7,11 +7,8 @@ signature are buckets. A bucket links all its members to one center, so a bucket
 gives m - 1 candidates. The center is the member that shares most buckets, which in a family of
 near copies is the text that they derive from.
 
-A star can miss a link between two members that are both too far from the center. After the
-stars are verified and joined, buckets whose members are all in one component are finished.
-The rest get a second star around a member of another component; what still spans components
-is compared in pairs across components, filtered by size and by the signatures' agreement.
-Every link is confirmed on full sets.
+A star can miss a link between two members that are both too far from the center; ``stars``
+tells how those are found without comparing all pairs. Every link is confirmed on full sets.
 
 A pair at a similarity of exactly 0.8 shares none of the 32 bands with a chance of 6e-5.
 """
@@ -23,16 +20,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .components import components
 from .scratch import Scratch
 from .shingles import mix, overlap, shingle_set
+from .stars import linked_components
 
 BINS, BAND_ROWS = 192, 6
-#: Agreement of signatures below which a pair is not compared on full sets. At a similarity of
-#: 0.8 the agreement has mean 0.8 and deviation 0.03, so this is seven deviations away.
-AGREEMENT = 0.6
-
-SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, signature binary"
+SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>"
 
 
 def densify(values: np.ndarray, filled: np.ndarray) -> np.ndarray:
@@ -68,18 +61,16 @@ def bands(values: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """Set size, a 128-bit key of the set, bucket keys and one byte of each bin, by row."""
+    """Set size, a 128-bit key of the set, and bucket keys, by row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, buckets, short = [], [], [], []
+            sizes, keys, buckets = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, k)
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                v = signature(s) if len(s) else np.zeros(0, np.uint64)
-                buckets.append(bands(v))
-                short.append((mix(v) >> np.uint64(56)).astype(np.uint8).tobytes())
+                buckets.append(bands(signature(s) if len(s) else np.zeros(0, np.uint64)))
             offsets = np.cumsum([0, *map(len, buckets)]).astype(np.int32)
             values = np.concatenate([np.zeros(0, np.int64), *buckets])
             yield pa.RecordBatch.from_arrays(
@@ -88,49 +79,55 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                     pa.array(sizes, pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                    pa.array(short, pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "set_key", "bands", "signature"],
+                ["doc_id", "n_shingles", "set_key", "bands"],
             )
 
     return docs.mapInArrow(sign, SIGNED)
 
 
-def agreeing(pairs: DataFrame, signatures: DataFrame, least: float = AGREEMENT) -> DataFrame:
-    """The pairs ``a, b`` whose signatures agree in at least this share of bins."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left = np.frombuffer(b"".join(batch.column("sa").to_pylist()), np.uint8)
-            right = np.frombuffer(b"".join(batch.column("sb").to_pylist()), np.uint8)
-            same = (left == right).reshape(batch.num_rows, -1).mean(axis=1) if batch.num_rows else np.zeros(0)
-            yield batch.select(["a", "b"]).filter(pa.array(same >= least))
-
-    sa = signatures.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa"))
-    sb = signatures.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb"))
-    return pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` with both texts; a join by ``a`` comes last, so equal ones are neighbours."""
+    ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links ``src, dst``: the pairs ``a, b`` with 100 * intersection >= percent * union."""
+def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """``a, b, na, nb, both``: sizes of both sets and of what they share."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, set_a = None, None
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
+            counts = np.zeros((3, batch.num_rows), np.int64)
             columns = [batch.column(c).to_pylist() for c in ("a", "ta", "tb")]
             for i, (a, ta, tb) in enumerate(zip(*columns, strict=True)):
-                if a != last:  # rows come sorted by a
+                if a != last:
                     last, set_a = a, shingle_set(ta, k)
                 set_b = shingle_set(tb, k)
-                both = overlap(set_a, set_b)
-                keep[i] = both > 0 and 100 * both >= percent * (len(set_a) + len(set_b) - both)
-            out = batch.select(["a", "b"]).filter(pa.array(keep))
-            yield out.rename_columns(["src", "dst"])
+                counts[:, i] = len(set_a), len(set_b), overlap(set_a, set_b)
+            arrays = [batch.column("a"), batch.column("b"), *map(pa.array, counts)]
+            yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "na", "nb", "both"])
 
-    ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(compare, "src long, dst long")
+    return _with_texts(pairs, texts).mapInArrow(compare, "a long, b long, na long, nb long, both long")
+
+
+def beyond(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """``a, b, shingle``: the first shingles, in order of their hash, of b's set that a's lacks;
+    as many as ``stars.linked_components`` asks for."""
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for ta, tb in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
+                set_b = shingle_set(tb, k)
+                most = len(set_b) + percent * len(set_b) // -100 + 1
+                found.append(np.setdiff1d(set_b, shingle_set(ta, k), assume_unique=True)[:most].view(np.int64))
+            at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in found]))
+            values = pa.array(np.concatenate([np.zeros(0, np.int64), *found]))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), values], ["a", "b", "shingle"])
+
+    return _with_texts(pairs, texts).mapInArrow(rest, "a long, b long, shingle long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
@@ -148,57 +145,25 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     classes = scratch.put(usable.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")))
     heads = scratch.put(
         usable.join(classes, ["set_key", "doc_id"], "left_semi")
-        .select("doc_id", "n_shingles", "bands", "signature")
+        .select("doc_id", "bands")
         .dropDuplicates(["doc_id"])
     )
-    in_buckets = heads.select(F.explode("bands").alias("bucket"), "doc_id", "n_shingles")
+    in_buckets = heads.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"))
     sizes = scratch.put(in_buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
     shared = scratch.put(in_buckets.join(sizes, "bucket"))
-    scores = scratch.put(shared.groupBy("doc_id").agg(F.sum("size").alias("score")))
-    members = scratch.put(shared.join(scores, "doc_id").select("bucket", "doc_id", "n_shingles", "score"))
-    texts = scratch.put(rows.join(scores, "doc_id", "left_semi"))
+    scores = scratch.put(shared.groupBy("id").agg(F.sum("size").alias("score")))
+    members = scratch.put(shared.join(scores, "id").select("bucket", "id", "score"))
+    texts = scratch.put(rows.join(scores.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
     scratch.drop(shared, sizes)
     scratch.release()
-
-    best = F.max(F.struct("score", (-F.col("doc_id")).alias("order")))
-
-    def star(members: DataFrame) -> DataFrame:
-        centers = scratch.put(members.groupBy("bucket").agg(best.alias("c")).select("bucket", (-F.col("c.order")).alias("a")))
-        pairs = members.join(centers, "bucket").where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
-        return scratch.put(confirmed(scratch.put(pairs.distinct()), texts, k, percent))
-
-    def unfinished(members: DataFrame, labels: DataFrame) -> DataFrame:
-        labels = labels.select(F.col("id").alias("doc_id"), "component")
-        labelled = scratch.put(
-            members.drop("label").join(labels, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
-        )
-        spanning = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        spanning = scratch.put(spanning.where("lo <> hi").select("bucket"))
-        return scratch.put(labelled.join(spanning, "bucket"))
-
-    links = star(members)
-    labels = components(links, scratch)
-    rest = unfinished(members, labels)
-    if not rest.isEmpty():
-        # a second center, from another component than the first one's
-        first = scratch.put(rest.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("order"), "label")).alias("c")))
-        others = rest.join(first.select("bucket", F.col("c.label").alias("seen")), "bucket").where("label <> seen")
-        centers = scratch.put(others.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("order"), "label")).alias("c")))
-        centers = centers.select("bucket", (-F.col("c.order")).alias("a"), F.col("c.label").alias("label_a"))
-        pairs = rest.join(centers, "bucket").where("label <> label_a").select("a", F.col("doc_id").alias("b")).distinct()
-        again = scratch.put(confirmed(scratch.put(agreeing(pairs, heads)), texts, k, percent))
-        links = links.unionAll(again)
-        labels = components(links, scratch)
-        rest = unfinished(rest, labels)
-    if not rest.isEmpty():
-        x = rest.select("bucket", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("label").alias("la"))
-        y = rest.select("bucket", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("label").alias("lb"))
-        across = x.join(y, "bucket").where(
-            f"a < b AND la <> lb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)"
-        )
-        pairs = scratch.put(agreeing(across.select("a", "b").distinct(), heads))
-        links = links.unionAll(scratch.put(confirmed(pairs, texts, k, percent)))
-        labels = components(links, scratch)
+    labels = linked_components(
+        members,
+        lambda pairs: compared(pairs, texts, k),
+        lambda pairs: beyond(pairs, texts, k, percent),
+        percent,
+        scratch,
+    )
+    scratch.drop(members, texts)
 
     head_of = classes.withColumnRenamed("doc_id", "head")
     labels = labels.withColumnRenamed("id", "head")

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from .components import components
 from .scratch import Scratch
 
-_BEST = F.max(F.struct("score", (-F.col("id")).alias("order"), "label"))
+#: The width of classes of set sizes, as a factor.
+SIZE_STEP = 1.02
 
 
-def _labelled(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+def _unfinished(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """Members of those buckets that hold more than one component, with their components."""
     found = scratch.put(
         members.drop("label")
@@ -25,49 +26,95 @@ def _labelled(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFr
     return out
 
 
+def _pairs_behind_center(inner: DataFrame, rest_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs ``a, b`` of members with the same center that can still be links.
+
+    ``inner`` has center, id, label, n (set size) and u (shared with the center). A link's two
+    sets share at least percent * (n1 + n2) / (100 + percent); at most min(u1, u2) of that lies
+    in the center's set. So either they share some of what they have beyond the center, and then
+    some of the first n - ceil(percent * n / 100) + 1 of it (prefix filter), or both lie in the
+    center's set for the most part, and then one is small enough for the other's u.
+    """
+    least = f"ceil({percent} * ({{0}} + {{1}}) / {100 + percent}.0)"
+    different = f"a_id < b_id AND a_label <> b_label AND 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
+
+    def both_sides(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+        side = lambda s: rows.select(*keys, *(F.col(c).alias(f"{s}_{c}") for c in ("id", "label", "n", "u")))
+        return side("a"), side("b")
+
+    beyond = scratch.put(rest_of(inner.select(F.col("center").alias("a"), F.col("id").alias("b"))))
+    beyond = inner.join(beyond.select(F.col("a").alias("center"), F.col("b").alias("id"), "shingle"), ["center", "id"])
+    x, y = both_sides(scratch.put(beyond), ["center", "shingle"])
+    share = x.join(y, ["center", "shingle"]).where(different).where(f"{least.format('a_n', 'b_n')} > least(a_u, b_u)")
+
+    mostly = inner.where(f"100 * u >= {percent} * n")
+    size_class = lambda n: F.floor(F.log(n) / F.log(F.lit(SIZE_STEP))).cast("int")
+    largest = F.col("u") * (100 + percent) / F.lit(float(percent)) - F.col("n")
+    reach = mostly.withColumn("lo", F.col("n") * percent / F.lit(100.0)).withColumn("hi", F.least(largest, F.col("n").cast("double")))
+    reach = reach.where("hi >= lo").withColumn("size", F.explode(F.sequence(size_class(F.col("lo")), size_class(F.col("hi")))))
+    x, _ = both_sides(reach, ["center", "size"])
+    _, y = both_sides(mostly.withColumn("size", size_class(F.col("n"))), ["center", "size"])
+    within = x.join(y, ["center", "size"]).where(f"a_label <> b_label AND {least.format('a_n', 'b_n')} <= least(a_u, b_u)")
+    ends = [F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")]
+    return share.select(*ends).unionAll(within.select(*ends)).where("a <> b")
+
+
 def linked_components(
-    members: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, may_link: str = "TRUE"
+    members: DataFrame,
+    compare: Callable[[DataFrame], DataFrame],
+    rest_of: Callable[[DataFrame], DataFrame],
+    percent: int,
+    scratch: Scratch,
 ) -> DataFrame:
     """``id, component`` for ids that have a link to another member of one of their buckets.
 
-    ``members`` has the columns bucket, id, score, and what ``may_link`` uses of both sides as
-    ``a_<column>`` and ``b_<column>``. ``confirm`` turns distinct candidates ``a, b`` to the true
-    links ``src, dst`` among them.
+    A link is a pair of sets with 100 * intersection >= percent * union. ``members`` has the
+    columns bucket, id, score. ``compare`` adds to pairs ``a, b`` the size of both sets and of
+    their intersection: na, nb, both. ``rest_of`` gives for pairs ``a, b``, as rows with
+    ``shingle``, what b's set has beyond a's: the first n - ceil(percent * n / 100) + 1 in an order
+    that is the same for all.
 
     A bucket's first star joins all members to the one with the highest score. Buckets that are
     then within one component are finished: whatever else they hold would not change it. The
-    others get a star around the best member of another component. Members of what is still
-    split are compared in pairs across components, so no link is lost to the stars.
+    others get a star around the best member of another component. Where a bucket is still split,
+    pairs across components are compared that the distances to the center do not exclude.
     """
     members = members.withColumn("label", F.col("id"))
 
     def centers(rows: DataFrame) -> DataFrame:
-        best = rows.groupBy("bucket").agg(_BEST.alias("c"))
+        highest = F.max(F.struct("score", (-F.col("id")).alias("order"), "label"))
+        best = rows.groupBy("bucket").agg(highest.alias("c"))
         return scratch.put(best.select("bucket", (-F.col("c.order")).alias("a"), F.col("c.label").alias("label_a")))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame) -> DataFrame:
         found = scratch.put(pairs.distinct())
-        links = scratch.put(confirm(found))
+        out = scratch.put(compare(found))
         scratch.drop(found)
         scratch.release()
-        return links
+        return out
+
+    def links_in(tested: DataFrame) -> DataFrame:
+        similar = tested.where(f"both > 0 AND 100 * both >= {percent} * (na + nb - both)")
+        return similar.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
     to_center = [F.col("a"), F.col("id").alias("b")]
-    links = confirmed(members.join(centers(members), "bucket").where("a <> id").select(*to_center))
+    first = centers(members)
+    tested = compared(members.join(first, "bucket").where("a <> id").select(*to_center))
+    links = links_in(tested)
     labels = components(links, scratch)
-    rest = _labelled(members, labels, scratch)
+    rest = _unfinished(members, labels, scratch)
     if not rest.isEmpty():
         seen = centers(rest).select("bucket", F.col("label_a").alias("seen"))
         others = rest.join(seen, "bucket").where("label <> seen")
         star = rest.join(centers(others), "bucket").where("label <> label_a").select(*to_center)
-        links = links.unionAll(confirmed(star))
+        links = links.unionAll(links_in(compared(star)))
         labels = components(links, scratch)
-        rest = _labelled(rest, labels, scratch)
+        rest = _unfinished(rest, labels, scratch)
     if not rest.isEmpty():
-        kept = [c for c in rest.columns if c != "bucket"]
-        x = rest.select("bucket", *(F.col(c).alias(f"a_{c}") for c in kept))
-        y = rest.select("bucket", *(F.col(c).alias(f"b_{c}") for c in kept))
-        across = x.join(y, "bucket").where("a_id < b_id AND a_label <> b_label").where(may_link)
-        links = links.unionAll(confirmed(across.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))))
+        placed = rest.join(first.select("bucket", F.col("a").alias("center")), "bucket").where("id <> center")
+        inner = scratch.put(placed.select("center", "id", "label").distinct())
+        known = tested.select(F.col("a").alias("center"), F.col("b").alias("id"), F.col("nb").alias("n"), F.col("both").alias("u"))
+        inner = scratch.put(inner.join(known, ["center", "id"]))
+        links = links.unionAll(links_in(compared(_pairs_behind_center(inner, rest_of, percent, scratch))))
         labels = components(links, scratch)
     return labels
