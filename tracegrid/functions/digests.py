@@ -4,6 +4,7 @@ import struct
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 HEX64 = "^[0-9a-fA-F]{64}$"
 
@@ -54,7 +55,7 @@ def sm3(data: bytes) -> str:
     return struct.pack(">8I", *v).hex()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def sm3_hex(data: pd.Series) -> pd.Series:
     """SM3 of binary values, a batch at a time; Spark has no function for it."""
     return data.map(lambda x: sm3(bytes(x)), na_action="ignore")

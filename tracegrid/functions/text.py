@@ -5,17 +5,18 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 #: Words of content search: runs of letters and digits, lower-cased; longer ones are not indexed.
 LONGEST_WORD_BYTES = 40
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkd(text: pd.Series) -> pd.Series:
     return text.map(lambda x: unicodedata.normalize("NFKD", x), na_action="ignore")
 

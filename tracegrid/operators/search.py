@@ -79,7 +79,8 @@ def ranked_search(documents: DataFrame, query: str, k1: float = 1.2, b: float =
     """
     wanted = sorted({w for w in re.findall(r"\w+", query.lower())})
     tokens = documents.select("id", words(F.coalesce("content", F.lit(""))).alias("w"))
-    tf = [F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(wanted)]
+    occurs = lambda t: F.size(F.filter("w", lambda x: x == t))
+    tf = [occurs(t).alias(f"tf{i}") for i, t in enumerate(wanted)]
     counted = tokens.select("id", F.size("w").alias("dl"), *tf)
     n_with = [F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"n{i}") for i in range(len(wanted))]
     corpus = counted.agg(F.count("*").alias("docs"), F.avg("dl").alias("avg_dl"), *n_with)

@@ -95,7 +95,7 @@ def window_counts(events: DataFrame, windows: list[tuple[int, int]]) -> DataFram
         raise ValueError(f"more than {MAX_BUCKETS} windows")
     second = epoch_second()
     sums = [F.count(F.when(second.between(a, b), 1)).alias(f"n{i}") for i, (a, b) in enumerate(windows)]
-    rows = [F.struct(F.lit(a).alias("start_second"), F.lit(b).alias("end_second"), F.col(f"n{i}").alias("n")) for i, (a, b) in enumerate(windows)]
+    rows = [F.struct(F.lit(a).cast("long").alias("start_second"), F.lit(b).cast("long").alias("end_second"), F.col(f"n{i}").alias("n")) for i, (a, b) in enumerate(windows)]
     return events.agg(*sums).select(F.inline(F.array(*rows)))
 
 
