@@ -5,6 +5,16 @@ from pyspark.sql import DataFrame, functions as F
 from .scratch import Scratch
 
 
+def _followed(pointers: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pointers followed to their ends, again by doubling."""
+    while True:
+        ends = pointers.select(F.col("id").alias("component"), F.col("component").alias("end"))
+        jumped = scratch.put(pointers.join(ends, "component").select("id", F.col("end").alias("component"), (F.col("component") != F.col("end")).alias("moved")))
+        if jumped.where("moved").isEmpty():
+            return jumped.drop("moved")
+        pointers = jumped.drop("moved")
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """The smallest id reachable from each id that has a link.
 
@@ -33,14 +43,12 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             moved.select(F.greatest("p_hi", "p_lo").alias("hi"), F.least("p_hi", "p_lo").alias("lo")).distinct()
         )
         if left.isEmpty():
-            scratch.drop(edges, left)
-            return pointers
-        hooks = scratch.put(left.groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("hook")))
-        parents = scratch.put(
-            pointers.join(hooks, "id", "left").select(
-                F.col("id").alias("component"), F.least("component", "hook").alias("parent")
-            )
-        )
+            return _followed(pointers, scratch)
+        hooks = left.groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("hook"))
+        hooked = scratch.put(pointers.join(hooks, "id", "left"))
+        parents = hooked.select(F.col("id").alias("component"), F.least("component", "hook").alias("parent"))
         after = scratch.put(pointers.join(parents, "component").select("id", F.col("parent").alias("component")))
-        scratch.drop(edges, pointers, hooks, parents)
-        edges, pointers = left, after
+        # an id that pointed elsewhere before it was hooked still holds both ends together
+        torn = hooked.where("hook IS NOT NULL AND component <> id AND component <> hook")
+        torn = torn.select(F.greatest("component", "hook").alias("hi"), F.least("component", "hook").alias("lo"))
+        edges, pointers = left.unionAll(torn), after

@@ -112,17 +112,14 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return _with_texts(pairs, texts).mapInArrow(compare, "a long, b long, na long, nb long, both long")
 
 
-def beyond(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """``a, b, shingle``: the first shingles, in order of their hash, of b's set that a's lacks;
-    as many as ``stars.linked_components`` asks for."""
+def beyond(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """``a, b, shingle``: what b's set has beyond a's."""
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for ta, tb in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                set_b = shingle_set(tb, k)
-                most = len(set_b) + percent * len(set_b) // -100 + 1
-                found.append(np.setdiff1d(set_b, shingle_set(ta, k), assume_unique=True)[:most].view(np.int64))
+                found.append(np.setdiff1d(shingle_set(tb, k), shingle_set(ta, k), assume_unique=True).view(np.int64))
             at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in found]))
             values = pa.array(np.concatenate([np.zeros(0, np.int64), *found]))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), values], ["a", "b", "shingle"])
@@ -159,7 +156,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     labels = linked_components(
         members,
         lambda pairs: compared(pairs, texts, k),
-        lambda pairs: beyond(pairs, texts, k, percent),
+        lambda pairs: beyond(pairs, texts, k),
         percent,
         scratch,
     )

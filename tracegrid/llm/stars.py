@@ -2,13 +2,13 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
 from .scratch import Scratch
 
 #: The width of classes of set sizes, as a factor.
-SIZE_STEP = 1.02
+SIZE_STEP = 1.05
 
 
 def _unfinished(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
@@ -26,43 +26,56 @@ def _unfinished(members: DataFrame, labels: DataFrame, scratch: Scratch) -> Data
     return out
 
 
-def _pairs_behind_center(inner: DataFrame, rest_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
+def _pairs_behind_center(inner: DataFrame, beyond: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
     """Pairs ``a, b`` of members with the same center that can still be links.
 
-    ``inner`` has center, id, label, n (set size) and u (shared with the center). A link's two
-    sets share at least percent * (n1 + n2) / (100 + percent); at most min(u1, u2) of that lies
-    in the center's set. So either they share some of what they have beyond the center, and then
-    some of the first n - ceil(percent * n / 100) + 1 of it (prefix filter), or both lie in the
-    center's set for the most part, and then one is small enough for the other's u.
+    ``inner`` has center, id, label, apart (not in the center's component), n (set size) and u
+    (shared with the center). A link's sets share at least percent * (n1 + n2) / (100 + percent);
+    at most min(u1, u2) of that lies in the center's set. What is missing, if anything, they must
+    share beyond it. There the rarest come first, and a set that must share m of its e leads with
+    a shared one among its first e - m + 1 (prefix filter); how many must be shared depends on the
+    other's size, so members apart from the center probe one class of sizes after the other.
+    Where nothing is missing, both lie in the center's set for the most part, and one is small
+    enough for the other's u.
     """
-    least = f"ceil({percent} * ({{0}} + {{1}}) / {100 + percent}.0)"
-    different = f"a_id < b_id AND a_label <> b_label AND 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
-
-    def both_sides(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-        side = lambda s: rows.select(*keys, *(F.col(c).alias(f"{s}_{c}") for c in ("id", "label", "n", "u")))
-        return side("a"), side("b")
-
-    beyond = scratch.put(rest_of(inner.select(F.col("center").alias("a"), F.col("id").alias("b"))))
-    beyond = inner.join(beyond.select(F.col("a").alias("center"), F.col("b").alias("id"), "shingle"), ["center", "id"])
-    x, y = both_sides(scratch.put(beyond), ["center", "shingle"])
-    share = x.join(y, ["center", "shingle"]).where(different).where(f"{least.format('a_n', 'b_n')} > least(a_u, b_u)")
+    needed = f"ceil({percent} * ({{}} + {{}}) / {100 + percent}.0 - 1e-9)"
+    size_class = lambda n: F.floor(F.log(n) / F.log(F.lit(SIZE_STEP)) + 1e-9).cast("int")
+    keys = ["center", "size"]
+
+    found = scratch.put(beyond(inner.select(F.col("center").alias("a"), F.col("id").alias("b"))))
+    found = found.select(F.col("a").alias("center"), F.col("b").alias("id"), "shingle")
+    counts = scratch.put(found.groupBy("center", "shingle").agg(F.count("*").alias("df")).where("df > 1"))
+    # shingles of one member alone come first in any order, so only their number counts
+    shared = found.join(counts, ["center", "shingle"])
+    order = Window.partitionBy("center", "id").orderBy("df", "shingle")
+    shared = shared.select("center", "id", "shingle", F.row_number().over(order).alias("at"), F.count("*").over(Window.partitionBy("center", "id")).alias("common"))
+    rows = scratch.put(shared.join(inner, ["center", "id"]).withColumn("e", F.col("n") - F.col("u")).withColumn("rank", F.expr("e - common + at")))
+
+    sizes = F.explode(F.sequence(size_class(F.col("n") * percent / 100), size_class(F.col("n") * 100 / percent)))
+    probes = rows.where("apart").withColumn("size", sizes)
+    smallest = f"greatest(pow({SIZE_STEP}, size), n * {percent} / 100.0)"
+    probes = probes.where(f"rank <= e - greatest({needed.format('n', smallest)} - u, 1) + 1")
+    index = rows.where(f"rank <= e - greatest(ceil({percent} * n / 100.0 - 1e-9) - u, 1) + 1").withColumn("size", size_class(F.col("n")))
+    side = lambda df, s, keys: df.select(*keys, *(F.col(c).alias(f"{s}_{c}") for c in ("id", "label", "n", "u")))
+    different = f"a_label <> b_label AND 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
+    missing = f"{needed.format('a_n', 'b_n')} - least(a_u, b_u)"
+    share = side(probes, "a", [*keys, "shingle"]).join(side(index, "b", [*keys, "shingle"]), [*keys, "shingle"])
+    share = share.where(f"{different} AND {missing} BETWEEN 1 AND least(a_n - a_u, b_n - b_u)")
 
     mostly = inner.where(f"100 * u >= {percent} * n")
-    size_class = lambda n: F.floor(F.log(n) / F.log(F.lit(SIZE_STEP))).cast("int")
     largest = F.col("u") * (100 + percent) / F.lit(float(percent)) - F.col("n")
-    reach = mostly.withColumn("lo", F.col("n") * percent / F.lit(100.0)).withColumn("hi", F.least(largest, F.col("n").cast("double")))
+    reach = mostly.where("apart").withColumn("lo", F.col("n") * percent / 100).withColumn("hi", F.least(largest, F.col("n") * 100 / percent))
     reach = reach.where("hi >= lo").withColumn("size", F.explode(F.sequence(size_class(F.col("lo")), size_class(F.col("hi")))))
-    x, _ = both_sides(reach, ["center", "size"])
-    _, y = both_sides(mostly.withColumn("size", size_class(F.col("n"))), ["center", "size"])
-    within = x.join(y, ["center", "size"]).where(f"a_label <> b_label AND {least.format('a_n', 'b_n')} <= least(a_u, b_u)")
+    within = side(reach, "a", keys).join(side(mostly.withColumn("size", size_class(F.col("n"))), "b", keys), keys)
+    within = within.where(f"{different} AND {missing} <= 0")
     ends = [F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")]
-    return share.select(*ends).unionAll(within.select(*ends)).where("a <> b")
+    return share.select(*ends).unionAll(within.select(*ends))
 
 
 def linked_components(
     members: DataFrame,
     compare: Callable[[DataFrame], DataFrame],
-    rest_of: Callable[[DataFrame], DataFrame],
+    beyond: Callable[[DataFrame], DataFrame],
     percent: int,
     scratch: Scratch,
 ) -> DataFrame:
@@ -70,9 +83,8 @@ def linked_components(
 
     A link is a pair of sets with 100 * intersection >= percent * union. ``members`` has the
     columns bucket, id, score. ``compare`` adds to pairs ``a, b`` the size of both sets and of
-    their intersection: na, nb, both. ``rest_of`` gives for pairs ``a, b``, as rows with
-    ``shingle``, what b's set has beyond a's: the first n - ceil(percent * n / 100) + 1 in an order
-    that is the same for all.
+    their intersection: na, nb, both. ``beyond`` gives for pairs ``a, b``, as rows with ``shingle``,
+    what b's set has beyond a's.
 
     A bucket's first star joins all members to the one with the highest score. Buckets that are
     then within one component are finished: whatever else they hold would not change it. The
@@ -114,7 +126,10 @@ def linked_components(
         placed = rest.join(first.select("bucket", F.col("a").alias("center")), "bucket").where("id <> center")
         inner = scratch.put(placed.select("center", "id", "label").distinct())
         known = tested.select(F.col("a").alias("center"), F.col("b").alias("id"), F.col("nb").alias("n"), F.col("both").alias("u"))
-        inner = scratch.put(inner.join(known, ["center", "id"]))
-        links = links.unionAll(links_in(compared(_pairs_behind_center(inner, rest_of, percent, scratch))))
+        of_center = labels.select(F.col("id").alias("center"), F.col("component").alias("at_center"))
+        apart = (F.col("label") != F.coalesce("at_center", "center")).alias("apart")
+        inner = inner.join(known, ["center", "id"]).join(of_center, "center", "left")
+        inner = scratch.put(inner.select("center", "id", "label", apart, "n", "u"))
+        links = links.unionAll(links_in(compared(_pairs_behind_center(inner, beyond, percent, scratch))))
         labels = components(links, scratch)
     return labels
