@@ -133,8 +133,11 @@ def parse_avi(data: bytes) -> dict:
     bytes aren't such a file."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
+    end = 8 + struct.unpack_from("<I", data, 4)[0]
+    if end > len(data):
+        raise ValueError("an AVI file that breaks off")
     found: dict = {"frames": []}
-    lists = [(12, 8 + struct.unpack_from("<I", data, 4)[0])]
+    lists = [(12, end)]
     while lists:
         at, end = lists.pop(0)
         for name, start, size in _chunks(data, at, end):
