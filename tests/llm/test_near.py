@@ -173,3 +173,25 @@ def test_dedup_lines_against_brute_force(spark):
         assert got[i]["source"] == "s" and got[i]["n_lines"] == (0 if t is None else t.count("\n") + 1)
     assert wrong <= 1, wrong  # banding may miss a pair near the threshold
     assert op7.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_short_lines_and_lines_without_spaces_are_all_found(spark):
+    rng = random.Random(11)
+    letter = lambda: rng.choice("abcdefghijklmnopqrstuvw")
+    lines = []
+    for n in (20, 24, 30, 40, 60, 80, 100):
+        for i in range(60):
+            words = "" if i % 3 else " "
+            x = "".join(rng.choice([words or letter(), letter(), letter(), letter()]) for _ in range(n)).strip().ljust(n, "z")
+            at = rng.choice([0, n - 1, rng.randrange(n)])
+            lines += [x, x[:at] + "Q" + x[at + 1 :]]
+    lines = [x.lower() for x in lines]
+    sets = {x: {x[i : i + 5] for i in range(len(x) - 4)} for x in lines}
+    ids = spark.createDataFrame([(x,) for x in lines], "line string")
+    buckets = {r["line"]: set(r["bands"]) for r in op7._with_bands(ids).collect()}
+    pairs = [(x, y) for x, y in zip(lines[::2], lines[1::2], strict=True) if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+    assert len(pairs) > 200 and all(buckets[x] & buckets[y] for x, y in pairs)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in op7.dedup_lines(docs).collect()}
+    label = united(range(len(lines)), [(lines.index(x), lines.index(y)) for x, y in pairs])
+    assert all(got[i] == 1 for i, first in label.items() if i != first)
