@@ -225,3 +225,23 @@ def test_streaming_brute_force(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [r["requests"] for r in spark.table("found").collect()] == [60]
+
+
+def test_merkle_of_many_leaves_numbered_by_slots(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(integrity, "SLOT", 16)
+    sizes = {"hot": 700, "odd": 37, "one": 1, "two": 2}
+    ids = {k: [(7 * i + len(k)) * 3 for i in range(n)] for k, n in sizes.items()}
+    rows = spark.createDataFrame([(k, x) for k, xs in ids.items() for x in reversed(xs)], "scope_key string, data long")
+    places = integrity.numbered(rows, "scope_key", "data")
+    assert {(r["scope_key"], r["data"]): r["at"] for r in places.collect()} == {(k, x): i for k, xs in ids.items() for i, x in enumerate(xs)}
+
+    def root(xs):
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        level = [sha(f"leaf:{x}") for x in xs]
+        while len(level) > 1:
+            level = [sha("node:" + level[i] + level[min(i + 1, len(level) - 1)]) for i in range(0, len(level), 2)]
+        return level[0]
+
+    assert {r["scope_key"]: r["root"] for r in integrity.merkle_roots(places).collect()} == {k: root(xs) for k, xs in ids.items()}

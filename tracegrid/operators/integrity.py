@@ -1,8 +1,10 @@
 """Hash chains and Merkle trees over ledger events."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 GENESIS = "0" * 64
+#: So many neighbouring numbers make a slot.
+SLOT = 1 << 16
 
 
 def event_hash(*fields: Column) -> Column:
@@ -27,6 +29,37 @@ def verify_chain(events: DataFrame, fields: list[str]) -> DataFrame:
     return checked.withColumn("problem", problem).where("problem IS NOT NULL").select("scope_key", "sequence", "problem")
 
 
+def numbered(rows: DataFrame, scope: str, order: str) -> DataFrame:
+    """Adds ``at``: the place of a row in its scope, from 0, by a whole number that differs from
+    row to row. Rows are numbered inside slots of that number, which begin where the slots before
+    them end, so no window holds the rows of a hot scope."""
+    cut = rows.withColumn("slot", F.expr(f"floor(`{order}` / {SLOT})"))
+    counts = cut.groupBy(scope, "slot").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(scope).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select(scope, "slot", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begin"))
+    inside = F.row_number().over(Window.partitionBy(scope, "slot").orderBy(order)) - 1
+    return cut.withColumn("inside", inside).join(begins, [scope, "slot"]).withColumn("at", F.col("begin") + F.col("inside")).drop("slot", "begin", "inside")
+
+
+def _leaf_nodes(leaves: DataFrame) -> tuple[DataFrame, int]:
+    """``scope_key, at, hash, last`` (the highest place of the level), and the number of levels
+    above the leaves."""
+    ends = leaves.groupBy("scope_key").agg(F.max("at").cast("long").alias("last"))
+    leaf = F.sha2(F.concat(F.lit("leaf:"), F.col("data").cast("string")), 256)
+    nodes = leaves.join(ends, "scope_key").select("scope_key", F.col("at").cast("long").alias("at"), leaf.alias("hash"), "last")
+    longest = ends.agg(F.max("last")).head()[0]
+    return nodes, int(longest).bit_length() if longest else 0
+
+
+def _parents(nodes: DataFrame) -> DataFrame:
+    """The next level; a root stays as it is. The height of a level comes with its rows, so a
+    level reads the one below only once."""
+    side = lambda k: F.max(F.when(F.col("at") % 2 == k, F.col("hash")))
+    pairs = nodes.groupBy("scope_key", F.expr("at div 2").alias("at"), "last").agg(side(0).alias("l"), side(1).alias("r"))
+    parent = F.when(F.col("last") == 0, F.col("l")).otherwise(F.sha2(F.concat(F.lit("node:"), F.col("l"), F.coalesce("r", "l")), 256))
+    return pairs.select("scope_key", "at", parent.alias("hash"), F.expr("last div 2").alias("last"))
+
+
 def merkle_levels(leaves: DataFrame) -> DataFrame:
     """All nodes of each scope's tree: ``scope_key, level, at, hash``.
 
@@ -34,24 +67,21 @@ def merkle_levels(leaves: DataFrame) -> DataFrame:
     own; the last of an odd level is paired with itself. A level is one aggregate over pairs, so
     a scope of n leaves takes log2 n small shuffles.
     """
-    current = leaves.select("scope_key", F.lit(0).alias("level"), F.col("at").cast("long").alias("at"), F.sha2(F.concat(F.lit("leaf:"), F.col("data").cast("string")), 256).alias("hash"))
-    out = current
-    longest = leaves.agg(F.max("at")).head()[0]
-    for level in range(1, (int(longest).bit_length() if longest else 0) + 1):
-        pairs = current.groupBy("scope_key", F.expr("at div 2").alias("at")).agg(
-            F.max(F.when(F.col("at") % 2 == 0, F.col("hash"))).alias("l"), F.max(F.when(F.col("at") % 2 == 1, F.col("hash"))).alias("r"), F.count("*").alias("n"), F.max("level").alias("top")
-        )
-        wide = current.groupBy("scope_key").agg((F.max("at") > 0).alias("wide"))
-        parent = F.sha2(F.concat(F.lit("node:"), F.col("l"), F.coalesce("r", "l")), 256)
-        current = pairs.join(wide.where("wide"), "scope_key").select("scope_key", F.lit(level).alias("level"), "at", parent.alias("hash"))
-        out = out.unionAll(current)
+    current, height = _leaf_nodes(leaves)
+    shown = lambda level: current.select("scope_key", F.lit(level).alias("level"), "at", "hash")
+    out = shown(0)
+    for level in range(1, height + 1):
+        current = _parents(current.where("last > 0"))
+        out = out.unionAll(shown(level))
     return out
 
 
 def merkle_roots(leaves: DataFrame) -> DataFrame:
     """``scope_key, root``."""
-    levels = merkle_levels(leaves)
-    return levels.groupBy("scope_key").agg(F.max_by("hash", "level").alias("root"))
+    current, height = _leaf_nodes(leaves)
+    for _ in range(height):
+        current = _parents(current)
+    return current.select("scope_key", F.col("hash").alias("root"))
 
 
 def merkle_proof(levels: DataFrame, scope_key, at: int) -> DataFrame:

@@ -170,3 +170,15 @@ def integrity_merkle(spark, d):
     rows = read(spark, d, "events").where("event_id < 1000").withColumn("at", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1)
     leaves = rows.where("at < 3").select(F.col("event_type").alias("scope_key"), "at", F.col("event_id").alias("data"))
     return it.merkle_roots(leaves)
+
+
+@query(
+    """, b AS (SELECT event_type AS k, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS pos, sha256('leaf:' || CAST(event_id AS VARCHAR)) AS h FROM events),
+    tree AS (SELECT k, pos, h, max(pos) OVER (PARTITION BY k) AS last FROM b
+      UNION ALL SELECT k, pos // 2, sha256('node:' || max(CASE WHEN pos % 2 = 0 THEN h END) || coalesce(max(CASE WHEN pos % 2 = 1 THEN h END), max(CASE WHEN pos % 2 = 0 THEN h END))), last // 2 FROM tree WHERE last > 0 GROUP BY k, pos // 2, last // 2)
+    SELECT k AS scope_key, h AS root FROM tree WHERE last = 0"""
+)
+def integrity_merkle_all(spark, d):
+    """A tree over all events of each type; ``integrity_merkle`` has the first three only."""
+    rows = it.numbered(read(spark, d, "events").select("event_type", "event_id"), "event_type", "event_id")
+    return it.merkle_roots(rows.select(F.col("event_type").alias("scope_key"), "at", F.col("event_id").alias("data")))
