@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -114,13 +115,68 @@ def test_wrappers_find_the_content(spark):
 
 def test_wrapper_expression():
     found = op8.infer(["<body><article><h1>A</h1><p>x</p></article></body>", "<body><article><p>y</p><p>z</p></article></body>"])
-    assert found["root"] == [("body", ""), ("article", "")] and found["wrapper"].count("(<p>") == 1 and "(<h1>…)?" in found["wrapper"]
+    assert found.root.show() == "<><article>(<h1>#)?(<p>#)+" and len(found.pages) == 2
+    again = op8.Wrapper.load(found.dump())
+    assert again.dump() == found.dump() and again.kept() == {0, 1}
+
+
+def test_text_that_all_pages_share_goes():
+    """No class or tag tells what is boilerplate; that the pages agree does."""
+    frame = "<div class='x1'><p>We have moved to a new address</p></div><div class='x2'>{}</div><div class='x3'>Call us: 12345</div>"
+    pages = [frame.format(f"<h2>Title {i}</h2><p>Body {i} one</p>" + f"<p>Body {i} two</p>" * (i % 3)) for i in range(8)]
+    wrapper = op8.infer(pages)
+    for i, p in enumerate(pages):
+        want = [f"Title {i}", f"Body {i} one"] + [f"Body {i} two"] * (i % 3)
+        assert op8.main_text(p, wrapper) == ("\n".join(want), True)
+        assert op8.main_text(p, None)[0].count("\n") == len(want) + 1
+    few = op8.infer(pages[:2])
+    assert op8.main_text(pages[0], few)[0].startswith("We have moved")
+    copies = op8.infer(pages[:1] * 20)
+    assert op8.main_text(pages[0], copies)[0].endswith("Call us: 12345")
+
+
+def test_page_that_does_not_fit_is_read_by_itself():
+    wrapper = op8.infer(["<div><p>a</p></div>", "<div><p>b</p></div>"])
+    assert op8.main_text("<section><h3>c</h3><p>d</p></section>", wrapper) == ("c\nd", False)
+
+
+def test_nothing_of_the_article_is_left_behind():
+    texts = lambda html: op8.main_text(html, None)[0]
+    assert texts("<body><h1>title</h1><div>body</div></body>") == "title\nbody"
+    assert texts("<article class=teaser>short</article><div><p>" + "long text " * 20 + "</p></div>").startswith("short\nlong text")
+    assert texts("<article class=a><p>one</p></article><article class=b><p>two</p></article>") == "one\ntwo"
+    assert texts("<body class='right-sidebar'><div id='content-with-sidebar'>x</div><p class='notice-board'>y</p>") == "x\ny"
+    assert texts("<body><header>Site head</header><div><p>one</p><p>two</p></div>") == "one\ntwo"
+    assert texts("<article><header><h1>Head</h1></header><p>x</p><footer>f</footer></article>") == "Head\nx"
+    assert texts("<div class='comment-list'><p>no</p></div><div id='cookie-notice'>no</div><p class='notice'>no</p><p>yes</p>") == "yes"
+    assert texts("<ul>" + "<li><a href='/x'>go</a></li>" * 5 + "</ul><p>yes <a>linked</a></p>") == "yes linked"
 
 
 def test_malformed_html():
     tree = "<article><h1>One</h1><p><b>Two<br><p>Three &lt;x&gt; 1 < 2</p><p>Four</article><footer>no</footer>"
-    assert op8.main_text(tree, None) == "One\nTwo\nThree <x> 1 < 2\nFour"
-    assert op8.main_text("<script>never closed <p>x</p>", None) == "" and op8.main_text("plain", None) in ("plain", "")
+    text = lambda html: op8.main_text(html, None)[0]
+    assert text(tree) == "One\nTwo\nThree <x> 1 < 2\nFour"
+    assert text("<script>never closed <p>x</p>") == "" and text("plain") == "plain" and text('<p title="a"b">text</p>') == "text"
+
+
+def test_deep_long_and_broken_pages_take_linear_time():
+    start = time.monotonic()
+    assert op8.main_text("<div>" * 5000 + "deep" + "</div>" * 5000, None)[0] == "deep"
+    assert "x" in op8.main_text('<a b="' * 100_000 + ">x<p>y", None)[0]
+    long = "<p>one" * 60_000 + "<h2>x<p>y" * 20_000
+    wrapper = op8.infer([long, "<p>short</p>"])
+    assert op8.main_text(long, wrapper) == ("\n".join(["one"] * 60_000 + ["x", "y"] * 20_000), True)
+    kinds = "".join(f"<div class=c{i}a>{i}</div><x{i}>k{i}</x{i}>" for i in range(3000))
+    assert op8.main_text(kinds, op8.infer([kinds, "<div>z</div>"]))[0].count("\n") == 5999
+    assert time.monotonic() - start < 40
+
+
+def test_wrappers_of_many_parts_meet(spark):
+    """Wrappers from many tasks are aligned in groups, and drop what all pages share."""
+    rows = [(i, "https://hot.example.org/" + str(i), f"<div class=u{i % 7}><p>Same words</p></div><section><p>Body {i}</p></section>") for i in range(140)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(70)
+    got = {r["page_id"]: r["text"] for r in op8.extract(pages).collect()}
+    assert got == {i: f"Body {i}" for i, _, _ in rows}
 
 
 def test_avi_round_trip():

@@ -1,253 +1,194 @@
 """HTML extraction by union-free wrappers.
 
-Pages of a host are parsed to element trees (forgiving: unclosed paragraphs and list items end
-where HTML ends them). Trees are aligned one after the other: children are matched by tag and
-class, neighbours of the same kind fold into a repeated group, children without a partner become
-optional, and texts that differ become slots. What results is a regular expression without
-unions, the wrapper of the host. Its content root is the element that holds most of the text
-that varies from page to page, outside of menus, headers, footers, sidebars, notices, adverts,
-forms and comments. Pages are then read with their host's wrapper; a page that it doesn't fit,
-or whose host has too little varying text, is read with a wrapper made from itself.
-
-A wrapper is inferred from at most ``PAGES_EACH`` pages of a host, chosen by a hash.
+A page is a folded stream of tokens (``page_tree``). The pages of a host are aligned one after the
+other: where they agree a token stays, texts that differ become a slot, tokens without a partner
+become optional, and neighbours of one kind are a repeated group. What results is a regular
+expression without unions, the wrapper of the host. It is inferred from all pages of the host: each
+task aligns those that it reads, and the tasks' wrappers are aligned in groups of bounded size
+until a host has one.
+
+Each page is then matched against its host's wrapper. A slot whose text is the same on all pages of
+a host belongs to the template and goes, if at least ``AGREE`` different pages say so; slots in
+menus, headers, footers, sidebars, notices, adverts, forms and comments go, and so do repeated
+groups of links alone. If ``main`` or ``article`` elements hold most of what is left, it is the main
+text, else all of it is. A page that does not fit, or has no host, is read with a wrapper of its own.
 """
 
-import html
 import json
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F
 
+from .page_tree import INSIDE, SOFT, Item, Known, Page, absorb, broader, by_key, common
 from .scratch import Scratch
 
-PAGES_EACH = 8
-#: Parts that a host's pages are dealt to before the choice, so that no window holds a host.
-CHOICE_PARTS = 64
-#: Wrappers are broadcast while they take no more bytes than this; else joined by host.
-BROADCAST_BYTES = 32 << 20
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
-
-#: Elements of HTML.
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-ENDS_PARAGRAPH = set("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-HEADINGS_AND_TEXT = set("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption summary".split())
-SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-LIST_EDGES = {"ul", "ol", "dl", "table", "select"}
-
-#: Elements and words of class, id and role that mark what is not main text.
-OUTSIDE = set("nav footer aside form head button select dialog menu".split())
-OUTSIDE_WORDS = set("ad ads advert adverts advertisement advertisements banner sponsor sponsored promo cookie cookies consent notice notices alert popup modal newsletter subscribe nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget related share social footer masthead comment comments respond disqus login search complementary contentinfo toolbar pagination".split())
-_NAME_WORDS = re.compile(r"[a-z]+")
-
-
-def is_outside(name: str, marks: str) -> bool:
-    """Whether an element holds none of the main text."""
-    return name in OUTSIDE or not OUTSIDE_WORDS.isdisjoint(_NAME_WORDS.findall(marks))
-
-
-@dataclass
-class Element:
-    key: tuple[str, str]
-    outside: bool
-    children: list = field(default_factory=list)  # Elements and strings
-
-
-def parse(source: str | None) -> Element:
-    """The tree of a page. Scripts, styles, comments and titles are left out; references in
-    text are decoded. Null is an empty page."""
-    source = source or ""
-    root = Element(("", ""), False)
-    stack = [root]
-
-    def close(names: set[str], edges: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].key[0] in names:
-                del stack[i:]
-                return
-            if stack[i].key[0] in edges:
-                return
-
-    at = 0
-    for m in _TOKEN.finditer(source):
-        if m.start() > at:
-            stack[-1].children.append(html.unescape(source[at : m.start()]))
-        at = m.end()
-        name = (m[3] or "").lower()
-        if not name:
-            if m[1] and m[1].lower() in ("textarea", "iframe", "svg"):
-                stack[-1].children.append(" ")
-        elif m[2]:
-            if name == "p" and all(e.key[0] != "p" for e in stack):
-                continue
-            close({name}, set() if name in ENDS_PARAGRAPH or name in ("body", "html") else ENDS_PARAGRAPH - {"p"})
-        else:
-            if name in ENDS_PARAGRAPH:
-                close({"p"}, ENDS_PARAGRAPH - {"p"} - {f"h{i}" for i in range(1, 7)} | {"li", "td", "th"})
-            if name in SELF_CLOSING:
-                close(SELF_CLOSING[name], LIST_EDGES)
-            if name in INLINE and name not in ("a",):
-                if name in VOID:
-                    stack[-1].children.append(" ")
-                continue
-            marks = " ".join(f"{a[1] or a[2] or a[3]}" if a[0].lower() != "hidden" else "popup" for a in _ATTRIBUTE.findall(m[4])).lower() if m[4] else ""
-            kind = " ".join(sorted(set(_NAME_WORDS.findall(marks)))) if name not in INLINE else ""
-            element = Element((name, kind), is_outside(name, marks))
-            stack[-1].children.append(element)
-            if name not in VOID and not m[4].endswith("/"):
-                stack.append(element)
-    if len(source) > at:
-        stack[-1].children.append(html.unescape(source[at:]))
-    return root
-
-
-@dataclass
-class Item:
-    """A part of a wrapper: an element with parts of its own, or a text (key ``#``)."""
-
-    key: tuple[str, str]
-    outside: bool = False
-    optional: bool = False
-    repeated: bool = False
-    text: str | None = ""  # None: a slot
-    varying: int = 0  # characters of texts in slots, over all pages
-    parts: list["Item"] = field(default_factory=list)
-
-    def show(self) -> str:
-        inner = ("#" if self.text is None else "…") if self.key[0] == "#" else f"<{self.key[0]}>" + "".join(p.show() for p in self.parts)
-        return f"({inner})" + "+" * self.repeated + "?" * self.optional if self.repeated or self.optional else inner
-
-
-def item_of(element: Element) -> Item:
-    """The wrapper of one tree: neighbours of the same kind are folded to a repeated group."""
-    out = Item(element.key, element.outside)
-    for child in element.children:
-        if isinstance(child, str):
-            text = " ".join(child.split())
-            if not text:
-                continue
-            part = Item(("#", ""), text=text)
-        else:
-            part = item_of(child)
-        if out.parts and out.parts[-1].key == part.key:
-            out.parts[-1] = align(out.parts[-1], part)
-            out.parts[-1].repeated = True
-        else:
-            out.parts.append(part)
-    return out
-
-
-def align(a: Item, b: Item) -> Item:
-    """The wrapper that matches what either of two with the same key matches."""
-    out = Item(a.key, a.outside, a.optional or b.optional, a.repeated or b.repeated, varying=a.varying + b.varying)
-    if a.key[0] == "#":
-        out.text = a.text if a.text == b.text else None
-        if out.text is None:
-            out.varying += sum(len(x.text) for x in (a, b) if x.text)
-        return out
-    n, m = len(a.parts), len(b.parts)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            same = a.parts[i].key == b.parts[j].key
-            best[i][j] = best[i + 1][j + 1] + 1 if same else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and a.parts[i].key == b.parts[j].key:
-            part = align(a.parts[i], b.parts[j])
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            part, i = a.parts[i], i + 1
-            part.optional = True
-        else:
-            part, j = b.parts[j], j + 1
-            part.optional = True
-        if out.parts and out.parts[-1].key == part.key:
-            out.parts[-1] = align(out.parts[-1], part)
-            out.parts[-1].repeated = True
-        else:
-            out.parts.append(part)
-    return out
-
-
-def varying(item: Item, alone: bool = False) -> int:
-    """Characters of varying text in an item, outside of what is not main text; with ``alone``
-    (a wrapper of one page) all text counts."""
-    if item.outside:
-        return 0
-    own = item.varying + (len(item.text) if alone and item.key[0] == "#" and item.text else 0)
-    return own + sum(varying(p, alone) for p in item.parts)
-
-
-def content_root(wrapper: Item, alone: bool = False) -> list[tuple[str, str]]:
-    """Keys from the top to the element that holds the main text; empty if there is none."""
-    total, path, here = varying(wrapper, alone), [], wrapper
-    while total:
-        inner = [p for p in here.parts if p.key[0] != "#" and p.key[0] not in HEADINGS_AND_TEXT and p.key[0] not in INLINE]
-        main = [p for p in inner if p.key[0] in ("main", "article") and varying(p, alone)]
-        best = max(main or inner, key=lambda p: varying(p, alone), default=None)
-        if best is None or not main and varying(best, alone) < 0.6 * total:
-            break
-        here = best
-        path.append(here.key)
-    return path
-
-
-def infer(pages: list[str]) -> dict:
-    """The wrapper of some pages: as a shown expression, and its content root."""
-    wrapper = item_of(parse(pages[0]))
-    for page in pages[1:]:
-        wrapper = align(wrapper, item_of(parse(page)))
-    return {"root": content_root(wrapper), "wrapper": wrapper.show(), "pages": len(pages)}
-
-
-def blocks_under(tree: Element, root: list[tuple[str, str]]) -> list[str]:
-    """Text blocks, in page order, below the elements that the path leads to."""
-    out, current = [], []
-
-    def end() -> None:
-        text = " ".join("".join(current).split())
-        current.clear()
-        if text:
-            out.append(text)
-
-    def read(element: Element) -> None:
-        for child in element.children:
-            if isinstance(child, str):
-                current.append(child)
-            elif child.outside:
-                end()
-            elif child.key[0] in INLINE:
-                read(child)
+#: Different pages that make a text that they share a part of the template.
+AGREE = 5
+#: Share of link characters, and characters of a block on average, by which a group is a menu.
+MENU_SHARE, MENU_CHARS = 0.9, 40
+#: Forms of pages that a task holds before it aligns them; wrappers aligned in one group, on average.
+FORMS, GROUP = 2000, 64
+#: Wrappers are handed to tasks while they take no more bytes than this; else joined by host.
+HANDED_BYTES = 32 << 20
+#: Matches of page forms that a worker keeps.
+MATCHES = 20_000
+
+LEARNED = "host string, wrapper string"
+RESULT = "url string, text string, n_chars long"
+
+
+def _digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) >> 1
+
+
+class Wrapper:
+    """A regular expression over tokens, and up to ``AGREE`` digests of pages behind it."""
+
+    def __init__(self, root: Item, pages: set[int]):
+        self.root, self.pages = root, pages
+
+    @classmethod
+    def of(cls, page: Page) -> "Wrapper":
+        for slot in page.root.slots():
+            blocks = [page.blocks[i] for i in sorted(slot.texts)]
+            text = "\n".join(b.text for b in blocks)
+            slot.known = Known(_digest(text), 1, len(blocks), sum(len(b.text) for b in blocks), sum(b.linked for b in blocks))
+        return cls(page.root, {_digest("\n".join(b.text for b in page.blocks))})
+
+    def align(self, other: "Wrapper") -> None:
+        absorb(self.root, other.root)
+        self.pages = set(sorted(self.pages | other.pages)[:AGREE])
+
+    def dump(self) -> str:
+        def listed(item: Item) -> list:
+            k = item.known
+            flags = [item.level, int(item.main), int(item.optional), int(item.repeated), int(item.bag)]
+            return [*item.key, flags, k and [k.digest, k.pages, k.blocks, k.chars, k.linked], [listed(p) for p in item.parts]]
+
+        return json.dumps([sorted(self.pages), listed(self.root)], separators=(",", ":"))
+
+    @classmethod
+    def load(cls, dumped: str) -> "Wrapper":
+        def item(x: list) -> Item:
+            name, kinds, (level, main, optional, repeated, bag), known, parts = x
+            return Item((name, kinds), level, bool(main), bool(optional), bool(repeated), [item(p) for p in parts], bool(bag), known=known and Known(*known))
+
+        pages, root = json.loads(dumped)
+        return cls(item(root), set(pages))
+
+    def kept(self) -> set[int]:
+        """The slots, by their place among all slots, that hold main text."""
+        slots, menus = [], []
+
+        def walk(item: Item, repeated: bool) -> None:
+            repeated |= item.repeated
+            if item.key[0] == "#":
+                slots.append(item)
+                menus.append(repeated)
+            for p in item.parts:
+                walk(p, repeated)
+
+        walk(self.root, False)
+        known = enumerate(zip(slots, menus, strict=True))
+
+        def template(slot: Item, repeated: bool) -> bool:
+            k = slot.known
+            if len(self.pages) >= AGREE and k.digest is not None and k.pages >= AGREE:
+                return True
+            return repeated and not slot.main and k.linked >= MENU_SHARE * k.chars and k.chars < MENU_CHARS * k.blocks
+
+        varying = [i for i, (s, repeated) in known if s.level >= SOFT and not template(s, repeated)]
+        found = [i for i in varying if slots[i].level == INSIDE] or varying
+        main = [i for i in found if slots[i].main]
+        size = lambda places: sum(slots[i].known.chars for i in places)
+        return set(main if main and 2 * size(main) >= size(found) else found)
+
+    def match(self, page: Item) -> list[int] | None:
+        """For each slot of a page the place of the wrapper's slot; None if the page does not fit."""
+        places = {id(s): i for i, s in enumerate(self.root.slots())}
+        out = []
+
+        def fit(mine: Item, its: Item) -> bool:
+            if mine.key[0] == "#":
+                out.append(places[id(mine)])
+                return True
+            if kinds := by_key(mine.parts):
+                if not mine.bag and (its.bag or not by_key(its.parts)):
+                    return False
+                partners = [next((kinds[k] for k in broader(p.key) if k in kinds), None) for p in its.parts]
             else:
-                end()
-                read(child)
-                end()
-
-    level = [tree]
-    for key in root:
-        level = [c for e in level for c in e.children if isinstance(c, Element) and c.key == key and not c.outside]
-    for e in level:
-        read(e)
-        end()
-    return out
-
-
-def main_text(source: str | None, root: list[tuple[str, str]] | None) -> str:
-    """The main text of a page by a host's content root, or by a wrapper made from itself."""
-    tree = parse(source)
-    found = blocks_under(tree, root) if root else []
-    if not found:
-        found = blocks_under(tree, content_root(item_of(tree), alone=True))
-    return "\n".join(found)
+                pairs = common(mine.parts, its.parts)
+                partners = [mine.parts[i] for i, _ in pairs] if len(pairs) == len(its.parts) and not its.bag else [None]
+            return all(a is not None and fit(a, b) for a, b in zip(partners, its.parts, strict=False))
+
+        return out if fit(self.root, page) else None
+
+
+def aligned(wrappers: list[Wrapper]) -> Wrapper:
+    """One wrapper of several, those of most pages first."""
+    weight = lambda w: -max((s.known.pages for s in w.root.slots()), default=0)
+    first, *rest = sorted(wrappers, key=lambda w: (weight(w), w.dump()))
+    for other in rest:
+        first.align(other)
+    return first
+
+
+class Forms:
+    """Pages by host and form. Pages of one form differ in texts alone, so they add up."""
+
+    def __init__(self):
+        self.by_host: dict[str, dict[str, Wrapper]] = {}
+        self.size = 0
+
+    def add(self, host: str, source: str) -> None:
+        page = Page(source)
+        if not page.blocks:
+            return
+        new, shape = Wrapper.of(page), page.root.shape()
+        forms = self.by_host.setdefault(host, {})
+        if shape not in forms:
+            self.size += 1
+            forms[shape] = new
+            return
+        for a, b in zip(forms[shape].root.slots(), new.root.slots(), strict=True):
+            a.known = a.known.plus(b.known)
+        forms[shape].pages = set(sorted(forms[shape].pages | new.pages)[:AGREE])
+
+    def drain(self) -> Iterator[tuple[str, str]]:
+        for host, forms in self.by_host.items():
+            yield host, aligned(list(forms.values())).dump()
+        self.by_host, self.size = {}, 0
+
+
+def infer(pages: list[str]) -> Wrapper:
+    """The wrapper of some pages with text."""
+    forms = Forms()
+    for p in pages:
+        forms.add("", p)
+    return Wrapper.load(next(forms.drain())[1])
+
+
+def main_text(source: str | None, wrapper: Wrapper | None, matches: dict | None = None, kept: set[int] | None = None) -> tuple[str, bool]:
+    """The main text of a page, and whether it fits the wrapper."""
+    page = Page(source)
+    shape = page.root.shape()
+    matches = {} if matches is None else matches
+    if wrapper and shape not in matches:
+        if len(matches) >= MATCHES:
+            matches.clear()
+        matches[shape] = wrapper.match(page.root)
+    places = matches.get(shape) if wrapper else None
+    fits = places is not None
+    if fits:
+        kept = wrapper.kept() if kept is None else kept
+    else:
+        own = Wrapper.of(page)
+        kept, places = own.kept(), range(len(own.root.slots()))
+    blocks = {i for slot, place in zip(page.root.slots(), places, strict=True) if place in kept for i in slot.texts}
+    return "\n".join(b.text for i, b in enumerate(page.blocks) if i in blocks), fits
 
 
 def host_of(url) -> F.Column:
@@ -256,47 +197,72 @@ def host_of(url) -> F.Column:
     return F.when(host != "", host)
 
 
-def wrappers(pages: DataFrame, scratch: Scratch, pages_each: int = PAGES_EACH) -> DataFrame:
-    """``host, wrapper``: a JSON description for each host, from a few of its pages."""
-    narrow = pages.where("html IS NOT NULL").select(
-        "page_id", host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("order")
-    ).where("host IS NOT NULL")
-    for key in (["host", F.pmod("order", F.lit(CHOICE_PARTS))], ["host"]):
-        window = Window.partitionBy(*key).orderBy("order", "page_id")
-        narrow = narrow.withColumn("n", F.row_number().over(window)).where(F.col("n") <= pages_each).drop("n")
-    chosen = scratch.put(narrow.select("page_id", "host").distinct())
-    texts = pages.select("page_id", host_of(F.col("url")).alias("host"), "html").join(chosen, ["page_id", "host"], "left_semi")
+def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """``host, wrapper``: the dumped wrapper of each host with text, from all its pages."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms = Forms()
 
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values("page_id")["html"].drop_duplicates().tolist()[:pages_each]
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(infer(ordered))]})
+        def out() -> pa.RecordBatch:
+            rows = list(forms.drain())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["host", "wrapper"])
 
-    return scratch.put(texts.select("page_id", "host", "html").groupBy("host").applyInPandas(learn, "host string, wrapper string"))
+        for batch in batches:
+            for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                forms.add(host, source)
+                if forms.size >= FORMS:
+                    yield out()
+        yield out()
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        merged = aligned([Wrapper.load(w) for w in group["wrapper"]])
+        return pd.DataFrame({"host": group["host"].iloc[:1], "wrapper": [merged.dump()]})
+
+    rows = scratch.put(pages.select("host", "html").where("host IS NOT NULL AND html IS NOT NULL").mapInArrow(learn, LEARNED))
+    while True:
+        most = rows.groupBy("host").agg(F.count("*").alias("n")).agg(F.max("n")).head()[0]
+        if (most or 0) <= 1:
+            return rows
+        part = F.pmod(F.xxhash64("wrapper"), F.lit(-(-most // GROUP)))
+        rows = scratch.put(rows.withColumn("part", part).groupBy("host", "part").applyInPandas(merge, LEARNED))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """The main text of every page: page_id, url, text, n_chars.
 
     Blocks are joined by a newline; white space inside a block becomes one space. A page without
-    main text, or with null html, has an empty text. Pages without a host in their URL are read
-    with wrappers of their own. Other columns are ignored.
+    main text, or with null or empty html, has an empty text. Pages without a host in their URL are
+    read with wrappers of their own. Repeated rows and rows without a page_id are read each, pages
+    of any length and depth in time that grows with their length; an empty table gives no rows.
+    Other columns are ignored, so their names cannot clash.
     """
-    scratch = Scratch(pages.sparkSession, "wrappers")
+    spark, scratch = pages.sparkSession, Scratch(pages.sparkSession, "wrappers")
     rows = pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string"))
+    rows = rows.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     learned = wrappers(rows, scratch)
-    size = learned.agg(F.sum(F.length("wrapper") + F.length("host"))).head()[0] or 0
-    learned = F.broadcast(learned) if size <= BROADCAST_BYTES else learned
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        roots: dict[str | None, list | None] = {None: None}
+    size = learned.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).head()[0] or 0
+    if size <= HANDED_BYTES:
+        handed = spark.sparkContext.broadcast({r["host"]: r["wrapper"] for r in learned.collect()})
+        joined = rows.select("page_id", "url", "html", F.col("host").alias("wrapper"))
+    else:
+        handed = None
+        joined = rows.join(learned, "host", "left").select("page_id", "url", "html", "wrapper")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded: dict[str, tuple[Wrapper, set[int], dict]] = {}
         for batch in batches:
             texts = []
-            for source, wrapper in zip(batch["html"], batch["wrapper"], strict=True):
-                if wrapper not in roots:
-                    roots[wrapper] = [tuple(k) for k in json.loads(wrapper)["root"]]
-                texts.append(main_text(source, roots[wrapper]))
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            for source, name in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
+                dumped = handed.value.get(name) if handed else name
+                if dumped and name not in loaded:
+                    if len(loaded) >= 1000:
+                        loaded.clear()
+                    wrapper = Wrapper.load(dumped)
+                    loaded[name] = wrapper, wrapper.kept(), {}
+                wrapper, kept, matches = loaded[name] if dumped else (None, None, None)
+                texts.append(main_text(source, wrapper, matches, kept)[0])
+            arrays = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    joined = rows.withColumn("host", host_of(F.col("url"))).join(learned, "host", "left").select("page_id", "url", "html", "wrapper")
-    return joined.mapInPandas(read, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.mapInArrow(read, f"page_id {kind}, {RESULT}")
