@@ -122,6 +122,7 @@ def test_packing_covers_every_document(spark):
         total = len(codec().encode(t)) + 1
         assert [p for p, _, _ in mine] == list(range(len(mine))) and sum(n for _, _, n in mine) == total
         assert len(mine) == -(-total // 1024)
+        assert all(n == 1024 for _, _, n in mine[1:]) and [at for _, at, _ in mine] == [sum(n for _, _, n in mine[:k]) for k in range(len(mine))]
 
 
 def test_packing_small_slots_and_repeated_rows(spark):
@@ -133,6 +134,18 @@ def test_packing_small_slots_and_repeated_rows(spark):
     assert sequences <= 1.03 * -(-sum(r["length"] for r in rows) // 64) + 1
 
 
+def test_cuts_leave_the_remainder_in_front():
+    assert [op10.cuts(n, 8) for n in (1, 8, 9, 20)] == [[0, 1], [0, 8], [0, 1, 9], [0, 4, 12, 20]]
+
+
+def test_packing_keeps_ids_that_doubles_cannot_hold(spark):
+    rows = [(2**60 + 1, "a"), (None, ""), (None, None), (None, "")]
+    got = op10.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] or 0 for r in got) == [0, 0, 0, 2**60 + 1] and len({(r["sequence_id"], r["offset"]) for r in got}) == 4
+    digests = op6.encode_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] or 0 for r in digests) == [0, 0, 0, 2**60 + 1]
+
+
 def test_packing_without_documents(spark):
     assert op10.pack(docs_of(spark, [])).count() == 0
 

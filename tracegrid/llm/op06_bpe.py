@@ -10,7 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .bpe import DEFAULT_VOCABULARY, LEAF_CHARS, Codec, codec
 from .scratch import Scratch
@@ -44,17 +47,20 @@ def _whole(code: Codec, ids: np.ndarray) -> tuple[list[int], str]:
 
 def _run(docs: DataFrame, path: str, leaf_chars: int, finish, schema: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    names = [x.split()[0] for x in schema.split(", ")]
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    names = arrow.names
     is_long = F.length("text") > leaf_chars
     # a piece has at most four tokens a character
     step_kind = "<u2" if 4 * leaf_chars < 1 << 16 else "<u4"
     id_kind = lambda code: "<u2" if code.encoding.n_vocab <= 1 << 16 else "<u4"
 
-    def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(path)
         for batch in batches:
-            out = pd.DataFrame([finish(code, code.encode(t)) for t in batch["text"]], columns=names)
-            yield pd.concat([batch[["doc_id"]].astype("Int64"), out], axis=1)
+            out = [finish(code, code.encode(t)) for t in batch.column("text").to_pylist()]
+            columns = zip(*out, strict=True) if out else [()] * len(names)
+            arrays = [pa.array(c, kind.type) for c, kind in zip(columns, arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *names])
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = codec(path)
@@ -117,7 +123,7 @@ def _run(docs: DataFrame, path: str, leaf_chars: int, finish, schema: str) -> Da
     joined = scratch.put(leaf_rows.groupBy("key").applyInPandas(join_leaves, "key string, " + schema))
     return (
         rows.where(~is_long)
-        .mapInPandas(short, "doc_id long, " + schema)
+        .mapInArrow(short, "doc_id long, " + schema)
         .unionByName(owners.join(joined, "key").select("doc_id", *names))
     )
 

@@ -13,9 +13,10 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import DEFAULT_VOCABULARY, codec
@@ -30,29 +31,35 @@ FIT_ROUNDS = 400
 SLOTS, SLOT_ROWS = 50_000, 256
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+COLUMNS = [x.split()[0] for x in PIECES.split(", ")]
+
+
+def cuts(n: int, capacity: int) -> list[int]:
+    """Where ``n`` ids are cut: all pieces are whole but the first, which takes what is over."""
+    return [0, *range(n % capacity or capacity, n + 1, capacity)]
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, closing_id: int = CLOSING_ID, path: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """The pieces of every document: ids and the closing id, cut every ``capacity`` ids.
+    """The pieces of every document: its ids and the closing id, those of more than ``capacity``
+    cut into pieces of ``capacity`` ids; the first piece may be shorter.
 
-    Null text counts as empty and gives one piece with the closing id. The last piece of a
-    document may be short. Only ``doc_id`` and ``text`` are read.
+    Null text counts as empty and gives one piece with the closing id. Only ``doc_id`` and
+    ``text`` are read.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(path)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            found = []
+            for row, text in enumerate(batch.column("text").to_pylist()):
                 ids = np.append(code.encode(text), np.uint32(closing_id)).astype("<u4")
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    rows.append((doc_id, k, at, len(part), zlib.crc32(part.tobytes())))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+                at = cuts(len(ids), capacity)
+                found += [(row, k, x, y - x, zlib.crc32(ids[x:y].tobytes())) for k, (x, y) in enumerate(pairwise(at))]
+            rows, *columns = np.array(found, np.int64).reshape(-1, 5).T
+            arrays = [batch.column("doc_id").take(pa.array(rows)), pa.array(columns[0].astype(np.int32)), *map(pa.array, columns[1:])]
+            yield pa.RecordBatch.from_arrays(arrays, COLUMNS)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
 @dataclass
@@ -189,19 +196,19 @@ def make_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
 def ranked(rows: DataFrame, slots: int = SLOTS, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Number the rows of each length from 0, as column ``rank``.
 
-    A length's rows are dealt to slots by a hash of the row; the table of slots has at most
-    ``slots`` rows and one for each length, so it is broadcast.
+    A length's rows are dealt to slots by their number ``row``, so equal rows do not meet in one;
+    the table of slots has at most ``slots`` rows and one for each length, so it is broadcast.
     """
     total = rows.count()
     per_slot = max(slot_rows, -(-total // slots))
     sizes = rows.groupBy("length").agg(F.ceil(F.count("*") / per_slot).alias("n_slots"))
     dealt = rows.join(F.broadcast(sizes), "length").withColumn(
-        "slot", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "n_slots")
+        "slot", F.pmod(F.xxhash64("row"), "n_slots")
     )
     below = Window.partitionBy("length").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slot_sizes = dealt.groupBy("length", "slot").agg(F.count("*").alias("n"))
     first = slot_sizes.select("length", "slot", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("length", "slot").orderBy("doc_id", "piece")
+    inside = Window.partitionBy("length", "slot").orderBy("row")
     return (
         dealt.withColumn("inside", F.row_number().over(inside) - 1)
         .join(F.broadcast(first), ["length", "slot"])
@@ -215,26 +222,27 @@ def pack(
     """Pack every document into sequences of at most ``capacity`` tokens.
 
     Returns one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
-    Repeated rows are packed each; an empty table gives no rows. Other columns of ``docs`` are
-    ignored.
+    Pieces of equal length may change places. Repeated rows are packed each, rows without a doc_id
+    too; null and empty texts give a piece with the closing id, texts of any length are cut; an
+    empty table gives no rows. Other columns of ``docs`` are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    rows = scratch.put(pieces(docs, capacity, closing_id, path))
+    rows = scratch.put(pieces(docs, capacity, closing_id, path).withColumn("row", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = spark.sparkContext.broadcast(make_plan(histogram, capacity))
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = plan.value
         for batch in batches:
-            length, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
-            sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for x in np.unique(length).tolist():
                 here = np.flatnonzero(length == x)
                 run = np.searchsorted(p.edges[x], rank[here], side="right") - 1
                 sequence[here] = p.sequence[x][run] + rank[here] - p.edges[x][run]
                 offset[here] = p.offset[x][run]
-            yield batch[columns].astype({"doc_id": "Int64"}).assign(sequence_id=sequence, offset=offset)
+            arrays = [*(batch.column(c) for c in COLUMNS), pa.array(sequence), pa.array(offset)]
+            yield pa.RecordBatch.from_arrays(arrays, [*COLUMNS, "sequence_id", "offset"])
 
-    return ranked(rows).select(*columns, "rank").mapInPandas(place, PIECES + ", sequence_id long, offset long")
+    return ranked(rows).select(*COLUMNS, F.col("rank").cast("long")).mapInArrow(place, PIECES + ", sequence_id long, offset long")
