@@ -16,6 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -159,8 +160,9 @@ def fit_chain(names: list[str], rows: list[np.ndarray], targets: np.ndarray, fol
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, train_rows: int = TRAIN_ROWS) -> Chain:
     """Fit on at most ``train_rows`` labelled documents, those with the smallest hashes of
     doc_id. Labels without a doc_id or with a null category are left out; several labels of a
-    document count as one that has a category if any has. Without any labelled document
-    everything is predicted at one half."""
+    document count as one that has a category if any has; of several texts with a doc_id the one
+    whose words come first in binary order counts. Without any labelled document everything is
+    predicted at one half."""
     categories = categories or CATEGORIES
     names = list(categories)
     flags = [F.max(F.expr(c).cast("int")).alias(f"y{i}") for i, c in enumerate(categories.values())]
@@ -175,7 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
 
     schema = "doc_id long, " + "".join(f"{y} int, " for y in ys) + "words binary"
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", *ys, "text")
-    sample = joined.mapInPandas(features, schema).limit(2 * train_rows).toPandas().sort_values("doc_id")
+    one_each = joined.mapInPandas(features, schema).groupBy("doc_id", *ys).agg(F.min("words").alias("words"))
+    sample = one_each.toPandas().sort_values("doc_id")
     rows = [np.frombuffer(w, np.int32) for w in sample["words"]]
     folds = np.array([xxhash.xxh32_intdigest(str(i)) % FOLDS for i in sample["doc_id"]], np.int64)
     return fit_chain(names, rows, sample[ys].to_numpy(float).reshape(len(rows), len(names)), folds)
@@ -186,28 +189,34 @@ def classify(docs: DataFrame, fitted: Chain) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fitted)
     columns = [f"p_{n}" for n in fitted.names]
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = model.value.predict([word_numbers(t) for t in batch["text"]])
-            yield pd.concat([batch[["doc_id"]].astype("Int64"), pd.DataFrame(p, columns=columns)], axis=1)
+            p = model.value.predict([word_numbers(t) for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, p.T.copy())], ["doc_id", *columns])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(predict, "doc_id long, " + ", ".join(f"{c} double" for c in columns))
+    return rows.mapInArrow(predict, "doc_id long, " + ", ".join(f"{c} double" for c in columns))
 
 
 def keep_clean(docs: DataFrame, fitted: Chain, category: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, below the threshold in one category."""
+    """The rows of ``docs``, with all their columns, below the threshold in one category. Null,
+    empty and wordless texts have no words and stay; repeated rows and rows without a doc_id are
+    judged each by its text, of any length; an empty table stays empty."""
     model = docs.sparkSession.sparkContext.broadcast(fitted)
     k = fitted.names.index(category)
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch[model.value.predict([word_numbers(t) for t in batch["text"]])[:, k] < threshold]
+            p = model.value.predict([word_numbers(t) for t in batch.column("text").cast(pa.string()).to_pylist()])
+            yield batch.filter(pa.array(p[:, k] < threshold))
 
-    return docs.mapInPandas(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Fit on the labels, classify every document: probabilities and the flag ``toxic``."""
+    """Fit on the labels, classify every document: doc_id, probabilities and the flag ``toxic``.
+
+    One row per row of ``docs``, with its doc_id (null ones too); other columns are ignored, so
+    their names cannot clash. An empty table gives no rows."""
     found = classify(docs, train(docs, labels))
     return found.withColumn("toxic", F.col("p_toxic") >= threshold)
