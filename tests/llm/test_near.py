@@ -95,6 +95,14 @@ def test_near_duplicates_odd_rows(spark):
     ]
 
 
+def test_texts_that_share_an_id(spark):
+    """One set stands for a doc_id, whatever the order of the rows."""
+    rows = [(1, "a b c d e f"), (1, "u v w x y z"), (2, "a b c d e f"), (3, "u v w x y z"), (4, ""), (4, None)]
+    schema = "doc_id long, text string"
+    runs = [sorted(map(str, op3.near_duplicates(spark.createDataFrame(x, schema)).collect())) for x in (rows, rows[::-1])]
+    assert runs[0] == runs[1] and len(runs[0]) == 6
+
+
 def test_densified_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     agree = []
@@ -135,6 +143,36 @@ def test_near_vectors_against_brute_force(spark, kind):
     assert op4.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_every_dimension_are_compared(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for dim, n in ((8, 900), (16, 700), (5, 40)):
+        centers = rng.standard_normal((n // 20, dim))
+        rows += [(c + 0.1 * rng.standard_normal(dim)).tolist() for c in np.repeat(centers, 20, axis=0)]
+    rows += [[1e200] * 8, [1e200] * 7 + [1.1e200]]
+    frame = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in op4.near_vectors(frame).collect()}
+    want, found = 0, 0
+    for dim in (5, 8, 16):
+        ids = [i for i, r in enumerate(rows) if len(r) == dim]
+        x = np.array([rows[i] for i in ids])
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near = (x @ x.T >= 0.9).sum(axis=1) - 1
+        n = np.array([got[i]["n_links"] for i in ids])
+        assert (n <= near).all()
+        want, found = want + near.sum(), found + n.sum()
+        assert n.sum() >= 0.95 * near.sum()
+    assert got[len(rows) - 1]["n_links"] >= 1
+
+
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (2**60 + 1, None), (None, [1.0, 0.0])]
+    schema = "vec_id long, embedding array<double>, vec_key string"
+    runs = [sorted(map(str, op4.near_vectors(spark.createDataFrame([(*r, "x") for r in x], schema)).collect())) for x in (rows, rows[::-1])]
+    assert runs[0] == runs[1] and len(runs[0]) == 6 and str(2**60 + 1) in runs[0][-1] + "".join(runs[0])
+
+
 def line_texts():
     rng = random.Random(3)
     line = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(3, 30)))

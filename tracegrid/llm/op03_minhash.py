@@ -25,7 +25,7 @@ from .shingles import mix, overlap, shingle_set
 from .stars import linked_components
 
 BINS, BAND_ROWS = 192, 6
-SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+SIGNED = "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>"
 
 
 def densify(values: np.ndarray, filled: np.ndarray) -> np.ndarray:
@@ -76,11 +76,12 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_key"),
                     pa.array(sizes, pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
                 ],
-                ["doc_id", "n_shingles", "set_key", "bands"],
+                ["doc_id", "text_key", "n_shingles", "set_key", "bands"],
             )
 
     return docs.mapInArrow(sign, SIGNED)
@@ -133,24 +134,26 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     Returns doc_id, n_shingles, component_id, kept for every row of ``docs`` (``doc_id, text``;
     other columns are ignored). Documents without words, or with null text, are linked with
     nothing; so are rows without a doc_id, whose component is null and which are kept. Rows that
-    share a doc_id count as one document.
+    share a doc_id count as one document; of their sets the one whose key comes first is compared.
+    Texts may be of any length; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_key", F.xxhash64("text"))
     signs = scratch.put(signed(rows, k))
     usable = signs.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch.put(usable.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")))
-    heads = scratch.put(
-        usable.join(classes, ["set_key", "doc_id"], "left_semi")
-        .select("doc_id", "bands")
-        .dropDuplicates(["doc_id"])
-    )
+    # one set, and one text that has it, for each document
+    chosen = scratch.put(usable.groupBy("doc_id").agg(F.min(F.struct("set_key", "text_key")).alias("c")).select("doc_id", "c.*"))
+    classes = scratch.put(chosen.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")))
+    picked = chosen.join(classes, ["set_key", "doc_id"], "left_semi")
+    heads = usable.join(picked, ["doc_id", "set_key", "text_key"], "left_semi")
+    heads = scratch.put(heads.select("doc_id", "text_key", "bands").dropDuplicates(["doc_id"]))
     in_buckets = heads.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"))
     sizes = scratch.put(in_buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
     shared = scratch.put(in_buckets.join(sizes, "bucket"))
     scores = scratch.put(shared.groupBy("id").agg(F.sum("size").alias("score")))
     members = scratch.put(shared.join(scores, "id").select("bucket", "id", "score"))
-    texts = scratch.put(rows.join(scores.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
+    compared_rows = heads.join(scores.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text_key")
+    texts = scratch.put(rows.join(scratch.put(compared_rows), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id"]))
     scratch.drop(shared, sizes)
     scratch.release()
     labels = linked_components(
@@ -164,11 +167,11 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
 
     head_of = classes.withColumnRenamed("doc_id", "head")
     labels = labels.withColumnRenamed("id", "head")
-    linkable = F.col("n_shingles") > 0
-    of_class = signs.select("doc_id", "n_shingles", F.when(linkable & F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
-    found = scratch.put(of_class.join(head_of, "set_key", "left").select("doc_id", "n_shingles", "head"))
-    component = F.coalesce("component", "head", "doc_id")
-    return found.join(labels, "head", "left").select(
+    found = scratch.put(chosen.join(head_of, "set_key").select("doc_id", "head"))
+    found = found.join(labels, "head", "left").select("doc_id", F.coalesce("component", "head").alias("component"))
+    with_words = F.when(F.col("n_shingles") > 0, F.col("component"))
+    component = F.coalesce(with_words, "doc_id")
+    return signs.select("doc_id", "n_shingles").join(scratch.put(found), "doc_id", "left").select(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),

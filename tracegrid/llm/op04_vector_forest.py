@@ -1,6 +1,6 @@
 """Embedding near-dedup with a forest of random-projection trees.
 
-Equal vectors form a class first. Each tree splits space again and again by a random direction
+Equal vectors form a class first. Vectors of each dimension have a forest of their own. Each tree splits space again and again by a random direction
 at the median of a bounded sample; a vector near a split goes to both sides (spill), up to
 ``COPIES`` leaves in a tree. Directions come from a pool by a hash of the node, so trees can be
 as deep as the number of vectors asks for without a table of their nodes. Vectors are compared
@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -23,7 +24,7 @@ from .scratch import Scratch
 from .shingles import mix
 
 TREES, COPIES, POOL = 10, 4, 256
-#: Vectors that the medians are taken from, at most.
+#: Vectors of a dimension that the medians are taken from, at most; a dimension that fits one leaf needs none.
 SAMPLE = 16_384
 #: Vectors in a leaf on average; in a block at most; in a node of the sample that has a median.
 LEAF, BLOCK, LEAST = 256, 1024, 48
@@ -31,7 +32,7 @@ LEAF, BLOCK, LEAST = 256, 1024, 48
 SPILL = 0.25
 
 PREPARED = "vec_id long, vec_key binary, vector binary"
-ROUTED = "leaf long, vec_id long, copies long, leaves binary, vector binary"
+ROUTED = "width int, leaf long, vec_id long, copies long, leaves binary, vector binary"
 
 
 @dataclass
@@ -80,11 +81,16 @@ class Forest:
         return out.reshape(len(unit), -1)
 
 
+def depth_for(total: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(1, total) / LEAF))))
+
+
 def fit(sample: np.ndarray, total: int, seed: int = 11) -> Forest:
     """Trees for ``total`` vectors from a bounded sample of unit vectors."""
     rng = np.random.default_rng(seed)
-    dimension = sample.shape[1]
-    depth = max(0, int(np.ceil(np.log2(max(1, total) / LEAF))))
+    dimension, depth = sample.shape[1], depth_for(total)
+    if not depth:
+        return Forest(dimension, 0, np.zeros((TREES, POOL, 0)), np.zeros(0, np.int64), np.zeros(0))
     directions = rng.standard_normal((TREES, POOL, dimension))
     directions /= np.linalg.norm(directions, axis=2, keepdims=True)
     forest = Forest(dimension, depth, directions, np.zeros(0, np.int64), np.zeros(0))
@@ -110,6 +116,12 @@ def _matrix(vectors, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(np.float64)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that squares stay finite."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least position that each of ``n`` reaches over the pairs ``a, b``."""
     label = np.arange(n)
@@ -130,58 +142,58 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, sample: int = SAMPL
     ``vectors`` has ``vec_id`` and ``embedding`` (an array of floats or doubles); other columns
     are ignored. Returns vec_id, n_links, component_id, kept. Null, empty or zero vectors and
     those with null or non-finite components link with nothing; rows without a vec_id likewise,
-    with a null component. Vectors of the most frequent dimension are compared, others only with
-    their equals. Links below the threshold are never returned; a few above it can be missed.
+    with a null component. Vectors of different dimensions link with nothing. Of several vectors
+    with a vec_id the one whose key comes first stands for all. An empty table gives no rows. Links
+    below the threshold are never returned; a few above it can be missed.
     """
     scratch = Scratch(vectors.sparkSession, "forest")
     kind = "<f8" if isinstance(vectors.schema["embedding"].dataType.elementType, T.DoubleType) else "<f4"
 
-    def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, stored = [], []
-            for v in batch["embedding"]:
-                x = None if v is None or not len(v) else np.array([np.nan if c is None else c for c in v], kind)
+            for v in batch.column("embedding").to_pylist():
+                x = np.array([np.nan if c is None else c for c in v], kind) if v else None
                 ok = x is not None and np.isfinite(x).all() and x.any()
                 x = x + 0 if ok else None  # -0.0 is 0.0
                 keys.append(xxhash.xxh3_128_digest(x.tobytes()) if ok else None)
                 stored.append(x.tobytes() if ok else None)
-            yield pd.DataFrame({"vec_id": batch["vec_id"].astype("Int64"), "vec_key": keys, "vector": stored})
+            arrays = [batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array(stored, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["vec_id", "vec_key", "vector"])
 
-    rows = scratch.put(vectors.select(F.col("vec_id").cast("long"), "embedding").mapInPandas(prepare, PREPARED))
+    rows = scratch.put(vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(prepare, PREPARED))
     usable = rows.where("vec_key IS NOT NULL AND vec_id IS NOT NULL")
-    classes = scratch.put(usable.groupBy("vec_key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
-    heads = usable.join(classes, ["vec_key", "vec_id"]).dropDuplicates(["vec_id"]).select("vec_id", "copies", "vector")
-    heads = scratch.put(heads)
-    widths = heads.groupBy(F.length("vector").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").head()
-    component = F.coalesce("component", "head", "vec_id")
-    if widths is None:
-        return rows.select(
-            "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
-        )
-    same_width = heads.where(F.length("vector") == widths["w"])
-    drawn = same_width.orderBy(F.xxhash64("vec_id")).limit(sample).select("vector").collect()
-    x = _matrix([r["vector"] for r in drawn], kind)
-    model = vectors.sparkSession.sparkContext.broadcast(fit(x / np.linalg.norm(x, axis=1, keepdims=True), widths["n"]))
+    chosen = scratch.put(usable.groupBy("vec_id").agg(F.min("vec_key").alias("vec_key")))
+    classes = scratch.put(chosen.groupBy("vec_key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
+    heads = usable.join(classes, ["vec_key", "vec_id"]).dropDuplicates(["vec_id"])
+    heads = scratch.put(heads.select("vec_id", "copies", F.length("vector").alias("width"), "vector"))
+    widths = heads.groupBy("width").agg(F.count("*").alias("n")).collect()
+    forests = {}
+    for w in widths:
+        x = np.ones((1, w["width"] // np.dtype(kind).itemsize))
+        if depth_for(w["n"]):
+            drawn = heads.where(F.col("width") == w["width"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
+            x = _matrix([r["vector"] for r in drawn.select("vector").collect()], kind)
+        forests[w["width"]] = fit(_unit(x), w["n"])
+    model = vectors.sparkSession.sparkContext.broadcast(forests)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            x = _matrix(list(batch["vector"]), kind)
-            leaves = model.value.leaves(x / np.linalg.norm(x, axis=1, keepdims=True))
-            at, column = np.nonzero(leaves >= 0)
-            lists = np.array([r.astype("<i8").tobytes() for r in leaves], object)
-            out = batch.iloc[at][["vec_id", "copies", "vector"]].reset_index(drop=True)
-            yield out.assign(leaf=leaves[at, column], leaves=lists[at])[["leaf", "vec_id", "copies", "leaves", "vector"]]
-
-    routed = scratch.put(same_width.mapInPandas(route, ROUTED))
+            for width, part in batch.groupby("width"):
+                leaves = model.value[width].leaves(_unit(_matrix(list(part["vector"]), kind)))
+                at, column = np.nonzero(leaves >= 0)
+                lists = np.array([r.astype("<i8").tobytes() for r in leaves], object)
+                out = part.iloc[at].reset_index(drop=True).assign(leaf=leaves[at, column], leaves=lists[at])
+                yield out[["width", "leaf", "vec_id", "copies", "leaves", "vector"]]
+
+    routed = scratch.put(heads.mapInPandas(route, ROUTED))
     sizes = scratch.put(
-        routed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        routed.groupBy("width", "leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     )
     one = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
     numbers = F.sequence(F.lit(0), F.col("blocks") - 1)
     dealt = (
-        routed.join(sizes, "leaf")
+        routed.join(sizes, ["width", "leaf"])
         .withColumn("mine", one)
         .withColumn("other", F.explode(numbers))
         .withColumn("i", F.least("mine", "other"))
@@ -190,9 +202,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, sample: int = SAMPL
     )
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        leaf, i, j = key
+        _, leaf, i, j = key
         group = group.sort_values("vec_id").reset_index(drop=True)
         x = _matrix(list(group["vector"]), kind)
+        x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares stay finite
         norm = np.linalg.norm(x, axis=1)
         ids, copies = group["vec_id"].to_numpy(), group["copies"].to_numpy()
         mine = group["mine"].to_numpy()
@@ -224,17 +237,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, sample: int = SAMPL
         linked[a] = linked[b] = True
         return pd.DataFrame({"src": ids[linked], "dst": ids[label[linked]], "n": counted[linked]})
 
-    found = scratch.put(dealt.groupBy("leaf", "i", "j").applyInPandas(compare, "src long, dst long, n long"))
+    found = scratch.put(dealt.groupBy("width", "leaf", "i", "j").applyInPandas(compare, "src long, dst long, n long"))
     scratch.drop(routed, sizes)
     scratch.release()
     labels = components(found, scratch).withColumnRenamed("id", "head")
     counts = found.groupBy(F.col("src").alias("head")).agg(F.sum("n").alias("n"))
     classes = classes.withColumnRenamed("vec_id", "head")
-    told = scratch.put(classes.join(counts, "head", "left").join(labels, "head", "left"))
-    keyed = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("vec_key")).alias("vec_key"))
-    return keyed.join(told, "vec_key", "left").select(
+    told = chosen.join(classes, "vec_key").join(counts, "head", "left").join(labels, "head", "left").drop("vec_key")
+    component = F.coalesce("component", "head", "vec_id")
+    can_link = rows.select("vec_id", F.col("vec_key").isNotNull().alias("usable"))
+    return can_link.join(scratch.put(told), "vec_id", "left").select(
         "vec_id",
-        (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
+        F.when(F.col("usable"), F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("usable"), component).otherwise(F.col("vec_id")).alias("component_id"),
+        F.coalesce(~F.col("usable") | (F.col("vec_id") == component), F.lit(True)).alias("kept"),
     )
