@@ -22,8 +22,11 @@ def _nfkd(text: pd.Series) -> pd.Series:
 
 
 def search_form(text: Column, ascii_only: bool = False) -> Column:
-    """NFKC and lower case. ``ascii_only`` promises ASCII text, which needs no Python."""
-    return F.lower(text if ascii_only else _nfkc(text))
+    """NFKC and lower case. ``ascii_only`` promises ASCII text, which needs no Python; else only
+    texts that are not ASCII are handed over."""
+    if ascii_only:
+        return F.lower(text)
+    return F.lower(F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text))
 
 
 def canonical_label(label: Column, ascii_only: bool = False) -> Column:
@@ -69,6 +72,6 @@ def first_attr(attrs: Column, *keys: str) -> Column:
 
 
 def snippets(text: Column, term: str, radius: int = 60, most: int = 5) -> Column:
-    """Up to ``most`` stretches of text around a term, lower-cased for matching."""
-    quoted = re.escape(term.lower())
-    return F.slice(F.regexp_extract_all(F.lower(text), F.lit(f"(?s).{{0,{radius}}}{quoted}.{{0,{radius}}}"), F.lit(0)), 1, most)
+    """Up to ``most`` stretches of text around a term, as they stand; case does not matter."""
+    quoted = re.escape(term)
+    return F.slice(F.regexp_extract_all(text, F.lit(f"(?isu).{{0,{radius}}}{quoted}.{{0,{radius}}}"), F.lit(0)), 1, most)

@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..plans.tables import Tables
+
 MAX_STARTS, MAX_DEPTH, MAX_NODES, MAX_EDGES = 64, 5, 500, 2000
 
 
@@ -32,15 +34,17 @@ def neighbors(nodes: DataFrame, edges: DataFrame, node_id, direction: str = "bot
 def walk(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out") -> DataFrame:
     """Breadth-first: ``id, depth`` of all nodes within so many steps of the starts.
 
-    Each level is an equi-join of the newest nodes with the edges and an anti-join with what has
-    been seen; levels are few and stay lazy.
+    A level is an equi-join of the newest nodes with the edges and an anti-join with what has been
+    seen. Each is written once and read by the next, so the plan does not grow with the depth.
     """
+    tables = Tables(edges.sparkSession, "walk")
     links = directed(edges, direction).select("at", "to")
-    seen = starts.select("id").distinct().withColumn("depth", F.lit(0))
-    newest = seen
+    seen = newest = starts.select("id").distinct().withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
         reached = newest.join(links, F.col("id") == F.col("at")).select(F.col("to").alias("id")).distinct()
-        newest = reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(d))
+        newest = tables.put(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(d)))
+        if newest.isEmpty():
+            break
         seen = seen.unionAll(newest)
     return seen
 
@@ -114,3 +118,23 @@ def thread(spark: SparkSession, entries: DataFrame, root_id, max_depth: int = 64
         args={"root": root_id, "deepest": max_depth},
         entries=entries,
     )
+
+
+def threads(entries: DataFrame, max_depth: int = 64) -> DataFrame:
+    """All trees of entries (id, parent_id): ``id, root_id, depth``.
+
+    Entries whose parent is not there are roots; those deeper than ``max_depth``, or in a cycle,
+    are left out. Pointers to ancestors double, so 64 levels take seven joins whatever the shapes.
+    """
+    tables = Tables(entries.sparkSession, "threads")
+    ids = entries.select(F.col("id").alias("parent_id"), F.lit(True).alias("known")).distinct()
+    placed = entries.select("id", "parent_id").distinct().join(ids, "parent_id", "left")
+    up = F.when(F.col("known"), F.col("parent_id")).otherwise(F.col("id"))
+    pointers = tables.put(placed.select("id", up.alias("up"), F.coalesce("known", F.lit(False)).cast("int").alias("depth")))
+    reach = 1
+    while reach <= max_depth:
+        then = pointers.select(F.col("id").alias("up"), F.col("up").alias("farther"), F.col("depth").alias("more"))
+        pointers = tables.put(pointers.join(then, "up").select("id", F.col("farther").alias("up"), (F.col("depth") + F.col("more")).alias("depth")))
+        reach *= 2
+    roots = placed.where("known IS NULL").select(F.col("id").alias("up"))
+    return pointers.join(roots, "up", "left_semi").where(F.col("depth") <= max_depth).select("id", F.col("up").alias("root_id"), "depth")

@@ -3,8 +3,11 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.paths import basename, normalize_path, suffix_key
+from ..plans.tables import Tables
 
 PROXIMITY_SECONDS, PROXIMITY_KEEP = 86_400, 3
+#: Rows in the fullest bucket of the first look, and how much wider each further look is.
+PROXIMITY_ROWS, WIDER = 64, 8
 
 
 def with_object(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -26,69 +29,110 @@ def object_groups(artifacts: DataFrame, events: DataFrame) -> DataFrame:
     return both.withColumn("confidence", confidence)
 
 
-def _best(matches: DataFrame) -> DataFrame:
-    """The best file of each candidate: same deleted state, shorter path, smaller id. An
-    aggregate and not a window, so copies of a popular candidate combine before they move."""
+def _best(matches: DataFrame, *key: str) -> DataFrame:
+    """The best file of each key: same deleted state, shorter path, smaller id. An aggregate and
+    not a window, so copies of a popular candidate combine before they move."""
     score = F.struct(
         (F.col("wants_deleted") != F.col("deleted")).cast("int").alias("mismatch"),
         F.length("file_path").alias("length"), F.col("file_id").alias("file_id"), F.col("file_path").alias("file_path"),
     )
-    found = matches.groupBy("candidate_id").agg(F.min(score).alias("best"))
-    return found.select("candidate_id", "best.file_id", "best.file_path")
+    return matches.groupBy(*key).agg(F.min(score).alias("best")).select(*key, "best.file_id", "best.file_path")
+
+
+def _least_file(files: DataFrame, key: str) -> DataFrame:
+    """Of files that any candidate matches alike, the best for each deleted state."""
+    best = F.min(F.struct(F.length("file_path").alias("length"), "file_id", "file_path")).alias("f")
+    return files.groupBy(key, "deleted").agg(best).select(key, "deleted", "f.file_id", "f.file_path")
 
 
 def best_path_match(candidates: DataFrame, files: DataFrame) -> DataFrame:
     """For each ``candidate_id, candidate, wants_deleted`` the file with the same normalized path,
     else the best of those whose path ends with the candidate's (without drive and root).
 
-    Suffixes need not begin at a component. Candidates with a slash share their last component
-    with whatever they match, which is the key of an equi-join; the others are matched by the
-    ends of names of their own length, an equi-join as well.
+    Suffixes need not begin at a component. Equal candidates are matched once. All but the first
+    component of a candidate are whole, so one with a slash shares these, and the sign before them,
+    with whatever it matches: a key that each file has once for each depth that occurs. Candidates
+    of one component are matched by the ends of different file names, of lengths that occur.
     """
-    c = candidates.withColumn("norm", normalize_path(F.col("candidate"))).withColumn("key", suffix_key(F.col("norm"))).where("key <> ''")
-    f = files.select(
-        F.col("id").alias("file_id"), normalize_path(F.col("path")).alias("file_path"), "deleted"
-    ).withColumn("file_key", suffix_key(F.col("file_path")))
-    exact = _best(c.join(f, F.col("norm") == F.col("file_path"))).withColumn("how", F.lit("exact"))
-    open_c = c.join(exact.select("candidate_id"), "candidate_id", "left_anti")
-    named = f.withColumn("base", basename(F.col("file_key")))
-    deep = open_c.where(F.col("key").contains("/")).withColumn("base", basename(F.col("key")))
-    by_base = deep.join(named, "base").where(F.expr("endswith(file_key, key)"))
-    flat = open_c.where(~F.col("key").contains("/")).withColumn("n", F.length("key"))
-    lengths = flat.select("n").distinct()
-    ends = named.crossJoin(F.broadcast(lengths.agg(F.collect_set("n").alias("ns")))).select(
-        "file_id", "file_path", "deleted", F.explode("ns").alias("n"), "file_key"
-    )
-    by_end = flat.join(ends.withColumn("end", F.expr("right(file_key, n)")).where("length(file_key) >= n"), (F.col("key") == F.col("end")) & (flat["n"] == ends["n"]))
-    columns = ["candidate_id", "wants_deleted", "file_id", "file_path", "deleted"]
-    suffix = _best(by_base.select(*columns).unionAll(by_end.select(*columns))).withColumn("how", F.lit("suffix"))
-    return exact.unionByName(suffix)
+    key = ["norm", "wants_deleted"]
+    c = candidates.withColumn("norm", normalize_path(F.col("candidate")))
+    wanted = c.select(*key).distinct().withColumn("key", suffix_key(F.col("norm"))).where("key <> ''")
+    f = files.select(F.col("id").alias("file_id"), normalize_path(F.col("path")).alias("file_path"), "deleted")
+    f = _least_file(f.withColumn("path_key", F.col("file_path")), "path_key")
+    exact = _best(wanted.join(f, F.col("norm") == F.col("path_key")), *key).withColumn("how", F.lit("exact"))
+    rest = wanted.join(exact.select(*key), key, "left_anti")
+    named = f.withColumn("file_key", suffix_key(F.col("file_path")))
+
+    slashes = F.length("key") - F.length(F.replace("key", F.lit("/")))
+    deep = rest.withColumn("depth", slashes).where("depth > 0").withColumn("end", F.expr("right(key, length(substring_index(key, '/', -depth)) + 2)"))
+    depths = deep.agg(F.collect_set("depth").alias("depths"))
+    tails = named.crossJoin(F.broadcast(depths)).select("file_id", "file_path", "deleted", "file_key", F.explode("depths").alias("depth"))
+    tails = tails.withColumn("tail", F.expr("substring_index(file_key, '/', -depth)")).where("length(tail) < length(file_key)")
+    tails = tails.select("file_id", "file_path", "deleted", "file_key", "depth", F.expr("right(file_key, length(tail) + 2)").alias("end"))
+    by_tail = deep.join(tails, ["depth", "end"]).where(F.expr("endswith(file_key, key)"))
+
+    flat = rest.where(~F.col("key").contains("/")).withColumn("n", F.length("key"))
+    names = _least_file(named.withColumn("base", basename(F.col("file_key"))), "base")
+    ends = names.crossJoin(F.broadcast(flat.agg(F.collect_set("n").alias("ns")))).select("base", "deleted", "file_id", "file_path", F.explode("ns").alias("n"))
+    ends = ends.where("n <= length(base)").withColumn("key", F.expr("right(base, n)"))
+    by_end = flat.join(ends, ["key", "n"])
+
+    columns = [*key, "file_id", "file_path", "deleted"]
+    suffix = _best(by_tail.select(*columns).unionAll(by_end.select(*columns)), *key).withColumn("how", F.lit("suffix"))
+    return c.join(exact.unionByName(suffix), key).select("candidate_id", "file_id", "file_path", "how")
 
 
 def best_name_match(candidates: DataFrame, files: DataFrame) -> DataFrame:
     """The best file whose name is the last component of the candidate, without case."""
     c = candidates.withColumn("base", basename(normalize_path(F.col("candidate"))))
     f = files.select(F.col("id").alias("file_id"), F.col("path").alias("file_path"), "deleted", F.lower("name").alias("base"))
-    return _best(c.join(f, "base"))
+    return _best(c.join(_least_file(f, "base"), "base"), "candidate_id")
+
+
+def _needed(right: DataFrame, keep: int) -> DataFrame:
+    """Of each key and second the rows that can be among the nearest of a row of another object:
+    the first ``keep`` of each object, of the first ``keep + 1`` objects."""
+    rows = right.select("match_key", "second", F.col("id").alias("near_id"), F.col("source_object_id").alias("near_object"))
+    of_object = Window.partitionBy("match_key", "second", "near_object").orderBy("near_id")
+    first = rows.withColumn("r", F.row_number().over(of_object)).where(F.col("r") <= keep)
+    first = first.withColumn("lead", F.min("near_id").over(Window.partitionBy("match_key", "second", "near_object")))
+    objects = Window.partitionBy("match_key", "second").orderBy("lead")
+    return first.withColumn("o", F.dense_rank().over(objects)).where(F.col("o") <= keep + 1).select("match_key", F.col("second").alias("near_second"), "near_id", "near_object")
 
 
 def temporal_proximity(left: DataFrame, right: DataFrame, seconds: int = PROXIMITY_SECONDS, keep: int = PROXIMITY_KEEP) -> DataFrame:
     """For each row of ``left`` the nearest rows of ``right`` of other objects within so many
-    seconds, inclusive, that also share ``match_key``.
+    seconds, inclusive, that also share ``match_key``: ``id, near_id, gap, r``.
 
-    Both have id, source_object_id, second, match_key. Time is cut to buckets of the width; a row
-    of ``left`` looks at its own and both neighbours, so the join is an equi-join.
+    Both have id (one row each), source_object_id, second, match_key. Time is cut to buckets so
+    narrow that the fullest holds ``PROXIMITY_ROWS`` rows that matter; a row looks at its own and
+    both neighbours, an equi-join. Rows that find too few there look again in wider ones, so pairs
+    grow with rows and not with their square.
     """
-    x = left.withColumn("bucket", F.explode(F.expr(f"array(second div {seconds} - 1, second div {seconds}, second div {seconds} + 1)")))
-    y = right.select(
-        F.col("id").alias("near_id"), F.col("source_object_id").alias("near_object"), F.col("second").alias("near_second"),
-        "match_key", F.expr(f"second div {seconds}").alias("bucket"),
-    )
+    tables = Tables(left.sparkSession, "proximity")
+    near = tables.put(_needed(right, keep))
+    width = seconds
+    while width > 1:
+        fullest = near.groupBy("match_key", F.expr(f"near_second div {width}")).agg(F.count("*").alias("n")).agg(F.max("n")).head()[0]
+        if (fullest or 0) <= PROXIMITY_ROWS:
+            break
+        width = max(1, width // WIDER)
+    rest, out = left.select("id", "source_object_id", "second", "match_key"), None
     gap = F.abs(F.col("second") - F.col("near_second"))
-    pairs = x.join(y, ["match_key", "bucket"]).where((gap <= seconds) & (F.col("source_object_id") != F.col("near_object")))
     nearest = Window.partitionBy("id").orderBy("gap", "near_id")
-    ranked = pairs.withColumn("gap", gap).withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= keep)
-    return ranked.select("id", "near_id", "gap", "r")
+    while True:
+        here = F.expr(f"second div {width}")
+        x = rest.withColumn("bucket", F.explode(F.array(here - 1, here, here + 1)))
+        pairs = x.join(near.withColumn("bucket", F.expr(f"near_second div {width}")), ["match_key", "bucket"])
+        pairs = pairs.where((gap <= width) & (F.col("source_object_id") != F.col("near_object"))).withColumn("gap", gap)
+        found = pairs.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= keep).select("id", "near_id", "gap", "r")
+        if width == seconds:
+            return found if out is None else out.unionByName(found)
+        found = tables.put(found)
+        full = found.where(F.col("r") == keep).select("id")
+        done = found.join(full, "id", "left_semi")
+        out = done if out is None else out.unionByName(done)
+        rest, width = tables.put(rest.join(full, "id", "left_anti")), min(seconds, width * WIDER)
 
 
 def pair_sessions(records: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Log and configuration lines to rows, and what is found in them."""
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: What marks requests and scripts as suspicious (kind, severity, confidence, texts).
@@ -9,6 +11,7 @@ REQUEST_RULES = [
     ("crossSiteScripting", "medium", 0.75, ["<script", "%3cscript", "javascript:", "onerror=", "onload="]),
     ("scannerFingerprint", "medium", 0.8, ["sqlmap", "nikto", "dirbuster", "gobuster", "wfuzz", "acunetix"]),
 ]
+#: Texts of web shells, and of addresses that log in.
 WEB_SHELL_MARKERS = ["eval(", "assert(", "base64_decode", "shell_exec", "system(", "passthru(", "cmd.exe", "powershell", "runtime.getruntime"]
 LOGIN_WORDS = ["login", "signin", "wp-login", "admin"]
 BRUTE_FORCE_SECONDS, BRUTE_FORCE_REQUESTS = 300, 50
@@ -39,11 +42,13 @@ def parse_access(lines: DataFrame) -> DataFrame:
     """``line_number, line`` of web access logs to requests. Lines without a bracketed time, a
     quoted request of three words or a numeric status are left out. A first word that is no
     address before one that is, is the virtual host."""
-    group = lambda i: F.regexp_extract("line", _ACCESS, i)
-    request = F.split(F.trim(group(4)), r"\s+")
-    rows = lines.where(F.col("line").rlike(_ACCESS)).select(
-        "line_number", group(1).alias("first"), group(2).alias("second"), group(3).alias("when"), request.alias("request"),
-        group(5).cast("int").alias("status"), group(6).alias("bytes"), group(7).alias("referer"), group(8).alias("user_agent"),
+    # one pass over the line: its eight groups, parted by a sign that no line holds
+    groups = F.split(F.regexp_replace("line", _ACCESS + r"(?s).*$", "\x01".join(f"${i}" for i in range(1, 9))), "\x01")
+    rows = lines.select("line_number", groups.alias("g")).where(F.size("g") == 8)
+    rows = rows.select(
+        "line_number", F.col("g")[0].alias("first"), F.col("g")[1].alias("second"), F.col("g")[2].alias("when"),
+        F.split(F.trim(F.col("g")[3]), r"\s+").alias("request"), F.col("g")[4].cast("int").alias("status"), F.col("g")[5].alias("bytes"),
+        F.col("g")[6].alias("referer"), F.col("g")[7].alias("user_agent"),
     ).where((F.size("request") == 3) & F.col("status").between(0, 65535))
     hosted = ~F.col("first").rlike(_IP) & F.col("second").rlike(_IP)
     return rows.select(
@@ -68,7 +73,11 @@ def parse_error(lines: DataFrame) -> DataFrame:
 
 def web_findings(requests: DataFrame) -> DataFrame:
     """One row for each rule that a request's address, referer or agent meets."""
-    inspected = F.lower(F.concat_ws(" ", "uri", F.coalesce("referer", F.lit("")), F.coalesce("user_agent", F.lit(""))))
+    text = F.lower(F.concat_ws(" ", "uri", F.coalesce("referer", F.lit("")), F.coalesce("user_agent", F.lit(""))))
+    # one scan for all texts lets most requests go before each rule is tried
+    any_part = "|".join(re.escape(p) for *_, parts in REQUEST_RULES for p in parts)
+    requests = requests.select("line_number", "client_ip", "uri", text.alias("inspected")).where(F.col("inspected").rlike(any_part))
+    inspected = F.col("inspected")
     found = [
         F.when(_contains_any(inspected, parts), F.struct(F.lit(kind).alias("finding_kind"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence")))
         for kind, severity, confidence, parts in REQUEST_RULES

@@ -1,11 +1,13 @@
 """Search over names, paths, content and artifact text."""
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import has_phrase, snippets, words
+from ..functions.text import has_phrase, search_form, snippets, words
+from ..plans.tables import Tables
 
 
 @dataclass(frozen=True)
@@ -28,7 +30,7 @@ def glob_pattern(term: str) -> str:
 def term_matches(term: str, field: str) -> Column:
     """Whether a term is found in a field: in names and paths as part of the text, or as a glob
     over the whole name or path; in content as words in a row."""
-    text = F.lower(F.coalesce(F.col(field), F.lit("")))
+    text, term = search_form(F.coalesce(F.col(field), F.lit(""))), unicodedata.normalize("NFKC", term)
     if field in ("name", "path"):
         return text.rlike("(?s)" + glob_pattern(term)) if re.search(r"[*?]", term) else text.contains(term.lower())
     return has_phrase(F.coalesce(F.col(field), F.lit("")), term)
@@ -78,10 +80,11 @@ def ranked_search(documents: DataFrame, query: str, k1: float = 1.2, b: float =
     Only words of the query are counted, in place; the corpus figures are one row of aggregates.
     """
     wanted = sorted({w for w in re.findall(r"\w+", query.lower())})
+    # one pass over the texts: their lengths and the counts of the query's words
+    counts = ", ".join(f"size(filter(w, x -> x = '{t}'))" for t in wanted)
     tokens = documents.select("id", words(F.coalesce("content", F.lit(""))).alias("w"))
-    occurs = lambda t: F.size(F.filter("w", lambda x: x == t))
-    tf = [occurs(t).alias(f"tf{i}") for i, t in enumerate(wanted)]
-    counted = tokens.select("id", F.size("w").alias("dl"), *tf)
+    counted = tokens.select("id", F.expr(f"transform(array(w), w -> array(size(w), {counts}))[0]").alias("c"))
+    counted = Tables(documents.sparkSession, "ranked").put(counted.select("id", F.col("c")[0].alias("dl"), *(F.col("c")[i + 1].alias(f"tf{i}") for i in range(len(wanted)))))
     n_with = [F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"n{i}") for i in range(len(wanted))]
     corpus = counted.agg(F.count("*").alias("docs"), F.avg("dl").alias("avg_dl"), *n_with)
     score = F.lit(0.0)

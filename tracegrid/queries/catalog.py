@@ -113,20 +113,13 @@ def catalog_jump_page(spark, d):
 
 @query(
     """, e AS (SELECT CAST(doc_id AS BIGINT) AS id, CASE WHEN doc_id > 0 THEN doc_id // 2 END AS parent_id FROM documents),
-    c AS (SELECT id AS start_id, 0 AS depth, id FROM e WHERE id % 100 = 99
-      UNION ALL SELECT c.start_id, c.depth + 1, e.parent_id FROM c JOIN e ON e.id = c.id WHERE e.parent_id IS NOT NULL AND c.depth < 12)
+    c AS (SELECT id AS start_id, 0 AS depth, id FROM e
+      UNION ALL SELECT c.start_id, c.depth + 1, e.parent_id FROM c JOIN e ON e.id = c.id WHERE e.parent_id IS NOT NULL)
     SELECT * FROM c"""
 )
 def catalog_ancestors(spark, d):
     entries = spark.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id AS id", "CASE WHEN doc_id > 0 THEN doc_id div 2 END AS parent_id")
-    spark.sparkContext.setCheckpointDir(_shared(spark))
-    return cat.ancestors(entries, entries.where("id % 100 = 99"), 12)
-
-
-def _shared(spark):
-    import tempfile
-
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracegrid-")
+    return cat.ancestors(entries, entries)
 
 
 @query(
@@ -138,16 +131,19 @@ def function_paths(spark, d):
     return files(spark, d).select("id", norm.alias("path"), suffix_key(norm).alias("suffix"), "name", extension(F.col("name")).alias("ext"))
 
 
-@query("SELECT id, lower(path) AS paths, lower(name) AS names FROM f WHERE ext IS NOT NULL")
+@query("SELECT id, lower(path) AS paths, CASE WHEN ext IS NULL THEN '' ELSE lower(name) END AS names FROM f")
 def function_path_candidates(spark, d):
     text = F.concat(F.lit('opened "'), F.translate("path", "/", "\\"), F.lit('" twice, then '), "name")
-    rows = files(spark, d).where("ext IS NOT NULL")
+    rows = files(spark, d)
     return rows.select("id", F.array_join(path_candidates(text), ",").alias("paths"), F.array_join(name_candidates(F.lower("name")), ",").alias("names"))
 
 
-@query("SELECT id FROM f ORDER BY CAST(regexp_extract(name, '[0-9]+') AS BIGINT), id LIMIT 200")
+@query(
+    """SELECT id, concat('doc0', lpad(CAST(len(n) AS VARCHAR), 5, '0'), n, lower(name[len(n) + 4:]), '|', lpad(CAST(len(n) AS VARCHAR), 5, '0'), '|', name) AS natural
+    FROM (SELECT id, name, regexp_extract(name, '[0-9]+') AS n FROM f)"""
+)
 def function_natural_key(spark, d):
-    return files(spark, d).orderBy(natural_key(F.col("name")), "id").limit(200).select("id")
+    return files(spark, d).select("id", F.translate(natural_key(F.col("name")), "\0", "|").alias("natural"))
 
 
 @query("SELECT id, name FROM f WHERE contains(lower(name), 'doc1') AND contains(lower(name), '.pdf') ORDER BY lower(name), id LIMIT 100")
@@ -216,7 +212,7 @@ def correlation_with_object(spark, d):
 _CANDIDATES = """, c AS (SELECT id AS candidate_id, lower(path) AS norm, regexp_replace(lower(path), '^[a-z]:/', '') AS k FROM f WHERE id % 3 = 0
   UNION ALL SELECT id + 1000000, concat('/mnt/x/', regexp_replace(lower(path), '^[a-z]:/', '')), concat('mnt/x/', regexp_replace(lower(path), '^[a-z]:/', '')) FROM f WHERE id % 3 = 1
   UNION ALL SELECT id + 2000000, concat('/', lower(lang_name)), lower(lang_name) FROM (SELECT id, regexp_replace(path, '^[A-Z]:/[^/]*/', '') AS lang_name FROM f WHERE id % 3 = 2)
-  UNION ALL SELECT id + 3000000, lower(substr(name, 3)), lower(substr(name, 3)) FROM f WHERE id % 20 = 4),
+  UNION ALL SELECT id + 3000000, lower(substr(name, 3)), lower(substr(name, 3)) FROM f),
  g AS (SELECT id AS file_id, lower(path) AS file_path, regexp_replace(lower(path), '^[a-z]:/', '') AS file_key, deleted FROM f),
  m AS (SELECT candidate_id, file_id, file_path, CASE WHEN norm = file_path THEN 'exact' ELSE 'suffix' END AS how, deleted FROM c JOIN g ON norm = file_path OR suffix(file_key, k))
  SELECT candidate_id, file_id, file_path, how FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY how, deleted, length(file_path), file_id) AS r FROM m) WHERE r = 1"""
@@ -229,7 +225,7 @@ def correlation_best_path(spark, d):
         f.where("id % 3 = 0").selectExpr("id AS candidate_id", "translate(path, '/', '\\\\') AS candidate"),
         f.where("id % 3 = 1").selectExpr("id + 1000000", "concat('/mnt/x/', regexp_replace(path, '^[A-Z]:/', ''))"),
         f.where("id % 3 = 2").selectExpr("id + 2000000", "concat('/', regexp_replace(path, '^[A-Z]:/[^/]*/', ''))"),
-        f.where("id % 20 = 4").selectExpr("id + 3000000", "substr(name, 3)"),
+        f.selectExpr("id + 3000000", "substr(name, 3)"),
     ]
     rows = made[0]
     for m in made[1:]:
@@ -239,33 +235,33 @@ def correlation_best_path(spark, d):
 
 @query(
     """SELECT candidate_id, file_id, file_path FROM (SELECT c.id AS candidate_id, g.id AS file_id, lower(g.path) AS file_path,
-      row_number() OVER (PARTITION BY c.id ORDER BY g.deleted, length(g.path), g.id) AS r FROM f c JOIN f g ON lower(c.name) = lower(g.name) WHERE c.id % 7 = 0) WHERE r = 1"""
+      row_number() OVER (PARTITION BY c.id ORDER BY g.deleted, length(g.path), g.id) AS r FROM f c JOIN f g ON lower(c.name) = lower(g.name)) WHERE r = 1"""
 )
 def correlation_best_name(spark, d):
     f = files(spark, d)
-    wanted = f.where("id % 7 = 0").selectExpr("id AS candidate_id", "concat('/other/', name) AS candidate", "false AS wants_deleted")
+    wanted = f.selectExpr("id AS candidate_id", "concat('/other/', name) AS candidate", "false AS wants_deleted")
     rows = joins.best_name_match(wanted, f.withColumn("path", normalize_path(F.col("path"))))
     return rows
 
 
-@query("SELECT CAST(id AS VARCHAR) AS artifact_id, id AS file_id, 'exact' AS how, 'strong' AS confidence FROM f WHERE id % 10 = 0")
+@query("SELECT CAST(id AS VARCHAR) AS artifact_id, id AS file_id, 'exact' AS how, 'strong' AS confidence FROM f")
 def correlation_path_leads(spark, d):
     f = files(spark, d)
-    art = f.where("id % 10 = 0").select(F.col("id").cast("string").alias("id"), F.concat(F.lit("saw "), F.translate("path", "/", "\\")).alias("text"))
+    art = f.select(F.col("id").cast("string").alias("id"), F.concat(F.lit("saw "), F.translate("path", "/", "\\")).alias("text"))
     return cor.path_leads(art, f, "text")
 
 
 @query(
-    """, l AS (SELECT concat('family', id % 5) AS family, CASE WHEN id % 2 = 0 THEN 'strong' ELSE 'weak' END AS confidence, id % 9 = 0 AS caveat FROM f WHERE id % 5 < 3),
+    """, l AS (SELECT concat('family', id % 5) AS family, CASE WHEN id % 2 = 0 THEN 'strong' ELSE 'weak' END AS confidence, id % 9 = 0 AS caveat FROM f),
     g AS (SELECT family, count(*) AS leads, count(*) FILTER (confidence = 'strong') AS high, count(*) FILTER (confidence <> 'strong' OR caveat) AS review FROM l GROUP BY family)
     SELECT concat('family', i) AS family, coalesce(leads, 0) AS leads, coalesce(high, 0) AS high, coalesce(review, 0) AS review,
-      CASE WHEN leads IS NULL THEN 'missing' WHEN review > 0 THEN 'review' ELSE 'covered' END AS status FROM range(5) r(i) LEFT JOIN g ON g.family = concat('family', i)"""
+      CASE WHEN leads IS NULL THEN 'missing' WHEN review > 0 THEN 'review' ELSE 'covered' END AS status FROM range(7) r(i) LEFT JOIN g ON g.family = concat('family', i)"""
 )
 def correlation_family_coverage(spark, d):
-    leads = files(spark, d).where("id % 5 < 3").selectExpr(
+    leads = files(spark, d).selectExpr(
         "concat('family', id % 5) AS family", "CASE WHEN id % 2 = 0 THEN 'strong' ELSE 'weak' END AS confidence", "id % 9 = 0 AS caveat"
     )
-    return cor.family_coverage(leads, spark.range(5).selectExpr("concat('family', id) AS family"))
+    return cor.family_coverage(leads, spark.range(7).selectExpr("concat('family', id) AS family"))
 
 
 @query("SELECT id FROM f WHERE id % 4 <> 0")

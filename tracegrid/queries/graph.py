@@ -74,15 +74,14 @@ def graph_containment(spark, d):
 
 
 @query(
-    """, e AS (SELECT conv_id * 100 + turn AS id, CASE WHEN turn > (SELECT min(turn) FROM conversations) THEN conv_id * 100 + turn - 1 END AS parent_id FROM conversations WHERE conv_id < 1),
-    w AS (SELECT id, parent_id, 0 AS depth FROM e WHERE id = (SELECT min(id) FROM e) UNION ALL SELECT e.id, e.parent_id, w.depth + 1 FROM w JOIN e ON e.parent_id = w.id WHERE w.depth < 64)
-    SELECT DISTINCT id, CAST(depth AS INTEGER) AS depth FROM w"""
+    """, e AS (SELECT DISTINCT conv_id, turn FROM conversations),
+    i AS (SELECT *, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM e),
+    w AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, island) AS root FROM i)
+    SELECT concat(conv_id, ':', turn) AS id, concat(conv_id, ':', root) AS root_id, CAST(turn - root AS INTEGER) AS depth FROM w WHERE turn - root <= 64"""
 )
 def graph_thread(spark, d):
-    rows = spark.read.parquet(f"{d}/conversations.parquet").where("conv_id < 1")
-    first = rows.agg(F.min("turn").alias("t")).head()["t"] or 0
-    entries = rows.selectExpr("conv_id * 100 + turn AS id", f"CASE WHEN turn > {first} THEN conv_id * 100 + turn - 1 END AS parent_id", "turn AS created_at")
-    return gr.thread(spark, entries, first).select("id", "depth").distinct()
+    rows = spark.read.parquet(f"{d}/conversations.parquet")
+    return gr.threads(rows.selectExpr("concat(conv_id, ':', turn) AS id", "concat(conv_id, ':', turn - 1) AS parent_id"))
 
 
 _ENTITIES = "(SELECT id, node_type AS entity_type, lower(trim(regexp_replace(label, '#.*', ''))) AS canonical, label FROM nodes)"
@@ -173,3 +172,42 @@ def rule_pack(spark, d):
     f = files(spark, d)
     art = f.select("id", F.col("ext").alias("family"), "name", F.lit("SRC").alias("kind"))
     return ru.run_pack(pack, rules, art, f.select("id", F.col("entry_type").alias("node_type"), "path"))
+
+
+FREE_PACK = """
+[manifest]
+id = "free"
+[[rules]]
+id = "inside"
+family = "exe"
+target_type = "File"
+confidence = "weak"
+conditions = [{source = "stem", operator = "contains", target = "path"}]
+[[rules]]
+id = "pattern"
+family = "log"
+target_type = "Directory"
+conditions = [{source = "pattern", operator = "regex", target = "path"}]
+[[rules]]
+id = "whole"
+family = "jpg"
+target_type = "File"
+confidence = "direct"
+conditions = [{source = "path", operator = "path_equals", target = "path"}, {source = "ext", operator = "equals", target = "ext"}]
+"""
+
+
+@query(
+    """, p AS (SELECT *, regexp_extract(lower(name), '^doc[0-9]+') AS stem FROM f)
+    SELECT concat('rp:free:inside:', s.id, ':', t.id) AS id, CAST(s.id AS VARCHAR) AS source_id, CAST(t.id AS VARCHAR) AS target_id, 'correlates_with' AS edge_type, 0.5::DOUBLE AS confidence
+      FROM p s JOIN p t ON contains(lower(t.path), s.stem) WHERE s.ext = 'exe' AND t.entry_type = 'File'
+    UNION ALL SELECT concat('rp:free:pattern:', s.id, ':', t.id), CAST(s.id AS VARCHAR), CAST(t.id AS VARCHAR), 'correlates_with', 0.5
+      FROM p s JOIN p t ON regexp_matches(t.path, concat('Doc[0-9]*', s.id % 10, '\\.')) WHERE s.ext = 'log' AND t.entry_type = 'Directory'
+    UNION ALL SELECT concat('rp:free:whole:', id, ':', id), CAST(id AS VARCHAR), CAST(id AS VARCHAR), 'correlates_with', 1.0 FROM p WHERE ext = 'jpg' AND entry_type = 'File'"""
+)
+def rule_pack_operators(spark, d):
+    """Rules without an equality (contains, regex), and path and value equality."""
+    pack, rules = ru.parse_pack(FREE_PACK, {"exe", "log", "jpg"})
+    f = files(spark, d)
+    art = f.selectExpr("id", "ext AS family", "regexp_extract(lower(name), '^doc[0-9]+', 0) AS stem", "concat('Doc[0-9]*', id % 10, '\\\\.') AS pattern", "translate(path, '/', '\\\\') AS path", "upper(ext) AS ext")
+    return ru.run_pack(pack, rules, art, f.select("id", F.col("entry_type").alias("node_type"), "path", "ext"))

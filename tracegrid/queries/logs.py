@@ -44,9 +44,15 @@ def log_web_findings(spark, d):
     return lg.web_findings(_requests(spark, d))
 
 
-@query(_LOG + " SELECT client_ip, second // 300 AS bucket, count(*) AS requests FROM q WHERE method = 'POST' AND lower(uri) LIKE '%login%' GROUP BY 1, 2 HAVING count(*) >= 1")
+@query(
+    _LOG
+    + """ SELECT client_ip, bucket, count(*) AS requests FROM (SELECT client_ip, method, uri, second // 300 AS bucket, unnest(range(1 + (line_number // 10) % 90)) AS again FROM q)
+    WHERE method = 'POST' AND lower(uri) LIKE '%login%' GROUP BY 1, 2 HAVING count(*) >= 50"""
+)
 def log_brute_force(spark, d):
-    return lg.brute_force(_requests(spark, d), F.unix_seconds(F.expr("CAST(ts AS TIMESTAMP)")), least=1)
+    """Every request is tried up to ninety times over, so that some clients reach the threshold."""
+    tried = _requests(spark, d).withColumn("again", F.explode(F.expr("sequence(0, (line_number div 10) % 90)")))
+    return lg.brute_force(tried, F.unix_seconds(F.expr("CAST(ts AS TIMESTAMP)")))
 
 
 @query("SELECT doc_id AS line_number, 'accessDenied' AS finding_kind, 'medium' AS severity, concat('Access denied for user ', doc_id) AS evidence FROM documents WHERE doc_id % 3 = 0")
@@ -144,41 +150,46 @@ def function_digests(spark, d):
     return rows.select("id", sha256_text(shown).alias("digest"), F.md5("text").alias("md5"))
 
 
-@query("SELECT CAST(user_id % 10 AS VARCHAR) AS scope_key, 5 AS sequence, 'hash' AS problem FROM (SELECT DISTINCT user_id % 10 AS user_id FROM events) UNION ALL SELECT CAST(user_id % 10 AS VARCHAR), 6, 'link' FROM (SELECT DISTINCT user_id % 10 AS user_id FROM events)")
+_LEDGER = """, b AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events),
+  n AS (SELECT concat(user_id, '/', pos // 64) AS scope_key, count(*) AS n FROM b GROUP BY 1)"""
+
+
+@query(_LEDGER + " SELECT scope_key, 5 AS sequence, 'hash' AS problem FROM n WHERE n >= 5 UNION ALL SELECT scope_key, 6, 'link' FROM n WHERE n >= 6")
 def integrity_chain(spark, d):
-    """Twelve events in each of ten scopes; the fifth was changed after it was hashed, together
-    with its hash, so its successor's link breaks too."""
-    scopes = read(spark, d, "events").select((F.col("user_id") % 10).cast("string").alias("scope_key")).distinct()
-    chain = F.expr(
-        "aggregate(sequence(1, 12), array(struct(0 AS s, repeat('0', 64) AS h)), (acc, i) -> array_append(acc, struct(i AS s,"
-        " sha2(concat_ws(char(31), element_at(acc, -1).h, concat('event ', i)), 256) AS h)))"
+    """The ledgers of all users over all events, in segments of 64. In each the fifth event was
+    changed after it was hashed, together with its hash, so its successor's link breaks too."""
+    rows = it.numbered(read(spark, d, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
+    rows = rows.select(
+        F.expr("concat(user_id, '/', at div 64)").alias("scope_key"), (F.col("at") % 64 + 1).alias("sequence"),
+        F.concat_ws("|", "event_id", "event_type", "value").alias("details"),
+    )
+    segment = rows.groupBy("scope_key").agg(F.array_sort(F.collect_list(F.struct("sequence", "details"))).alias("events"))
+    linked = F.expr(
+        "aggregate(events, array(struct(repeat('0', 64) AS previous_hash, '' AS hash)), (acc, e) -> array_append(acc, struct("
+        "if(size(acc) = 1, repeat('0', 64), element_at(acc, -1).hash) AS previous_hash,"
+        " sha2(concat_ws(char(31), if(size(acc) = 1, repeat('0', 64), element_at(acc, -1).hash), e.details), 256) AS hash)))"
     )
-    rows = scopes.select("scope_key", F.posexplode(chain).alias("at", "x"), chain.alias("all")).where("at > 0")
-    rows = rows.select("scope_key", F.col("at").alias("sequence"), F.concat(F.lit("event "), F.col("at")).alias("details"), F.col("x.h").alias("hash"), F.get("all", F.col("at") - 1)["h"].alias("previous_hash"))
+    chained = segment.select("scope_key", F.explode(F.arrays_zip("events", F.slice(linked, 2, 64).alias("links"))).alias("x"))
+    rows = chained.select("scope_key", F.col("x.events.sequence").cast("int").alias("sequence"), "x.events.details", "x.links.hash", "x.links.previous_hash")
     changed = rows.withColumn("hash", F.when(F.col("sequence") == 5, F.sha2("details", 256)).otherwise(F.col("hash")))
     return it.verify_chain(changed, ["details"])
 
 
-@query(
-    """, b AS (SELECT event_type AS k, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS leaf, sha256('leaf:' || CAST(event_id AS VARCHAR)) AS h FROM events WHERE event_id < 1000),
-    c AS (SELECT k, leaf, h FROM b WHERE leaf < 3)
-    SELECT k AS scope_key, sha256('node:' || sha256('node:' || max(CASE WHEN leaf = 0 THEN h END) || max(CASE WHEN leaf = 1 THEN h END)) || sha256('node:' || max(CASE WHEN leaf = 2 THEN h END) || max(CASE WHEN leaf = 2 THEN h END))) AS root FROM c GROUP BY k"""
-)
-def integrity_merkle(spark, d):
-    from pyspark.sql import Window
-
-    rows = read(spark, d, "events").where("event_id < 1000").withColumn("at", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1)
-    leaves = rows.where("at < 3").select(F.col("event_type").alias("scope_key"), "at", F.col("event_id").alias("data"))
-    return it.merkle_roots(leaves)
-
-
-@query(
-    """, b AS (SELECT event_type AS k, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS pos, sha256('leaf:' || CAST(event_id AS VARCHAR)) AS h FROM events),
+_MERKLE = """, b AS (SELECT {scope} AS k, row_number() OVER (PARTITION BY {scope} ORDER BY event_id) - 1 AS pos, sha256('leaf:' || CAST(event_id AS VARCHAR)) AS h FROM events),
     tree AS (SELECT k, pos, h, max(pos) OVER (PARTITION BY k) AS last FROM b
       UNION ALL SELECT k, pos // 2, sha256('node:' || max(CASE WHEN pos % 2 = 0 THEN h END) || coalesce(max(CASE WHEN pos % 2 = 1 THEN h END), max(CASE WHEN pos % 2 = 0 THEN h END))), last // 2 FROM tree WHERE last > 0 GROUP BY k, pos // 2, last // 2)
     SELECT k AS scope_key, h AS root FROM tree WHERE last = 0"""
-)
+
+
+@query(_MERKLE.format(scope="user_id % 8"))
+def integrity_merkle(spark, d):
+    """A tree over all events of each of eight sources."""
+    rows = it.numbered(read(spark, d, "events").selectExpr("user_id % 8 AS source", "event_id"), "source", "event_id")
+    return it.merkle_roots(rows.select(F.col("source").alias("scope_key"), "at", F.col("event_id").alias("data")))
+
+
+@query(_MERKLE.format(scope="event_type"))
 def integrity_merkle_all(spark, d):
-    """A tree over all events of each type; ``integrity_merkle`` has the first three only."""
+    """A tree over all events of each type."""
     rows = it.numbered(read(spark, d, "events").select("event_type", "event_id"), "event_type", "event_id")
     return it.merkle_roots(rows.select(F.col("event_type").alias("scope_key"), "at", F.col("event_id").alias("data")))

@@ -169,12 +169,11 @@ def correlation_object_groups(spark, d):
 
 
 @query(
-    f""", l AS (SELECT id, source_object_id, {_SECOND} AS second, event_type AS match_key FROM t WHERE event_type = 'purchase' OR id % 100 = 7),
-    r AS (SELECT id, source_object_id, {_SECOND} AS second, event_type AS match_key FROM t WHERE id % 50 = 3)
+    f""", l AS (SELECT id, source_object_id, {_SECOND} AS second, event_type AS match_key FROM t)
     SELECT id, near_id, gap, CAST(r AS INTEGER) AS r FROM (SELECT l.id, r.id AS near_id, abs(l.second - r.second) AS gap,
       row_number() OVER (PARTITION BY l.id ORDER BY abs(l.second - r.second), r.id) AS r
-      FROM l JOIN r ON l.match_key = r.match_key AND l.source_object_id <> r.source_object_id AND abs(l.second - r.second) <= 86400) WHERE r <= 3"""
+      FROM l JOIN l r ON l.match_key = r.match_key AND l.source_object_id <> r.source_object_id AND abs(l.second - r.second) <= 86400) WHERE r <= 3"""
 )
 def correlation_temporal_proximity(spark, d):
     rows = timeline_events(spark, d).select("id", "source_object_id", tl.epoch_second().alias("second"), F.col("event_type").alias("match_key"))
-    return joins.temporal_proximity(rows.where("match_key = 'purchase' OR id % 100 = 7"), rows.where("id % 50 = 3"))
+    return joins.temporal_proximity(rows, rows)
