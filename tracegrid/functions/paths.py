@@ -4,9 +4,8 @@ from pyspark.sql import Column, functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-WINDOWS_PATH = r"[A-Za-z]:\\[^\s\"'<>|*?]+"
-POSIX_PATH = r"(?<![\w:/.])/(?:[\w.+@-]+/)*[\w.+@-]+"
-FILE_NAME = r"\b[\w-]+(?:\.[\w-]+)*\.[A-Za-z][A-Za-z0-9]{1,4}\b"
+#: What parts free text into tokens.
+TOKEN_BREAKS = r"[\s,;|()\[\]]"
 
 
 def ascii_lower(c: Column) -> Column:
@@ -44,17 +43,39 @@ def looks_like_path(c: Column) -> Column:
     return F.coalesce(c.contains("/") | c.contains("\\"), F.lit(False))
 
 
+def _parts(text: Column) -> tuple[Column, Column]:
+    """The trimmed text with its quoted segments, and its tokens."""
+    whole = F.trim(text)
+    quoted = F.concat(F.regexp_extract_all(whole, F.lit('"([^"]+)"'), F.lit(1)), F.regexp_extract_all(whole, F.lit("'([^']+)'"), F.lit(1)))
+    return F.concat(F.array(whole), quoted), F.split(whole, TOKEN_BREAKS)
+
+
+def _cleaned(found: Column) -> Column:
+    """Distinct and sorted, without quotes around them or full stops and commas at their end."""
+    bare = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, r"""^["']+|["']+$""", ""), r"[.,]+$", ""))
+    return F.array_sort(F.array_distinct(F.filter(bare, lambda x: x != "")))
+
+
 def path_candidates(text: Column) -> Column:
-    """Windows and POSIX paths in free text: distinct, normalized, sorted."""
-    found = F.concat(
-        F.regexp_extract_all(text, F.lit(WINDOWS_PATH), F.lit(0)), F.regexp_extract_all(text, F.lit(POSIX_PATH), F.lit(0))
-    )
-    return F.array_sort(F.array_distinct(F.transform(found, normalize_path)))
+    """What can be a path in free text: the whole of it, quoted segments (spaces and all), and
+    tokens, where they hold a slash; as they stand, distinct and sorted."""
+    longer, tokens = _parts(text)
+    return _cleaned(F.filter(F.concat(longer, tokens), looks_like_path))
+
+
+def posix_candidates(text: Column) -> Column:
+    """As ``path_candidates``, for absolute paths of two components or more."""
+    longer, tokens = _parts(text)
+    return _cleaned(F.filter(F.concat(longer, tokens), lambda x: x.rlike("^/(?!/).*/")))
 
 
 def name_candidates(text: Column) -> Column:
-    """File names in free text: distinct, in ASCII lower case, sorted."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(FILE_NAME), F.lit(0)), ascii_lower)))
+    """What can be a file name in free text: the last components of tokens, and of the whole text
+    if it is no path, where they hold a dot."""
+    whole = F.trim(text)
+    base = lambda x: F.element_at(F.split(x, r"[/\\\\]"), -1)
+    direct = F.when(~looks_like_path(whole), F.array(whole)).otherwise(F.array().cast("array<string>"))
+    return _cleaned(F.filter(F.concat(direct, F.transform(F.split(whole, TOKEN_BREAKS), base)), lambda x: x.contains(".")))
 
 
 def natural_key(name: Column) -> Column:

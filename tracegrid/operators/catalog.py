@@ -134,3 +134,69 @@ def jump_page(files: DataFrame, target_id, limit: int = 100) -> DataFrame:
     before = F.count(F.when(F.col("key") < F.col("at"), 1)).cast("int").alias("position")
     counted = keyed.join(F.broadcast(target), "parent_id").groupBy("target", "parent_id").agg(before)
     return counted.select(F.col("target").alias("id"), "parent_id", "position", F.expr(f"position div {limit} * {limit}").alias("page_offset"))
+
+
+def roots(files: DataFrame) -> DataFrame:
+    """Entries without a parent."""
+    return files.where("parent_id IS NULL")
+
+
+def orphans(files: DataFrame) -> DataFrame:
+    """Entries whose parent is not in the catalog."""
+    ids = files.select(F.col("id").cast("string").alias("parent_id")).distinct()
+    return files.where("parent_id IS NOT NULL").withColumn("parent_id", F.col("parent_id").cast("string")).join(ids, "parent_id", "left_anti")
+
+
+def with_hash(files: DataFrame, column: str, digest: str) -> DataFrame:
+    """Files with a digest, written in any case."""
+    return files.where(F.lower(column) == digest.lower())
+
+
+def in_partition(files: DataFrame, partition: str, path: str, any_case: bool = True) -> DataFrame:
+    """Entries below a path of a partition (its first component), with or without case."""
+    prefix = f"{partition}/{path.strip('/')}".rstrip("/") + "/"
+    return files.where(F.lower("path").startswith(prefix.lower()) if any_case else F.col("path").startswith(prefix))
+
+
+def point(files: DataFrame, entry_id) -> DataFrame:
+    return files.where(F.col("id") == entry_id)
+
+
+def of_ids(files: DataFrame, ids: DataFrame) -> DataFrame:
+    """The entries of a table of ids, each once."""
+    return files.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def tree_page(files: DataFrame, parent, limit: int = 100, offset: int = 0, show_hidden: bool = False) -> DataFrame:
+    """Directories below a parent in natural order, and whether each has directories itself."""
+    directories = visible_tree(files.where("entry_type = 'Directory'"), show_hidden)
+    above = directories.select(F.col("parent_id").cast("string").alias("key")).distinct().withColumn("has_directories", F.lit(True))
+    ordered = directories.where(F.col("parent_id") == parent).orderBy(natural_key(F.col("name")), "id")
+    page = (ordered.offset(offset) if offset else ordered).limit(limit)
+    return page.withColumn("key", F.col("id").cast("string")).join(above, "key", "left").drop("key").na.fill(False, ["has_directories"])
+
+
+def without(rows: DataFrame, gone: Column) -> DataFrame:
+    """Rows for which the predicate does not hold; unknown ones stay."""
+    return rows.where(~F.coalesce(gone, F.lit(False)))
+
+
+def replace_subtree(files: DataFrame, incoming: DataFrame, prefix: str) -> DataFrame:
+    """All entries at or below a path swapped for new ones."""
+    at = F.col("path")
+    return without(files, (at == prefix.rstrip("/")) | at.startswith(prefix.rstrip("/") + "/")).unionByName(incoming)
+
+
+def assign_subtrees(entries: DataFrame, tops: DataFrame) -> DataFrame:
+    """``id, partition`` of entries (id, parent_id) below the tops (id, partition); an entry below
+    several belongs to the nearest."""
+    chain = ancestors(entries, entries).join(tops.select("id", "partition"), "id")
+    return chain.groupBy(F.col("start_id").alias("id")).agg(F.min(F.struct("depth", "partition"))["partition"].alias("partition"))
+
+
+def reachability(entries: DataFrame, top_ids: DataFrame) -> DataFrame:
+    """One row: entries, those whose parent is missing, and those that reach a top."""
+    ids = entries.select(F.col("id").alias("parent_id")).distinct()
+    missing = entries.where("parent_id IS NOT NULL").join(ids, "parent_id", "left_anti").agg(F.count("*").alias("orphans"))
+    reached = ancestors(entries, entries).join(top_ids.select("id").distinct(), "id").agg(F.count_distinct("start_id").alias("reachable"))
+    return entries.agg(F.count("*").alias("entries")).crossJoin(missing).crossJoin(reached)

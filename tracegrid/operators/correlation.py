@@ -1,13 +1,141 @@
 """Leads: candidates from artifacts, their best files, and how well families are covered."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.paths import name_candidates, path_candidates
+from ..functions.paths import name_candidates, path_candidates, posix_candidates
+from ..functions.text import first_attr
+from ..plans.tables import Tables
 from .joins import best_name_match, best_path_match
 
 LEAD_CONFIDENCE = {"direct": 1.0, "strong": 0.9, "weak": 0.5, "heuristic": 0.3}
 
 
+#: Rules by artifact type: how candidates are read, from which attributes, what kind
+#: of link a hit is, its confidence, and whether deleted files are preferred.
+RULES = [
+    ("LNK", "path", ("target_path", "targetPath"), "path_match", "direct", False),
+    ("BrowserDownload", "path", ("targetPath",), "path_match", "direct", False),
+    ("RecycleBin", "path", ("original_path", "originalPath"), "recovered_original_path", "direct", True),
+    ("JumpList", "path", ("target_path", "targetPath"), "path_match", "direct", False),
+    ("LinuxJournal", "path", ("executable",), "path_match", "direct", False),
+    ("LinuxSystemConfig", "path", ("shell",), "path_match", "strong", False),
+    ("LinuxSudoEvent", "command", ("command",), "path_match", "strong", False),
+    ("LinuxCronJob", "command", ("command",), "path_match", "strong", False),
+    ("LinuxBashCommand", "command", ("command",), "path_match", "strong", False),
+    ("LinuxWebSite", "paths", ("accessLogs", "errorLogs"), "path_match", "strong", False),
+    ("LinuxWebErrorLog", "posix text", ("message",), "path_match", "weak", False),
+    ("RegistryValue", "path text", ("data",), "path_match", "strong", False),
+    ("RegistryValue", "name text", ("data",), "name_match", "weak", False),
+    ("BrowserHistory", "name text", ("title",), "name_match", "weak", False),
+    ("BrowserHistory", "name text", ("url",), "name_match", "weak", False),
+    ("Prefetch", "name", ("executable",), "name_match", "strong", False),
+    ("LinuxSudoEvent", "command name", ("command",), "name_match", "weak", False),
+    ("LinuxCronJob", "command name", ("command",), "name_match", "weak", False),
+    ("LinuxBashCommand", "command name", ("command",), "name_match", "weak", False),
+    ("EmailMessage", "names", ("attachments",), "name_match", "weak", False),
+    ("EmailMessage", "name text", ("subject",), "name_match", "weak", False),
+]
+#: Paths taken from a free text at most, as rules for messages and registry values ask.
+TEXT_PATHS = 2
+
+
+def _read_candidates(how: str, fields: tuple[str, ...]) -> Column:
+    value = first_attr(F.col("attrs"), *fields)
+    listed = F.flatten(F.array(*(F.coalesce(F.from_json(F.get_json_object("attrs", f"$.{f}"), "array<string>"), F.array().cast("array<string>")) for f in fields)))
+    first = F.split(F.trim(value), r"\s+")[0]
+    one = lambda x: F.when(x.isNotNull() & (x != ""), F.array(x))
+    return {
+        "path": lambda: one(value), "paths": lambda: listed, "names": lambda: listed, "name": lambda: one(value),
+        "command": lambda: F.when(first.startswith("/"), F.array(first)), "command name": lambda: F.when(~first.startswith("/"), one(first)),
+        "path text": lambda: F.slice(path_candidates(value), 1, TEXT_PATHS), "posix text": lambda: F.slice(posix_candidates(value), 1, TEXT_PATHS),
+        "name text": lambda: name_candidates(value),
+    }[how]()
+
+
+def _pointed(*told: Column):
+    return lambda candidate: F.struct(candidate.alias("candidate"), *told)
+
+
+def rule_candidates(artifacts: DataFrame) -> DataFrame:
+    """What each artifact (id, artifact_type, attrs) points to by the rules of its type:
+    ``artifact_id, artifact_type, candidate, kind, confidence, wants_deleted``."""
+    none = F.array().cast("array<struct<candidate:string,kind:string,confidence:string,wants_deleted:boolean>>")
+    found = none
+    for artifact_type, how, fields, kind, confidence, deleted in RULES:
+        told = F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"), F.lit(deleted).alias("wants_deleted")
+        rows = F.transform(_read_candidates(how, fields), _pointed(*told))
+        found = F.concat(found, F.when(F.col("artifact_type") == artifact_type, F.coalesce(rows, none)).otherwise(none))
+    return artifacts.select(F.col("id").alias("artifact_id"), "artifact_type", F.inline(found))
+
+
+def rule_matches(artifacts: DataFrame, files: DataFrame) -> DataFrame:
+    """The best file of each candidate: ``artifact_id, file_id, kind, confidence``, one row for an
+    artifact, file and kind. Registry values look for names only where no path hits."""
+    tables = Tables(artifacts.sparkSession, "rules")
+    found = tables.put(rule_candidates(artifacts)).withColumn("candidate_id", F.concat_ws("|", "artifact_id", "kind", "candidate"))
+    by_path = found.where("kind <> 'name_match'")
+    hits = tables.put(best_path_match(by_path, files).select("candidate_id", "file_id").join(by_path, "candidate_id"))
+    with_path = hits.where("artifact_type = 'RegistryValue'").select("artifact_id").distinct()
+    by_name = found.where("kind = 'name_match'").join(with_path, "artifact_id", "left_anti")
+    names = best_name_match(by_name, files).select("candidate_id", "file_id").join(by_name, "candidate_id")
+    rank = confidence_rank(F.col("confidence"))
+    both = hits.unionByName(names).groupBy("artifact_id", "file_id", "kind").agg(F.max(F.struct(rank.alias("rank"), "confidence")).alias("c"))
+    return both.select("artifact_id", "file_id", "kind", "c.confidence")
+
+
+def confidence_rank(confidence: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for pair in LEAD_CONFIDENCE.items() for x in pair)), confidence)
+
+
+def rule_groups(matches: DataFrame, events: DataFrame) -> DataFrame:
+    """Matches by file, with the events of the file: ``file_id, matches, artifacts, events,
+    confidence``. A path makes it direct; events, a second match or a strong one make it strong."""
+    grouped = matches.groupBy("file_id").agg(
+        F.count("*").alias("matches"), F.countDistinct("artifact_id").alias("artifacts"),
+        F.max(F.col("kind").isin("path_match", "recovered_original_path")).alias("path"), F.max(F.col("confidence") == "strong").alias("strong"),
+    )
+    of_file = events.groupBy(F.col("source_object_id").alias("file_id")).agg(F.count("*").alias("events"))
+    joined = grouped.join(of_file, "file_id", "left").na.fill(0, ["events"])
+    strong = (F.col("events") > 0) | (F.col("matches") >= 2) | F.col("strong")
+    return joined.withColumn("confidence", F.when(F.col("path"), "direct").when(strong, "strong").otherwise("weak")).drop("path", "strong")
+
+
+def leads_in_order(leads: DataFrame) -> list[Column]:
+    """The order of leads (confidence, support, title): surest first, then most supported."""
+    return [confidence_rank(F.col("confidence")).desc(), F.desc("support"), F.asc("title")]
+
+
+def correlation_snapshot(artifacts: DataFrame, files: DataFrame, events: DataFrame) -> DataFrame:
+    """Nodes, edges, clusters and leads of a source as rows ``part, id, a, b, title, confidence,
+    support``: nodes are the artifacts and files that rules link, edges the links, clusters the
+    files with several artifacts, leads all files with their support."""
+    tables = Tables(artifacts.sparkSession, "snapshot")
+    matches = tables.put(rule_matches(artifacts, files))
+    groups = tables.put(rule_groups(matches, events))
+    names = files.select(F.col("id").alias("file_id"), "path")
+    row = lambda df, part, key, a, b, title, confidence, support: df.select(
+        F.lit(part).alias("part"), key.alias("id"), a.cast("string").alias("a"), b.cast("string").alias("b"), title.alias("title"),
+        confidence.alias("confidence"), support.cast("long").alias("support"),
+    )
+    none = F.lit(None).cast("string")
+    file_key, art_key = F.concat(F.lit("file:"), "file_id"), F.concat(F.lit("artifact:"), "artifact_id")
+    led = groups.join(names, "file_id")
+    linked = matches.select("artifact_id").distinct().join(artifacts.select(F.col("id").alias("artifact_id"), "artifact_type"), "artifact_id")
+    return (
+        row(led, "node", file_key, F.col("file_id"), none, F.col("path"), none, F.col("artifacts"))
+        .unionAll(row(linked, "node", art_key, F.col("artifact_id"), none, F.col("artifact_type"), none, F.lit(1)))
+        .unionAll(row(matches, "edge", F.concat_ws(":", F.lit("edge"), "artifact_id", "file_id", "kind"), F.col("artifact_id"), F.col("file_id"), F.col("kind"), F.col("confidence"), F.lit(1)))
+        .unionAll(row(led.where("artifacts > 1"), "cluster", F.concat(F.lit("cluster:"), "file_id"), F.col("file_id"), none, F.col("path"), F.col("confidence"), F.col("artifacts")))
+        .unionAll(row(led, "lead", F.concat(F.lit("lead:"), "file_id"), F.col("file_id"), none, F.col("path"), F.col("confidence"), F.col("artifacts") + F.col("events")))
+    )
+
+
+def merged_snapshots(snapshots: DataFrame) -> DataFrame:
+    """Snapshots of several sources (with data_source_id) as one: ids get their source, so nothing
+    of different sources meets; in order of part and id."""
+    return snapshots.withColumn("id", F.concat_ws("/", "data_source_id", "id")).orderBy("part", "id")
+
+
 def candidates(artifacts: DataFrame, text: str, most: int | None = None) -> DataFrame:
     """``artifact_id, candidate, candidate_id``: paths in a text column; ``most`` keeps the first
     of the sorted ones, as message rules ask."""

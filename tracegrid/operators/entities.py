@@ -48,6 +48,48 @@ def two_hop_relations(edges: DataFrame, first: str, second: str, relation: str)
     return pairs.select("src", "dst", F.lit(relation).alias("relation"), "evidence", count_confidence(F.col("evidence"), 0.0).alias("confidence"))
 
 
+#: Relations that are inferred: artifacts of a tag (or with a word in their label)
+#: between a person and what the last step leads to.
+PATTERNS = [
+    ("owns", "Registry", "registry", "device"), ("logged_into", "wtmp", "wtmp", "device"), ("executed", "Prefetch", "prefetch", "file"),
+    ("communicates_with", "EmailMessage", "email", "person"),
+]
+
+
+def inferred_relations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Relations between entities over artifacts and files: ``src, dst, relation, evidence`` (the
+    distinct edges behind it, sorted), with patterns that give the same pair united.
+
+    ``nodes`` has id, node_type, tags (an array), label; ``edges`` id, source_id, target_id,
+    edge_type. Edges next to a device are taken in both directions, so the last step is an
+    equi-join. Evidence combines in tasks before it moves.
+    """
+    tagged = lambda tag: nodes.where((F.col("node_type") == "entity") & F.array_contains("tags", tag)).select("id")
+    people, devices = tagged("person"), tagged("device")
+    files = nodes.where("node_type = 'file'").select("id")
+    of_type = lambda t, a, b, e: edges.where(F.col("edge_type") == t).select(F.col("source_id").alias(a), F.col("target_id").alias(b), F.col("id").alias(e))
+    both = edges.select(F.col("source_id").alias("file"), F.col("target_id").alias("dst"), F.col("id").alias("e3")).unionAll(edges.select("target_id", "source_id", "id"))
+    on_device = both.join(devices.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    out = None
+    for relation, tag, word, last in PATTERNS:
+        fits = F.array_contains("tags", tag) | F.lower("label").contains(word)
+        art = nodes.where((F.col("node_type") == "artifact") & F.coalesce(fits, F.lit(False))).select(F.col("id").alias("art"))
+        if last == "person":
+            a = of_type("correlates_with", "src", "art", "e1").join(art, "art", "left_semi").join(people.withColumnRenamed("id", "src"), "src", "left_semi")
+            found = a.join(a.select(F.col("src").alias("dst"), "art", F.col("e1").alias("e2")), "art").where("src < dst")
+            evidence = F.array("e1", "e2")
+        else:
+            a = of_type("derives_from", "src", "art", "e1").join(people.withColumnRenamed("id", "src"), "src", "left_semi")
+            b = of_type("references", "art", "file", "e2").join(art, "art", "left_semi").join(files.withColumnRenamed("id", "file"), "file", "left_semi")
+            found = a.join(b, "art")
+            found = found.withColumn("dst", F.col("file")) if last == "file" else found.join(on_device, "file").where("src <> dst")
+            evidence = F.array("e1", "e2") if last == "file" else F.array("e1", "e2", "e3")
+        rows = found.select("src", "dst", F.lit(relation).alias("relation"), F.explode(evidence).alias("edge")).distinct()
+        out = rows if out is None else out.unionAll(rows)
+    united = out.distinct().groupBy("src", "dst", "relation").agg(F.array_join(F.array_sort(F.collect_list("edge")), ",").alias("evidence"), F.count("*").alias("n"))
+    return united.select("src", "dst", "relation", "evidence", count_confidence(F.col("n"), 0.0).alias("confidence"))
+
+
 def shared_target_counts(edges: DataFrame, edge_type: str) -> DataFrame:
     """Targets that several sources point to, with their number: the hub form of pairs of sources,
     which grows with edges and not with pairs."""
@@ -82,4 +124,5 @@ def cross_case_matches(entities: DataFrame) -> DataFrame:
 def source_overlay(entities: DataFrame) -> DataFrame:
     """Hubs for entities that several sources hold, ranked by sources, members and label."""
     hubs = entities.groupBy("entity_type", "canonical").agg(F.count_distinct("data_source_id").alias("sources"), F.count("*").alias("members"))
-    return hubs.where("sources >= 2")
+    rank = F.struct(F.col("sources"), F.col("members")).alias("by")
+    return hubs.where("sources >= 2").withColumn("by", rank).orderBy(F.desc("by"), "canonical", "entity_type").drop("by")

@@ -48,6 +48,18 @@ TOPOLOGY = [
 ]
 
 
+#: The groups of kinds that relations with open ends name.
+KIND_GROUPS = {
+    "environment": "pve physicalHost virtualMachine osInstance kubernetes kubernetesNode namespace pod container".split(),
+    "storage": "cephCluster cephOsd cephRbd cephFs virtualDisk logicalVolume fileSystem".split(),
+    "analysis": "fileEntry artifact timelineEvent finding report".split(),
+    "evidence": ["evidenceSource"],
+}
+#: Relations between any kinds of two groups.
+OPEN_TOPOLOGY = [("derivedFrom", "analysis", "evidence"), ("derivedFrom", "analysis", "storage"), ("derivedFrom", "storage", "evidence"), ("produces", "environment", "analysis")]
+TOPOLOGY += [("supportedBy", a, b) for a in ("finding", "report") for b in ("artifact", "timelineEvent")]
+
+
 def event_kind(event_id: Column, provider: Column, channel: Column) -> Column:
     """A struct ``event_class, kind``; null for events of no interest."""
     found = F.lit(None).cast("struct<event_class:string,kind:string>")
@@ -128,7 +140,10 @@ def network_facts(lines: DataFrame) -> DataFrame:
 def allowed_relations(edges: DataFrame) -> DataFrame:
     """Edges (relation, source_kind, target_kind) that the topology allows."""
     wanted = F.concat_ws("|", "relation", "source_kind", "target_kind")
-    return edges.where(wanted.isin(*("|".join(t) for t in TOPOLOGY)))
+    allowed = wanted.isin(*("|".join(t) for t in TOPOLOGY))
+    for relation, source, target in OPEN_TOPOLOGY:
+        allowed |= (F.col("relation") == relation) & F.col("source_kind").isin(*KIND_GROUPS[source]) & F.col("target_kind").isin(*KIND_GROUPS[target])
+    return edges.where(allowed)
 
 
 def notebook_filter(entries: DataFrame, entry_type: str | None = None, status: str | None = None, text: str | None = None, tag: str | None = None) -> DataFrame:

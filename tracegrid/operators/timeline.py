@@ -4,6 +4,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Buckets of a histogram, and newest ids of a cluster, at most.
 MAX_BUCKETS, SAMPLES_EACH = 180, 5
+#: Event kinds that a timeline may hold, those that analysis shows first.
+ANALYSIS_KINDS = ["REGISTRY_HIVE_LAST_WRITE", "REGISTRY_SAM_LAST_LOGIN", "REGISTRY_SAM_PASSWORD_LAST_SET", "REGISTRY_SYSTEM_SHUTDOWN", "FILE_EXECUTED"]
+EVENT_KINDS = [*ANALYSIS_KINDS, "FILE_CREATED", "FILE_MODIFIED", "FILE_ACCESSED", "FILE_DELETED"]
 SECOND = "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 
 
@@ -33,6 +36,25 @@ def facet_filter(events: DataFrame, start=None, end=None, event_type: str | None
     return events if event_type is None else events.where(F.col("event_type") == event_type)
 
 
+def supported(events: DataFrame, analysis_only: bool = False) -> DataFrame:
+    """Events of the kinds that a timeline may hold, or of those that analysis shows."""
+    return events.where(F.col("event_type").isin(*(ANALYSIS_KINDS if analysis_only else EVENT_KINDS)))
+
+
+def of_objects(events: DataFrame, objects: DataFrame) -> DataFrame:
+    """Events of a table of objects (source_object_id)."""
+    return events.join(objects.select("source_object_id").distinct(), "source_object_id", "left_semi")
+
+
+def oldest_page(events: DataFrame, limit: int = 100, after: tuple | None = None) -> DataFrame:
+    """A page in the other direction: oldest first, then source and id, behind a cursor."""
+    if after is not None:
+        ts, source, event_id = F.lit(after[0]), after[1], after[2]
+        later_id = (F.col("data_source_id") > source) | ((F.col("data_source_id") == source) & (F.col("id") > event_id))
+        events = events.where((F.col("ts") > ts) | ((F.col("ts") == ts) & later_id))
+    return events.orderBy("ts", "data_source_id", "id").limit(limit)
+
+
 def newest_first() -> list[Column]:
     return [F.desc("ts"), F.asc("data_source_id"), F.asc("id")]
 

@@ -131,11 +131,15 @@ def function_paths(spark, d):
     return files(spark, d).select("id", norm.alias("path"), suffix_key(norm).alias("suffix"), "name", extension(F.col("name")).alias("ext"))
 
 
-@query("SELECT id, lower(path) AS paths, CASE WHEN ext IS NULL THEN '' ELSE lower(name) END AS names FROM f")
+@query(
+    """SELECT id, concat_ws(',', concat(p, chr(92), 'My'), concat(p, chr(92), 'My ', name), concat('opened "', p, chr(92), 'My ', name, '" twice, then ', name)) AS paths,
+    CASE WHEN ext IS NOT NULL THEN concat(name, ',saw (', name, ');') ELSE '' END AS names
+    FROM (SELECT id, name, ext, replace(regexp_replace(path, '/[^/]*$', ''), '/', chr(92)) AS p FROM f)"""
+)
 def function_path_candidates(spark, d):
-    text = F.concat(F.lit('opened "'), F.translate("path", "/", "\\"), F.lit('" twice, then '), "name")
-    rows = files(spark, d)
-    return rows.select("id", F.array_join(path_candidates(text), ",").alias("paths"), F.array_join(name_candidates(F.lower("name")), ",").alias("names"))
+    folder = F.translate(F.regexp_replace("path", "/[^/]*$", ""), "/", "\\")
+    text = F.concat(F.lit('opened "'), folder, F.lit("\\My "), F.col("name"), F.lit('" twice, then '), F.col("name"))
+    return files(spark, d).select("id", F.array_join(path_candidates(text), ",").alias("paths"), F.array_join(name_candidates(F.concat(F.lit("saw ("), "name", F.lit(");"))), ",").alias("names"))
 
 
 @query(

@@ -36,12 +36,14 @@ def split_mailbox(data: bytes) -> list[bytes]:
 
 
 def messages(files: DataFrame) -> DataFrame:
-    """Messages of ``path, content`` rows, whether mailboxes or single messages."""
+    """Messages of ``path, content`` rows, whether mailboxes or single messages; none for null."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in MESSAGES.split(", ")]
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"], strict=True):
+                if data is None:
+                    continue
                 parts = split_mailbox(data) if data.startswith(b"From ") else [data.split(b"\n", 1)[1] if path.endswith(".emlx") else data]
                 rows = [tuple(str(x) if x is not None and not isinstance(x, (int, list)) else x for x in _row(path, i, p)) for i, p in enumerate(parts)]
                 yield pd.DataFrame(rows, columns=names)

@@ -1,6 +1,7 @@
 """Writers for reports and datasets."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import csv_cell, html_escape
 
@@ -41,8 +42,10 @@ def write_html(df: DataFrame, path: str, title: str) -> None:
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """Existing rows with those of the same key replaced; repeated incoming rows count once."""
-    fresh = incoming.dropDuplicates(key)
+    """Existing rows with those of the same key replaced; of repeated incoming rows the greatest
+    in order of the other columns counts."""
+    rest = [c for c in incoming.columns if c not in key]
+    fresh = incoming.groupBy(*key).agg(F.max(F.struct(*rest)).alias("r")).select(*key, "r.*") if rest else incoming.distinct()
     return existing.join(fresh.select(*key), key, "left_anti").unionByName(fresh)
 
 
@@ -52,8 +55,21 @@ def replace_producer(existing: DataFrame, incoming: DataFrame, prefix: str) -> D
 
 
 def write_generation(df: DataFrame, root: str, generation: str, partition_by: list[str] | None = None) -> str:
-    """A dataset version in a folder of its own; readers see it when its marker is there."""
+    """A dataset version in a folder of its own; it counts once Spark has put ``_SUCCESS`` there."""
     path = f"{root}/generation={generation}"
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return path
+
+
+def read_generation(spark: SparkSession, root: str, generation: str) -> DataFrame:
+    """A dataset version that was written whole; others are an error."""
+    path = f"{root}/generation={generation}"
+    markers = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").schema("path string, modificationTime timestamp, length long, content binary")
+    try:
+        written = not markers.load(f"{path}/_SUCCESS").isEmpty()
+    except AnalysisException:
+        written = False
+    if not written:
+        raise ValueError(f"{path} was not written whole")
+    return spark.read.parquet(path)
