@@ -77,7 +77,11 @@ def _parts(sizes: list[int]) -> Iterator[slice]:
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, media``: each text as an AVI file; null text counts as empty."""
+    """``doc_id, n_bytes, media``: each text as an AVI file; null text counts as empty.
+
+    One row per row of ``docs``, with its doc_id (null ones too); equal texts give equal files,
+    texts of any length are stored whole; an empty table gives no rows. Other columns are ignored,
+    so their names cannot clash."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
