@@ -190,6 +190,106 @@ def test_avi_round_trip():
             mjpeg.parse_avi(bad)
 
 
+def plain_decode(frame):
+    """One lossless frame, bit by bit."""
+    at, table, size = 2, None, None
+    while frame[at + 1] != 0xDA:
+        length = int.from_bytes(frame[at + 2 : at + 4])
+        body = frame[at + 4 : at + 2 + length]
+        if frame[at + 1] == 0xC4:
+            codes, code, k = {}, 0, 17
+            for n in range(1, 17):
+                for _ in range(body[n]):
+                    codes[(n, code)] = body[k]
+                    code, k = code + 1, k + 1
+                code <<= 1
+            table = codes
+        if frame[at + 1] == 0xC3:
+            size = int.from_bytes(body[1:3]), int.from_bytes(body[3:5])
+        at += 2 + length
+    at += 2 + int.from_bytes(frame[at + 2 : at + 4])
+    parts = re.split(rb"\xff[\xd0-\xd9]", frame[at:], flags=re.S)[: size[0]]
+    rows = []
+    for part in parts:
+        bits, place, value, row = "".join(f"{b:08b}" for b in part.replace(b"\xff\0", b"\xff")), 0, 128, []
+        while len(row) < size[1]:
+            n = next(n for n in range(1, 17) if (n, int(bits[place : place + n], 2)) in table)
+            category = table[(n, int(bits[place : place + n], 2))]
+            extra = bits[place + n : place + n + category]
+            value += 0 if not category else int(extra, 2) - (0 if extra[0] == "1" else (1 << category) - 1)
+            place += n + category
+            row.append(value & 255)
+        rows.append(row)
+    return rows
+
+
+def test_frames_decode_as_a_plain_decoder_does():
+    rng = np.random.default_rng(4)
+    payload = bytes(rng.integers(0, 256, 64 * 70, np.uint8)) + b"\xff\0" * 32 * 9
+    file = mjpeg.write_avis([payload])[0]
+    parsed, frames = mjpeg.read_avis([file])[0]
+    plain = [plain_decode(file[at : at + n]) for at, n in parsed["frames"]]
+    assert np.array_equal(np.array(plain).reshape(frames.shape), frames)
+
+
+def test_other_files_are_refused_and_tables_are_read():
+    file = mjpeg.write_avis([bytes(np.random.default_rng(2).integers(0, 256, 512, np.uint8))])[0]
+    for old, new in ((b"\xff\xc3", b"\xff\xc0"), (b"\xff\xdd\x00\x04\x00\x40", b"\xff\xdd\x00\x04\x00\x20"), (b"\x00\x01\x00\x00\xff", b"\x00\x04\x00\x00\xff")):
+        if file.replace(old, new) != file:
+            with pytest.raises(ValueError):
+                mjpeg.read_avis([file.replace(old, new)])
+    # another table: the categories of the two shortest codes change places, and so do decoded values
+    at = file.index(b"\xff\xc4") + 4 + 17
+    turned = file[:at] + file[at + 1 : at + 2] + file[at : at + 1] + file[at + 2 :]
+    try:
+        assert not np.array_equal(mjpeg.read_avis([turned])[0][1], mjpeg.read_avis([file])[0][1])
+    except ValueError:
+        pass
+
+
+def test_long_texts_are_coded_in_portions():
+    payload = bytes(np.random.default_rng(1).integers(97, 123, 64 * 40_000, np.uint8))
+    parsed, frames = mjpeg.read_avis(mjpeg.write_avis([b"x" * 64, payload, b"y" * 128]))[1]
+    assert frames.tobytes()[: parsed["samples"]] == payload
+
+
+def test_shots_as_a_plain_loop_finds_them():
+    rng = np.random.default_rng(6)
+    levels = rng.integers(0, 220, 12)
+    frames = np.concatenate([np.clip(rng.normal(x, 8, (int(n), 256)), 0, 255) for x, n in zip(levels, rng.integers(2, 9, 12), strict=True)]).astype(np.uint8)
+    shares = [[sum(1 for v in f if v // 16 == b) / 256 for b in range(16)] for f in frames.tolist()]
+    gaps = [sum(abs(a - b) for a, b in zip(x, y, strict=True)) / 2 for x, y in zip(shares, shares[1:], strict=False)]
+    starts = [0]
+    for i, d in enumerate(gaps):
+        recent = gaps[max(starts[-1], i - op9.REMEMBERED) : i]
+        mean = sum(recent) / len(recent) if recent else 0
+        limit = mean + op9.DEVIATIONS * (sum((x - mean) ** 2 for x in recent) / len(recent)) ** 0.5 if recent else 0
+        starts += [i + 1] if d > max(limit, op9.LEAST_DIFFERENCE) else []
+    assert op9.shot_starts(op9.histograms(frames)) == starts and len(starts) > 5
+
+
+@pytest.mark.parametrize("scan", [lambda d: op5.scan_licenses(d), lambda d: op9.described(op9.to_media(d))])
+def test_scans_on_odd_tables(spark, scan):
+    rows = [(2**60 + 1, "under the mit license " * 20_000, "x"), (None, None, "y"), (None, None, "y"), (3, "", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, labels string")
+    got = scan(docs).collect()
+    assert sorted(r["doc_id"] or 0 for r in got) == [0, 0, 3, 2**60 + 1] and scan(docs.limit(0)).count() == 0
+
+
+def test_license_texts():
+    scanner = op5.Scanner(op5.PHRASES, op5.TEMPLATES)
+    labels = lambda text: set(filter(None, scanner.scan(text)[5].split(",")))
+    plain = lambda t: re.sub(r"<<begin.*?<<endOptional>>|<<var.*?>>", " ", re.sub(r"<<beginOptional>>[^<]*<<endOptional>>", " ", t))
+    for label, template in op5.TEMPLATES.items():
+        words = plain(plain(template)).split()
+        text = "Before. " + " ".join(words).title() + ". After."
+        assert label in labels(text), label
+        middle = len(words) // 2
+        assert label not in labels(" ".join([*words[:middle], "other", *words[middle:]])) or "<<var" in template
+    assert labels("x") == set()
+    assert op5.Scanner(op5.PHRASES, {}).scan("é cc by nc, CC-BY-NC " * 3)[:4] == (21, 6, 1, 18)
+
+
 def test_media_columns(spark):
     texts = ["", None, "a", "é" * 40, "x" * 64, "word " * 5000, "a"]
     media = op9.to_media(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))

@@ -44,6 +44,48 @@ TEMPLATES = {
     "isc-text": "<<beginOptional>>copyright <<var;max=24>><<endOptional>> permission to use copy modify and or "
     "distribute this software for any purpose with or without fee is hereby granted provided that the above copyright "
     "notice and this permission notice appear in all copies",
+    "bsd-2-clause-text": "<<beginOptional>>copyright <<var;max=24>><<endOptional>> redistribution and use in source and "
+    "binary forms with or without modification are permitted provided that the following conditions are met "
+    "<<beginOptional>>1<<endOptional>> redistributions of source code must retain the above copyright notice this list "
+    "of conditions and the following disclaimer <<beginOptional>>2<<endOptional>> redistributions in binary form must "
+    "reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation "
+    "and or other materials provided with the distribution <<beginOptional>>3<<endOptional>> "
+    "<<beginOptional>>neither the name of <<var;max=16>> nor the names of its contributors may be used to endorse or "
+    "promote products derived from this software without specific prior written permission<<endOptional>> this software "
+    "is provided by <<var;max=10>> as is and any express or implied warranties including but not limited to the implied "
+    "warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var;max=10>> "
+    "be liable for any direct indirect incidental special exemplary or consequential damages including but not limited "
+    "to procurement of substitute goods or services loss of use data or profits or business interruption however caused "
+    "and on any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+    "arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "bsd-3-clause-condition": "neither the name of <<var;max=16>> nor the names of its contributors may be used to endorse "
+    "or promote products derived from this software without specific prior written permission",
+    "apache-2.0-header": "<<beginOptional>>copyright <<var;max=12>><<endOptional>> licensed under the apache license "
+    "version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the "
+    "license at <<var;max=8>> unless required by applicable law or agreed to in writing software distributed under the "
+    "license is distributed on an as is basis without warranties or conditions of any kind either express or implied see "
+    "the license for the specific language governing permissions and limitations under the license",
+    "gpl-header": "<<beginOptional>>this program is free software<<endOptional>> you can redistribute it and or modify it "
+    "under the terms of the gnu general public license as published by the free software foundation "
+    "<<beginOptional>>either<<endOptional>> version <<var;max=1>> <<beginOptional>>of the license<<endOptional>> "
+    "<<beginOptional>>or at your option any later version<<endOptional>>",
+    "lgpl-header": "you can redistribute it and or modify it under the terms of the gnu "
+    "<<beginOptional>>lesser<<endOptional>><<beginOptional>>library<<endOptional>> general public license as published by "
+    "the free software foundation <<beginOptional>>either<<endOptional>> version <<var;max=2>> "
+    "<<beginOptional>>of the license<<endOptional>> <<beginOptional>>or at your option any later version<<endOptional>>",
+    "mpl-2.0-header": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the "
+    "mpl was not distributed with this file you can obtain one at <<var;max=6>>",
+    "zlib-text": "this software is provided as is without any express or implied warranty in no event will the authors be "
+    "held liable for any damages arising from the use of this software permission is granted to anyone to use this "
+    "software for any purpose including commercial applications and to alter it and redistribute it freely subject to the "
+    "following restrictions",
+    "cc-4.0-notice": "this work is licensed under <<beginOptional>>a<<endOptional>><<beginOptional>>the<<endOptional>> "
+    "creative commons attribution <<beginOptional>>noncommercial<<endOptional>><<beginOptional>>non commercial<<endOptional>> "
+    "<<beginOptional>>sharealike<<endOptional>><<beginOptional>>share alike<<endOptional>><<beginOptional>>noderivatives<<endOptional>> "
+    "4 0 international <<beginOptional>>public<<endOptional>> license",
+    "unlicense-text": "this is free and unencumbered software released into the public domain anyone is free to copy "
+    "modify publish use compile sell or distribute this software either in source code form or as a compiled binary for "
+    "any purpose commercial or non commercial and by any means",
 }
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -139,6 +181,14 @@ def compile_template(text: str) -> Automaton:
     return m
 
 
+def words_before(text: str) -> np.ndarray:
+    """For each character how many words begin before it."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = _IN_WORD[np.minimum(code, 128)]
+    starts = inside & ~np.concatenate([[False], inside[:-1]])
+    return np.cumsum(starts) - starts
+
+
 class Scanner:
     def __init__(self, phrases: dict[str, str], templates: dict[str, str]):
         split = lambda p: _WORD.findall(p.translate(_A_TO_Z))
@@ -153,15 +203,14 @@ class Scanner:
     def scan(self, text: str | None) -> tuple:
         """``n_words, n_base, first_word, last_word, base_labels, labels, score, spans`` of a text."""
         text = (text or "").translate(_A_TO_Z)
-        data = np.frombuffer(text.encode(), np.uint8)
-        inside = _IN_WORD[data]
-        starts = inside & ~np.concatenate([[False], inside[:-1]])
-        n_words = int(starts.sum())
-        places, base, spans = [], set(), []
+        inside = _IN_WORD[np.frombuffer(text.encode(), np.uint8)]
+        n_words = int(inside[:1].sum() + (inside[1:] & ~inside[:-1]).sum())
+        places, base, spans, before = [], set(), [], None
         for n, pattern, label, hint in self.phrases:
             if hint in text:
                 for m in pattern.finditer(text):
-                    word = int(starts[: len(text[: m.start()].encode())].sum())
+                    before = words_before(text) if before is None else before
+                    word = int(before[m.start()])
                     places.append(word)
                     base.add(label)
                     spans.append((word, word + n, label))
@@ -172,7 +221,10 @@ class Scanner:
                 found = automaton.spans(words)
                 spans += [(a, b, label) for a, b in found]
                 labels |= {label} if found else set()
-        covered = set().union(*(range(a, b) for a, b, _ in spans)) if spans else ()
+        covered, end = 0, 0
+        for a, b, _ in sorted(spans):
+            covered += max(0, b - max(a, end))
+            end = max(end, b)
         return (
             n_words,
             len(places),
@@ -180,7 +232,7 @@ class Scanner:
             max(places, default=None),
             ",".join(sorted(base)),
             ",".join(sorted(labels)),
-            len(covered) / n_words if n_words else 0.0,
+            covered / n_words if n_words else 0.0,
             sorted(spans),
         )
 
@@ -198,7 +250,8 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
     Returns doc_id, n_words, n_base (all places of phrases), first_word and last_word (their
     smallest and largest start; null if there is none), base_labels, labels (phrases' and
     accepted templates'; both distinct, sorted, joined by commas), score (the share of words in
-    found places), spans. Other columns are ignored; repeated rows stay.
+    found places), spans. Other columns are ignored, so their names cannot clash; repeated rows and
+    rows without a doc_id stay; texts of any length are scanned whole; an empty table gives no rows.
     """
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
     for t in templates.values():
