@@ -5,19 +5,11 @@ lost executor never costs more than the stage at hand.
 """
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a new temporary folder only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tracegrid-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from ..plans.tables import shared_root
 
 
 class Scratch:
