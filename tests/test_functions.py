@@ -66,7 +66,7 @@ def test_search_form(spark):
 def test_phrase_and_snippets(spark):
     given = ["An Of-The end", "often the", "", None]
     assert column(spark, given, "string", lambda c: text.has_phrase(c, "of the")) == [True, False, False, None]
-    assert column(spark, ["x" * 100 + "Needle" + "y" * 100], "string", lambda c: text.snippets(c, "needle"))[0] == ["x" * 60 + "needle" + "y" * 60]
+    assert column(spark, ["x" * 100 + "Needle" + "y" * 100], "string", lambda c: text.snippets(c, "needle"))[0] == ["x" * 60 + "Needle" + "y" * 60]
 
 
 def events(spark, rows):

@@ -79,17 +79,15 @@ def byte_pattern(files: DataFrame, pattern: bytes, most: int = 1000) -> DataFram
     """Offsets at which a byte pattern stands in each content, overlapping ones too: ``id, offsets,
     truncated`` with at most ``most`` of them in order. Contents without a hit have no row.
 
-    Bytes are read as Latin-1, one character a byte, and split at a look-ahead for the pattern.
+    Bytes are read as Latin-1, one character a byte, and split by a look-ahead for the pattern, so
+    each part but the first begins with a hit.
     """
     if not pattern:
         raise ValueError("the pattern is empty")
     wanted = "".join(f"\\x{b:02x}" for b in pattern)
     text = F.decode("content", "ISO-8859-1")
-    parts = F.split(text, f"(?s)(?={wanted})")
-    lengths = F.transform(parts, lambda p: F.length(p))
-    # a hit stands before each part that begins with the pattern
+    rows = files.select("id", F.split(text, f"(?s)(?={wanted})").alias("parts"), text.rlike(f"(?s)^{wanted}").alias("at_start"))
+    lengths = F.transform(F.slice("parts", 1, F.size("parts") - 1), lambda p: F.length(p))
     ends = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
-    rows = files.select("id", parts.alias("parts"), ends.alias("ends"))
-    begins = F.filter(F.transform(F.col("parts"), lambda p, i: F.when(p.rlike(f"(?s)^{wanted}"), F.get("ends", i))), lambda x: x.isNotNull())
-    hits = rows.select("id", begins.alias("all")).where(F.size("all") > 0)
-    return hits.select("id", F.slice("all", 1, most).alias("offsets"), (F.size("all") > most).alias("truncated"))
+    found = rows.select("id", F.filter(ends, lambda x: (x > 0) | F.col("at_start")).alias("all"))
+    return found.where(F.size("all") > 0).select("id", F.slice("all", 1, most).alias("offsets"), (F.size("all") > most).alias("truncated"))

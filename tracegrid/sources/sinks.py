@@ -55,21 +55,20 @@ def replace_producer(existing: DataFrame, incoming: DataFrame, prefix: str) -> D
 
 
 def write_generation(df: DataFrame, root: str, generation: str, partition_by: list[str] | None = None) -> str:
-    """A dataset version in a folder of its own; it counts once Spark has put ``_SUCCESS`` there."""
+    """A dataset version in a folder of its own; it counts once its marker is written, which is last."""
     path = f"{root}/generation={generation}"
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    df.sparkSession.range(1).coalesce(1).write.parquet(f"{root}/written/{generation}")
     return path
 
 
 def read_generation(spark: SparkSession, root: str, generation: str) -> DataFrame:
     """A dataset version that was written whole; others are an error."""
-    path = f"{root}/generation={generation}"
-    markers = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").schema("path string, modificationTime timestamp, length long, content binary")
     try:
-        written = not markers.load(f"{path}/_SUCCESS").isEmpty()
+        written = spark.read.parquet(f"{root}/written/{generation}").count()
     except AnalysisException:
-        written = False
+        written = 0
     if not written:
-        raise ValueError(f"{path} was not written whole")
-    return spark.read.parquet(path)
+        raise ValueError(f"generation {generation} was not written whole")
+    return spark.read.parquet(f"{root}/generation={generation}")
