@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.tables import Tables
+
 GENESIS = "0" * 64
 #: So many neighbouring numbers make a slot.
 SLOT = 1 << 16
@@ -65,13 +67,15 @@ def merkle_levels(leaves: DataFrame) -> DataFrame:
 
     ``leaves`` has scope_key, at (from 0) and data. Leaf and inner hashes have prefixes of their
     own; the last of an odd level is paired with itself. A level is one aggregate over pairs, so
-    a scope of n leaves takes log2 n small shuffles.
+    a scope of n leaves takes log2 n small shuffles; each level is written once and read by the next.
     """
+    tables = Tables(leaves.sparkSession, "merkle")
     current, height = _leaf_nodes(leaves)
+    current = tables.put(current)
     shown = lambda level: current.select("scope_key", F.lit(level).alias("level"), "at", "hash")
     out = shown(0)
     for level in range(1, height + 1):
-        current = _parents(current.where("last > 0"))
+        current = tables.put(_parents(current.where("last > 0")))
         out = out.unionAll(shown(level))
     return out
 
