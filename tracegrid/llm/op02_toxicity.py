@@ -95,6 +95,8 @@ def fit_linear(x: Sparse, earlier: np.ndarray, y: np.ndarray) -> Linear:
     """Words are selected by the chi-square of their occurrence with ``y``, then all weights are
     fitted together by accelerated gradient steps with weight decay."""
     n, positives = len(y), y.sum()
+    if not n:  # nothing is known, so nothing is found
+        return Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(earlier.shape[1]), -30.0)
     row = x.row
     words, index, n_with = np.unique(x.word, return_inverse=True, return_counts=True)
     hits = np.bincount(index, weights=y[row], minlength=len(words))
@@ -161,8 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
     """Fit on at most ``train_rows`` labelled documents, those with the smallest hashes of
     doc_id. Labels without a doc_id or with a null category are left out; several labels of a
     document count as one that has a category if any has; of several texts with a doc_id the one
-    whose words come first in binary order counts. Without any labelled document everything is
-    predicted at one half."""
+    whose words come first in binary order counts. Without any labelled document nothing is
+    found: all probabilities are next to 0."""
     categories = categories or CATEGORIES
     names = list(categories)
     flags = [F.max(F.expr(c).cast("int")).alias(f"y{i}") for i, c in enumerate(categories.values())]
