@@ -47,3 +47,16 @@ def case_metrics(**relations: DataFrame) -> DataFrame:
         n = df.agg(F.count("*").alias(name))
         out = n if out is None else out.crossJoin(n)
     return out
+
+
+def facts(rows: DataFrame, family: str | None = None, kind: str | None = None, field: str | None = None) -> DataFrame:
+    """Facts that parsers found (family, kind, field, value), by any of the first three."""
+    for column, value in (("family", family), ("kind", kind), ("field", field)):
+        if value is not None:
+            rows = rows.where(F.col(column) == value)
+    return rows
+
+
+def of_objects(artifacts: DataFrame, objects: DataFrame) -> DataFrame:
+    """Artifacts of a table of objects (source_object_id)."""
+    return artifacts.join(objects.select("source_object_id").distinct(), "source_object_id", "left_semi")

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import magic
 from ..functions.digests import sm3_hex
-from ..operators import cases as ca, catalog as cat, content as co, correlation as cor, entities as en, hosts as ho, integrity as it, logs as lg, search as se, timeline as tl
+from ..operators import artifacts as art, cases as ca, catalog as cat, content as co, correlation as cor, entities as en, hosts as ho, integrity as it, logs as lg, search as se, timeline as tl
+from ..sources import sinks
 from ..sources.adapters import artifacts, files, graph_nodes, read, timeline_events
 from .registry import query
 
@@ -430,3 +431,76 @@ def _people(spark, d):
 )
 def entity_inferred_relations(spark, d):
     return en.inferred_relations(*_people(spark, d))
+
+
+@query("SELECT id, path FROM f WHERE id = 57")
+def catalog_point(spark, d):
+    return cat.point(files(spark, d), 57).select("id", "path")
+
+
+@query("SELECT id, path FROM f WHERE id IN (SELECT c_custkey FROM customer)")
+def catalog_of_ids(spark, d):
+    return cat.of_ids(files(spark, d), read(spark, d, "customer").selectExpr("c_custkey AS id")).select("id", "path")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE md5(lang) = md5('de')")
+def catalog_with_hash(spark, d):
+    rows = read(spark, d, "documents").selectExpr("doc_id AS id", "upper(md5(lang)) AS md5")
+    return cat.with_hash(rows, "md5", "5F02F0889301FD7BE1AC972C11BF3E7D").select("id")
+
+
+@query("SELECT id, encrypted FROM f WHERE NOT coalesce(encrypted, false)")
+def catalog_without(spark, d):
+    """Rows after a deletion by a predicate; unknown values stay."""
+    return cat.without(files(spark, d), F.col("encrypted")).select("id", "encrypted")
+
+
+@query("SELECT id, path FROM f WHERE id % 29 = 0 AND id >= 0")
+def catalog_directories(spark, d):
+    return files(spark, d).where("entry_type = 'Directory'").select("id", "path")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' AND o_custkey % 7 = 3")
+def artifact_facts(spark, d):
+    rows = read(spark, d, "orders").selectExpr("o_orderkey AS id", "o_orderpriority AS family", "o_orderstatus AS kind", "concat('f', o_custkey % 7) AS field", "o_totalprice AS value")
+    return art.facts(rows, "1-URGENT", "O", "f3").select("id")
+
+
+@query("SELECT id, source_object_id FROM a WHERE source_object_id IN (SELECT source_object_id FROM t)")
+def artifact_of_objects(spark, d):
+    return art.of_objects(artifacts(spark, d), timeline_events(spark, d)).select("id", "source_object_id")
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN concat('new ', id) ELSE name END AS name FROM f UNION ALL SELECT id + 1000000, concat('new ', id + 1000000) FROM f WHERE id % 3 = 1")
+def sink_upsert(spark, d):
+    f = files(spark, d).select("id", "name")
+    fresh = f.where("id % 3 = 0").select("id").unionAll(f.where("id % 3 = 1").selectExpr("id + 1000000"))
+    fresh = fresh.select("id", F.concat(F.lit("new "), "id").alias("name"))
+    return sinks.upsert(f, fresh.unionAll(fresh.withColumn("name", F.concat(F.lit("a "), "name"))), ["id"])
+
+
+@query("SELECT id, concat('mail.', id % 5) AS parser_id FROM f WHERE id % 5 <> 2 UNION ALL SELECT id, 'mail.2' FROM f WHERE id % 10 = 1")
+def sink_replace_producer(spark, d):
+    rows = files(spark, d).select("id", F.concat(F.lit("mail."), F.col("id") % 5).alias("parser_id"))
+    return sinks.replace_producer(rows, rows.where("id % 10 = 1").withColumn("parser_id", F.lit("mail.2")), "mail.2")
+
+
+@query(
+    """, l AS (SELECT concat('lead:', id, ':', id) AS id, CAST(id AS VARCHAR) AS source_id, id AS target_id, CASE WHEN id % 2 = 0 THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM f)
+    SELECT * FROM l"""
+)
+def correlation_lead_edges(spark, d):
+    leads = files(spark, d).selectExpr("CAST(id AS STRING) AS artifact_id", "id AS file_id", "CASE WHEN id % 2 = 0 THEN 'strong' ELSE 'weak' END AS confidence")
+    return cor.lead_edges(leads.unionAll(leads.withColumn("confidence", F.lit("heuristic"))))
+
+
+@query("SELECT 7::BIGINT AS families, 5::BIGINT AS with_leads, (SELECT count(*) FROM f WHERE id % 2 = 0)::BIGINT AS high, 'passed' AS gate")
+def correlation_coverage_gate(spark, d):
+    leads = files(spark, d).selectExpr("concat('family', id % 5) AS family", "CASE WHEN id % 2 = 0 THEN 'strong' ELSE 'weak' END AS confidence", "false AS caveat")
+    return cor.coverage_gate(cor.family_coverage(leads, spark.range(7).selectExpr("concat('family', id) AS family")))
+
+
+@query("SELECT id, 'my ' || name || ' end' AS snippet FROM f WHERE contains(lower(name), 'doc1')")
+def search_snippets(spark, d):
+    rows = files(spark, d).where(F.lower("name").contains("doc1")).withColumn("content", F.concat(F.lit("my "), "name", F.lit(" end")))
+    return se.with_snippets(rows, "DOC1").select("id", F.get("snippets", F.lit(0)).alias("snippet"))
