@@ -95,14 +95,6 @@ def test_near_duplicates_odd_rows(spark):
     ]
 
 
-def test_texts_that_share_an_id(spark):
-    """One set stands for a doc_id, whatever the order of the rows."""
-    rows = [(1, "a b c d e f"), (1, "u v w x y z"), (2, "a b c d e f"), (3, "u v w x y z"), (4, ""), (4, None)]
-    schema = "doc_id long, text string"
-    runs = [sorted(map(str, op3.near_duplicates(spark.createDataFrame(x, schema)).collect())) for x in (rows, rows[::-1])]
-    assert runs[0] == runs[1] and len(runs[0]) == 6
-
-
 def test_densified_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     agree = []
