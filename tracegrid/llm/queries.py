@@ -14,6 +14,9 @@ from .op07_lines import dedup_lines
 from .op08_wrappers import extract
 from .op09_media import described, to_media
 from .op10_packing import pack
+from .op11_conversations import repaired
+from .op12_manifest import verified
+from .op13_compression import quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +63,35 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified(table(spark, sf_dir, "documents"))
+
+
+def op13_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_lengths, op2_toxicity_chain, op3_minhash_stars, op4_vector_forest, op5_license_templates, op6_bpe_tree, op7_line_minhash, op8_html_wrappers, op9_avi_media, op10_pattern_packing)
+    f.__name__: f
+    for f in (
+        op1_token_lengths,
+        op2_toxicity_chain,
+        op3_minhash_stars,
+        op4_vector_forest,
+        op5_license_templates,
+        op6_bpe_tree,
+        op7_line_minhash,
+        op8_html_wrappers,
+        op9_avi_media,
+        op10_pattern_packing,
+        op11_conversation_repair,
+        op12_merkle_manifest,
+        op13_compression_bands,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
