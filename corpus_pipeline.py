@@ -8,7 +8,7 @@ again as the next stage's docs. All stages but the last return the columns of ``
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracegrid.llm.op02_toxicity import keep_clean, train
-from tracegrid.llm.op03_minhash import near_duplicates
+from tracegrid.llm.op03_minhash import without_near_duplicates
 from tracegrid.llm.op07_lines import dedup_lines
 from tracegrid.llm.op10_packing import pack
 from tracegrid.llm.scratch import Scratch
@@ -31,9 +31,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component of near copies."""
-    copies = near_duplicates(docs, NEAR_WORDS, NEAR_PERCENT).where("NOT kept").select("doc_id")
-    return docs.join(Scratch(spark, "copies").put(copies), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one document of each component of near copies, that with the smallest doc_id.
+
+    Rows are judged one by one: of two texts under one doc_id each stays unless it has a copy.
+    """
+    return without_near_duplicates(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,6 +95,24 @@ def test_near_duplicates_odd_rows(spark):
     ]
 
 
+def test_rows_that_share_a_doc_id(spark):
+    """Of one doc_id all texts have one component; without near copies rows go one by one."""
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.randrange(900)}" for _ in range(40))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(3, a, "en"), (5, a, "en"), (5, b, "en"), (8, b + " end", "de"), (9, c, "en"), (9, c, "en"), (9, c, "de"), (10, d, None), (10, None, None), (11, d, None)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)
+        got = op3.near_duplicates(docs).collect()
+        assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got if r["n_shingles"]} == {
+            (3, 3, True), (5, 3, False), (8, 3, False), (9, 9, True), (10, 10, True), (11, 10, False),
+        }
+        assert len(got) == len(rows)
+        kept = op3.without_near_duplicates(docs)
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted([(3, a, "en"), (5, b, "en"), (9, c, "de"), (10, d, None), (10, None, None)], key=str)
+
+
 def test_densified_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     agree = []

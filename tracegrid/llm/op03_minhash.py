@@ -1,6 +1,7 @@
 """MinHash near-dedup: one-permutation hashing, banded buckets, star-shaped candidates.
 
-Documents with equal shingle sets form a class first, so copies cost a row each and no more.
+Documents with equal shingle sets form a class first, so copies cost a row each and no more. Classes
+are what is linked: a text is found by its doc_id and a 128-bit key, as ids can be repeated.
 One hash of each shingle fills ``BINS`` bins with their minima; empty bins are filled by optimal
 densification, which draws a donor bin by a hash that all documents share. Bands of the
 signature are buckets. A bucket links all its members to one center, so a bucket of m members
@@ -18,14 +19,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from .components import components
 from .scratch import Scratch
 from .shingles import mix, overlap, shingle_set
 from .stars import linked_components
 
 BINS, BAND_ROWS = 192, 6
-SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+SIGNED = "doc_id long, content binary, n_shingles long, set_key binary, bands array<long>"
 
 
 def densify(values: np.ndarray, filled: np.ndarray) -> np.ndarray:
@@ -76,11 +78,12 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("content"),
                     pa.array(sizes, pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
                 ],
-                ["doc_id", "n_shingles", "set_key", "bands"],
+                ["doc_id", "content", "n_shingles", "set_key", "bands"],
             )
 
     return docs.mapInArrow(sign, SIGNED)
@@ -88,8 +91,8 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs ``a, b`` with both texts; a join by ``a`` comes last, so equal ones are neighbours."""
-    ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    ta = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+    tb = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
 
 
@@ -127,31 +130,48 @@ def beyond(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return _with_texts(pairs, texts).mapInArrow(rest, "a long, b long, shingle long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
-    """Components of documents whose sets of ``k``-word shingles are similar.
+def text_key(text: Column) -> Column:
+    """A 128-bit key of a text, empty for null."""
+    return F.coalesce(F.unhex(F.md5(text.cast("string").cast("binary"))), F.lit(b""))
 
-    Returns doc_id, n_shingles, component_id, kept for every row of ``docs`` (``doc_id, text``;
-    other columns are ignored). Documents without words, or with null text, are linked with
-    nothing; so are rows without a doc_id, whose component is null and which are kept. Rows that
-    share a doc_id count as one document.
-    """
-    scratch = Scratch(docs.sparkSession, "minhash")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, content, text``: rows with the key of their text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("content"), text.alias("text"))
+
+
+def _classes(signs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``set_key, doc_id, content, id`` of each set: its first row, and a number in the order of rows."""
+    first = F.min(F.struct("doc_id", "content")).alias("first")
+    found = scratch.put(signs.groupBy("set_key").agg(first).select("set_key", "first.*"))
+    order = ["doc_id", "content", "set_key"]
+    ordered = found.repartitionByRange(*order).sortWithinPartitions(*order)
+    return scratch.put(ordered.withColumn("id", F.monotonically_increasing_id()))
+
+
+def _linked(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, content, n_shingles, id of the class or null), labels (id, component) of classes
+    that are linked, and the doc_ids that several rows share."""
+    rows = keyed(docs)
     signs = scratch.put(signed(rows, k))
     usable = signs.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch.put(usable.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")))
-    heads = scratch.put(
-        usable.join(classes, ["set_key", "doc_id"], "left_semi")
-        .select("doc_id", "bands")
-        .dropDuplicates(["doc_id"])
-    )
-    in_buckets = heads.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"))
+    repeated = scratch.put(usable.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    classes = _classes(usable, scratch)
+    heads = usable.join(classes, ["set_key", "doc_id", "content"]).select("id", "bands").dropDuplicates(["id"])
+    heads = scratch.put(heads)
+    in_buckets = heads.select(F.explode("bands").alias("bucket"), "id")
     sizes = scratch.put(in_buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
     shared = scratch.put(in_buckets.join(sizes, "bucket"))
     scores = scratch.put(shared.groupBy("id").agg(F.sum("size").alias("score")))
     members = scratch.put(shared.join(scores, "id").select("bucket", "id", "score"))
-    texts = scratch.put(rows.join(scores.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
-    scratch.drop(shared, sizes)
+    wanted = scratch.put(classes.join(scores, "id", "left_semi").select("id", "doc_id", "content"))
+    texts = rows.join(wanted, ["doc_id", "content"]).select("doc_id", "id", "text")
+    if not repeated.isEmpty():  # equal rows give one text
+        again = texts.join(repeated, "doc_id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+        texts = texts.join(repeated, "doc_id", "left_anti").select("id", "text").unionAll(again)
+    texts = scratch.put(texts.select("id", "text"))
+    scratch.drop(shared, sizes, wanted)
     scratch.release()
     labels = linked_components(
         members,
@@ -161,16 +181,65 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
         scratch,
     )
     scratch.drop(members, texts)
+    ids = classes.select("set_key", "id")
+    linkable = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_key"))
+    of_class = signs.select("doc_id", "content", "n_shingles", linkable.alias("set_key"))
+    found = scratch.put(of_class.join(ids, "set_key", "left").select("doc_id", "content", "n_shingles", "id"))
+    return found, labels, repeated
+
 
-    head_of = classes.withColumnRenamed("doc_id", "head")
-    labels = labels.withColumnRenamed("id", "head")
-    linkable = F.col("n_shingles") > 0
-    of_class = signs.select("doc_id", "n_shingles", F.when(linkable & F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
-    found = scratch.put(of_class.join(head_of, "set_key", "left").select("doc_id", "n_shingles", "head"))
-    component = F.coalesce("component", "head", "doc_id")
-    return found.join(labels, "head", "left").select(
+def _first_of_components(found: DataFrame, labels: DataFrame, first: Column) -> DataFrame:
+    """``id, first`` for all classes: the least of ``first`` over the rows of their component."""
+    least = found.where("id IS NOT NULL").groupBy("id").agg(F.min(first).alias("first"))
+    least = least.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return least.join(least.groupBy("component").agg(F.min("first").alias("least")), "component").select("id", F.col("least").alias("first"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
+    """Components of documents whose sets of ``k``-word shingles are similar.
+
+    Returns doc_id, n_shingles, component_id, kept for every row of ``docs`` (``doc_id, text``;
+    other columns are ignored). Documents without words, or with null text, are linked with
+    nothing; so are rows without a doc_id, whose component is null and which are kept. Rows that
+    share a doc_id are one document: what one of them is linked with, all are, so they have one
+    component. Texts of any length are compared whole; an empty table gives no rows.
+    """
+    scratch = Scratch(docs.sparkSession, "minhash")
+    found, labels, repeated = _linked(docs, k, percent, scratch)
+    if not repeated.isEmpty():
+        of_doc = found.where("id IS NOT NULL").join(repeated, "doc_id", "left_semi").groupBy("doc_id", "id").agg(F.count("*").alias("n"))
+        lowest = of_doc.groupBy("doc_id").agg(F.min("id").alias("dst"))
+        same = of_doc.join(lowest, "doc_id").select(F.col("id").alias("src"), "dst")
+        labels = components(same.unionAll(labels.select("id", "component")), scratch)
+    least = scratch.put(_first_of_components(found, labels, F.col("doc_id")))
+    component = F.coalesce("first", "doc_id")
+    return found.join(least, "id", "left").select(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
+    """One row of each component of near copies, with all columns of ``docs``.
+
+    Rows count one by one here, whatever their doc_ids: of similar texts the row with the least
+    doc_id stays (of several with that id, the one with the least key of its text; of rows equal in
+    both, the least by their other columns). Rows without words or without a doc_id all stay; an
+    empty table stays empty.
+    """
+    scratch = Scratch(docs.sparkSession, "unique")
+    found, labels, repeated = _linked(docs, k, percent, scratch)
+    least = _first_of_components(found, labels, F.struct("doc_id", "content"))
+    row = [F.col("doc_id").alias("_id"), F.col("content").alias("_key")]
+    gone = found.join(least, "id").where(F.struct("doc_id", "content") != F.col("first"))
+    gone = scratch.put(gone.select(*row).distinct())
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), text_key(F.col("text")).alias("_key"))
+    kept = rows.join(gone, ["_id", "_key"], "left_anti")
+    if not repeated.isEmpty():
+        alike = found.where("id IS NOT NULL").groupBy(*row).agg(F.count("*").alias("n")).where("n > 1")
+        alike = scratch.put(alike.select("_id", "_key"))
+        one = kept.join(alike, ["_id", "_key"], "left_semi").groupBy("_id", "_key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        kept = kept.join(alike, ["_id", "_key"], "left_anti").select("row").unionAll(one.select("row"))
+    return kept.select("row.*")
