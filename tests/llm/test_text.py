@@ -136,6 +136,22 @@ def test_text_that_all_pages_share_goes():
     assert op8.main_text(pages[0], copies)[0].endswith("Call us: 12345")
 
 
+def test_equal_articles_stay():
+    """Mirrors and print views: the article is the same on all pages, their frame is not."""
+    article = "The article that all pages share has many words. " * 6
+    for around in ("<div class=content>{}</div>", "<article>{}</article>", "<main><section>{}</section></main>"):
+        pages = [f"<body><p class=top>Top {i} visits</p>" + around.format(f"<p>{article}</p>") + f"<p class=rand>rand {i}</p></body>" for i in range(8)]
+        wrapper = op8.infer(pages)
+        for i, p in enumerate(pages):
+            text, fits = op8.main_text(p, wrapper)
+            assert fits and article.strip() in text.split("\n"), text
+
+
+def test_names_of_paragraphs_in_the_article():
+    page = "<body><article><p>One.</p><p class='price-alert'>Prices fell.</p><p class='market-share'>A third.</p><div class='share-buttons'>Tweet</div><div class='related'>More</div></article></body>"
+    assert op8.main_text(page, None)[0] == "One.\nPrices fell.\nA third."
+
+
 def test_page_that_does_not_fit_is_read_by_itself():
     wrapper = op8.infer(["<div><p>a</p></div>", "<div><p>b</p></div>"])
     assert op8.main_text("<section><h3>c</h3><p>d</p></section>", wrapper) == ("c\nd", False)

@@ -8,7 +8,9 @@ task aligns those that it reads, and the tasks' wrappers are aligned in groups o
 until a host has one.
 
 Each page is then matched against its host's wrapper. A slot whose text is the same on all pages of
-a host belongs to the template and goes, if at least ``AGREE`` different pages say so; slots in
+a host belongs to the template and goes, if at least ``AGREE`` different pages say so, unless it
+stands in a ``main`` or ``article`` element or holds most of the text, as pages that differ in
+their frame alone have the same article; slots in
 menus, headers, footers, sidebars, notices, adverts, forms and comments go, and so do repeated
 groups of links alone. If ``main`` or ``article`` elements hold most of what is left, it is the main
 text, else all of it is. A page that does not fit, or has no host, is read with a wrapper of its own.
@@ -93,11 +95,12 @@ class Wrapper:
 
         walk(self.root, False)
         known = enumerate(zip(slots, menus, strict=True))
+        chars = sum(s.known.chars for s in slots if s.level >= SOFT)
 
         def template(slot: Item, repeated: bool) -> bool:
             k = slot.known
             if len(self.pages) >= AGREE and k.digest is not None and k.pages >= AGREE:
-                return True
+                return not slot.main and 2 * k.chars < chars
             return repeated and not slot.main and k.linked >= MENU_SHARE * k.chars and k.chars < MENU_CHARS * k.blocks
 
         varying = [i for i, (s, repeated) in known if s.level >= SOFT and not template(s, repeated)]

@@ -47,15 +47,16 @@ LAYOUT = {"with", "has", "no", "without"}
 HARD, SOFT, INSIDE = 0, 1, 2
 
 
-def marks_outside(name: str) -> bool:
+def marks_outside(name: str, in_main: bool = False) -> bool:
     """Whether a class or id names something that holds none of the main text: the whole name,
-    its last word, or its first before a word like ``list``."""
+    its last word, or its first before a word like ``list``. The last word alone says nothing
+    inside of the main text, where it can name what a paragraph is about."""
     words = [w.lower() for w in _WORDS.findall(name)]
     if not words or not LAYOUT.isdisjoint(words):
         return False
     if len(words) == 1:
         return words[0] in OUTSIDE_NAMES
-    return words[-1] in OUTSIDE_NAMES or words[0] in OUTSIDE_NAMES and words[1] in PARTS
+    return words[-1] in OUTSIDE_NAMES and not in_main or words[0] in OUTSIDE_NAMES and words[1] in PARTS
 
 
 @dataclass
@@ -305,7 +306,7 @@ class Page:
                 value = m[2] or m[3] or m[4] or ""
                 if attribute in ("class", "id", "role"):
                     names = _NAMES.findall(value)
-                    marked = marked or any(map(marks_outside, names))
+                    marked = marked or any(marks_outside(n, above.main) for n in names)
                     if attribute == "class":
                         kinds += [re.sub(r"\d{3,}", "", n) for n in names]
                 elif attribute == "hidden" or attribute == "style" and "display:none" in value.replace(" ", "").lower():
