@@ -169,6 +169,13 @@ def test_plans_use_every_piece_once(histogram):
         assert at <= 64
 
 
+def test_patterns_with_room_left_are_used():
+    """Few lengths of which none fill a sequence: 700 with 300, 400 twice, 350 with 330 twice, 350 twice."""
+    assert op10.make_plan({700: 1000, 400: 1000, 300: 1000, 330: 500, 350: 500}).sequences <= 1875
+    assert op10.make_plan({600: 300, 420: 300, 5: 100}).sequences == 301
+    assert op10.make_plan({500: 10, 24: 5}).sequences == 5
+
+
 def test_plans_are_near_the_bound():
     rng = np.random.default_rng(3)
     lengths = np.minimum(rng.geometric(0.003, 60_000), 1024)

@@ -2,8 +2,10 @@
 
 Documents are encoded, a closing id is appended, and those longer than a sequence are cut.
 The histogram of piece lengths has at most ``capacity`` rows, whatever the input; from it the
-driver enumerates patterns of two or three lengths that fill a sequence exactly, fits repeat
-counts by non-negative least squares, rounds them down, and packs the residual counts best-fit.
+driver enumerates patterns of two or three lengths, fits repeat counts by non-negative least
+squares, rounds them down, and packs the residual counts best-fit, also into what patterns left
+free. Patterns that leave something free are fitted with those that fill a sequence or after them,
+at several prices of a free token; the fit that needs the fewest sequences counts.
 The plan says, for each length, which ranks go where. Ranks are dealt without a global sort:
 each length is split into slots of bounded size, slots are counted and offset, and a window
 numbers the rows of a slot.
@@ -24,9 +26,13 @@ from .scratch import Scratch
 
 CAPACITY = 1024
 CLOSING_ID = 2
-#: Patterns kept for each largest length, those that the histogram can repeat most.
+#: Patterns kept for each largest length, of those that fill a sequence the ones that the histogram
+#: can repeat most, and of the others the ones that leave least free.
 PATTERNS_EACH = 10
 FIT_ROUNDS = 400
+#: Prices of a free token in the fit, as shares of a length's count on average; at the last one
+#: patterns that leave anything free do not pay.
+PRICES = (1e-4, 1e-3, 1e-2, np.inf)
 #: Slots that the ranks are dealt by; rows in a slot at least.
 SLOTS, SLOT_ROWS = 50_000, 256
 
@@ -74,29 +80,37 @@ class Plan:
 
 
 def candidate_patterns(counts: np.ndarray, capacity: int, each: int = PATTERNS_EACH) -> np.ndarray:
-    """Rows of three lengths (0: none) that sum to ``capacity``, from lengths that occur."""
+    """Rows of three lengths (0: none) that occur and sum to ``capacity`` at most; the third is the
+    longest that has room."""
     found = []
-    for a in np.flatnonzero(counts[:capacity])[::-1].tolist():
+    lengths = np.flatnonzero(counts[:capacity])
+    for a in lengths[::-1].tolist():
         rest = capacity - a
         if rest > 2 * a:
             break
-        b = np.arange((rest + 1) // 2, min(a, rest) + 1)
-        c = rest - b
+        b = lengths[lengths <= min(a, rest)]
+        at = np.searchsorted(lengths, np.minimum(b, rest - b), side="right")
+        c = np.where(at > 0, lengths[at - 1], 0)
+        free = rest - b - c
         room = np.minimum(counts[a], np.minimum(counts[b], np.where(c > 0, counts[c], counts[b])))
-        best = np.argsort(-room, kind="stable")[:each]
-        best = best[room[best] > 0]
+        full = np.flatnonzero(free == 0)
+        loose = np.flatnonzero(free > 0)
+        best = np.append(full[np.argsort(-room[full], kind="stable")[:each]], loose[np.lexsort((-room[loose], free[loose]))[:each]])
         found.append(np.column_stack([np.full(len(best), a), b[best], c[best]]))
     return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
 
-def fit_repeats(counts: np.ndarray, patterns: np.ndarray, rounds: int = FIT_ROUNDS) -> np.ndarray:
+def fit_repeats(counts: np.ndarray, patterns: np.ndarray, capacity: int, price: float = 0.0, rounds: int = FIT_ROUNDS) -> np.ndarray:
     """Repeat counts by non-negative least squares (accelerated projected gradient), rounded
-    down and never using more of a length than there is."""
-    if not len(patterns):
-        return np.zeros(0, np.int64)
+    down and never using more of a length than there is. Patterns that leave tokens free pay for
+    them; what the fit leaves of their lengths, they take then, those with the least free first."""
+    if not len(patterns) or price == np.inf:
+        return np.zeros(len(patterns), np.int64)
     size = len(counts)
     target = counts.astype(float)
     target[0] = 0
+    free = capacity - patterns.sum(axis=1)
+    costs = price * target.sum() / np.count_nonzero(target) * free if price else 0
 
     def used(x):
         y = np.zeros(size)
@@ -107,7 +121,7 @@ def fit_repeats(counts: np.ndarray, patterns: np.ndarray, rounds: int = FIT_ROUN
 
     def gradient(x):
         r = used(x) - target
-        return r[patterns].sum(axis=1)
+        return r[patterns].sum(axis=1) + costs
 
     probe = np.ones(len(patterns))
     for _ in range(20):  # the largest eigenvalue, for the step
@@ -123,16 +137,27 @@ def fit_repeats(counts: np.ndarray, patterns: np.ndarray, rounds: int = FIT_ROUN
         y = after + (t - 1) / t_after * (after - x)
         x, t = after, t_after
     left, repeats = counts.copy(), np.zeros(len(patterns), np.int64)
-    for i in np.argsort(-x, kind="stable").tolist():
+
+    def take(i: int, most: int) -> None:
         lengths, need = np.unique(patterns[i][patterns[i] > 0], return_counts=True)
-        repeats[i] = min(int(x[i] + 1e-6), int((left[lengths] // need).min()))
-        left[lengths] -= repeats[i] * need
+        n = min(most, int((left[lengths] // need).min()))
+        repeats[i] += n
+        left[lengths] -= n * need
+
+    for i in np.argsort(-x, kind="stable").tolist():
+        take(i, int(x[i] + 1e-6))
+    for i in np.lexsort((-x, free)).tolist() if price else ():
+        if x[i] >= 1:
+            take(i, int(counts.max()))
     return repeats
 
 
-def pack_residual(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Best-fit decreasing on counts: contents of sequences and how many have them."""
+def pack_residual(counts: np.ndarray, capacity: int, begun: list[tuple[tuple[int, ...], int]] = ()) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing on counts: contents of sequences and how many have them. Sequences that
+    are ``begun`` take more where they have room."""
     open_by_room: dict[int, dict[tuple[int, ...], int]] = defaultdict(dict)
+    for made, n in begun:
+        open_by_room[capacity - sum(made)][made] = n
     for length in np.flatnonzero(counts)[::-1].tolist():
         left = int(counts[length])
         room = length
@@ -166,17 +191,28 @@ def make_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
-    patterns = candidate_patterns(counts, capacity)
-    repeats = fit_repeats(counts, patterns)
-    runs = [((capacity,), int(counts[capacity]))] if counts[capacity] else []
+    begun = [((capacity,), int(counts[capacity]))] if counts[capacity] else []
     left = counts.copy()
     left[capacity] = 0
-    for row, n in zip(patterns.tolist(), repeats.tolist(), strict=True):
-        if n:
-            runs.append((tuple(x for x in row if x), n))
-            for x in row:
-                left[x] -= n * bool(x)
-    runs += pack_residual(left, capacity)
+
+    def taken(patterns: np.ndarray, left: np.ndarray, price: float) -> tuple[list, np.ndarray]:
+        repeats, left = fit_repeats(left, patterns, capacity, price), left.copy()
+        used = [(tuple(x for x in row if x), n) for row, n in zip(patterns.tolist(), repeats.tolist(), strict=True) if n]
+        for contents, n in used:
+            for x in contents:
+                left[x] -= n
+        return used, left
+
+    patterns = candidate_patterns(left, capacity)
+    full, after = taken(patterns[patterns.sum(axis=1) == capacity], left, 0)
+    loose = candidate_patterns(after, capacity)
+    loose = loose[loose.sum(axis=1) < capacity]
+    plans = []
+    for price in PRICES:
+        for done, counts, some in ((full, after, loose), ([], left, patterns))[: 2 if price < np.inf else 1]:
+            used, rest = taken(some, counts, price)
+            plans.append(pack_residual(rest, capacity, begun + done + used))
+    runs = min(plans, key=lambda plan: sum(n for _, n in plan))
     edges, sequence, offset = defaultdict(list), defaultdict(list), defaultdict(list)
     next_rank: dict[int, int] = defaultdict(int)
     first = 0
