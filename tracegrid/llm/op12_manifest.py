@@ -290,7 +290,7 @@ def manifest(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Sources: key, subroot, root, lefts, rights.
     """
     scratch = Scratch(docs.sparkSession, "manifest")
-    rows = indexed(leaves(docs), ["doc_id", "leaf"], scratch)
+    rows = indexed(scratch.put(leaves(docs)), ["doc_id", "leaf"], scratch)
     nodes = node_records(rows, scratch)
     is_top = level_size(F.col("total"), F.col("level")) == 1
     subroots = nodes.where(is_top).select(F.lit("").alias("key"), F.col("key").alias("of"), F.col("digest").alias("leaf"))
