@@ -9,7 +9,7 @@ from tracegrid.functions.paths import name_candidates, path_candidates, posix_ca
 from tracegrid.functions.text import snippets
 from tracegrid.operators import cases, catalog, content, correlation, graph, joins, rules
 from tracegrid.plans import tables
-from tracegrid.sources import mail, sinks
+from tracegrid.sources import generations, mail, sinks
 
 
 @pytest.mark.parametrize(
@@ -117,12 +117,12 @@ def test_generations_upserts_and_mail(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id int, v string")
     merged = sinks.upsert(spark.createDataFrame([(1, "old"), (3, "kept")], "id int, v string"), rows, ["id"])
     assert sorted(map(tuple, merged.collect())) == [(1, "b"), (2, "c"), (3, "kept")]
-    sinks.write_generation(rows, str(tmp_path), "g1")
-    assert sinks.read_generation(spark, str(tmp_path), "g1").count() == 3
+    generations.write_generation(rows, str(tmp_path), "g1")
+    assert generations.read_generation(spark, str(tmp_path), "g1").count() == 3
     rows.write.parquet(f"{tmp_path}/generation=g2")  # without its marker
     for name in ("g2", "g3"):
         with pytest.raises(ValueError):
-            sinks.read_generation(spark, str(tmp_path), name)
+            generations.read_generation(spark, str(tmp_path), name)
     mails = spark.createDataFrame([("x.eml", None), ("y.eml", bytearray(b"Subject: s\n\nbody"))], "path string, content binary")
     assert [r["subject"] for r in mail.messages(mails).collect()] == ["s"]
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracegrid.functions import classify, digests, paths, text, times
 from tracegrid.operators import entities, graph, integrity, joins, logs, rules, timeline
 from tracegrid.plans import paging
-from tracegrid.sources import extractors, mail, sinks
+from tracegrid.sources import extractors, generations, mail, sinks
 
 
 def column(spark, values, kind, expression):
@@ -207,7 +207,7 @@ def test_upsert_and_sinks(spark, tmp_path):
     assert {tuple(r) for r in merged.collect()} == {(1, "a"), (2, "c"), (3, "=d")}
     sinks.write_csv(merged, f"{tmp_path}/csv")
     assert '"3","\t=d"' in {r[0] for r in spark.read.text(f"{tmp_path}/csv/rows").collect()}
-    sinks.write_generation(merged, f"{tmp_path}/g", "1")
+    generations.write_generation(merged, f"{tmp_path}/g", "1")
     assert spark.read.parquet(f"{tmp_path}/g").count() == 3
 
 

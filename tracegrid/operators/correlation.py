@@ -105,29 +105,39 @@ def leads_in_order(leads: DataFrame) -> list[Column]:
     return [confidence_rank(F.col("confidence")).desc(), F.desc("support"), F.asc("title")]
 
 
+def _row(df: DataFrame, part: str, key: Column, a: Column, b: Column, title: Column, confidence: Column, support: Column) -> DataFrame:
+    return df.select(
+        F.lit(part).alias("part"), key.alias("id"), a.cast("string").alias("a"), b.cast("string").alias("b"), title.alias("title"),
+        confidence.alias("confidence"), support.cast("long").alias("support"),
+    )
+
+
+def match_rows(matches: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """The edges of matches and the nodes of their artifacts."""
+    none = F.lit(None).cast("string")
+    linked = matches.select("artifact_id").distinct().join(artifacts.select(F.col("id").alias("artifact_id"), "artifact_type"), "artifact_id")
+    node = _row(linked, "node", F.concat(F.lit("artifact:"), "artifact_id"), F.col("artifact_id"), none, F.col("artifact_type"), none, F.lit(1))
+    edge_id = F.concat_ws(":", F.lit("edge"), "artifact_id", "file_id", "kind")
+    return node.unionAll(_row(matches, "edge", edge_id, F.col("artifact_id"), F.col("file_id"), F.col("kind"), F.col("confidence"), F.lit(1)))
+
+
+def file_rows(groups: DataFrame, files: DataFrame) -> DataFrame:
+    """The nodes of files with matches, clusters of those with several artifacts, and leads."""
+    none = F.lit(None).cast("string")
+    led = groups.join(files.select(F.col("id").alias("file_id"), "path"), "file_id")
+    key = lambda kind: F.concat(F.lit(f"{kind}:"), "file_id")
+    node = _row(led, "node", key("file"), F.col("file_id"), none, F.col("path"), none, F.col("artifacts"))
+    cluster = _row(led.where("artifacts > 1"), "cluster", key("cluster"), F.col("file_id"), none, F.col("path"), F.col("confidence"), F.col("artifacts"))
+    return node.unionAll(cluster).unionAll(_row(led, "lead", key("lead"), F.col("file_id"), none, F.col("path"), F.col("confidence"), F.col("artifacts") + F.col("events")))
+
+
 def correlation_snapshot(artifacts: DataFrame, files: DataFrame, events: DataFrame) -> DataFrame:
     """Nodes, edges, clusters and leads of a source as rows ``part, id, a, b, title, confidence,
     support``: nodes are the artifacts and files that rules link, edges the links, clusters the
     files with several artifacts, leads all files with their support."""
     tables = Tables(artifacts.sparkSession, "snapshot")
     matches = tables.put(rule_matches(artifacts, files))
-    groups = tables.put(rule_groups(matches, events))
-    names = files.select(F.col("id").alias("file_id"), "path")
-    row = lambda df, part, key, a, b, title, confidence, support: df.select(
-        F.lit(part).alias("part"), key.alias("id"), a.cast("string").alias("a"), b.cast("string").alias("b"), title.alias("title"),
-        confidence.alias("confidence"), support.cast("long").alias("support"),
-    )
-    none = F.lit(None).cast("string")
-    file_key, art_key = F.concat(F.lit("file:"), "file_id"), F.concat(F.lit("artifact:"), "artifact_id")
-    led = groups.join(names, "file_id")
-    linked = matches.select("artifact_id").distinct().join(artifacts.select(F.col("id").alias("artifact_id"), "artifact_type"), "artifact_id")
-    return (
-        row(led, "node", file_key, F.col("file_id"), none, F.col("path"), none, F.col("artifacts"))
-        .unionAll(row(linked, "node", art_key, F.col("artifact_id"), none, F.col("artifact_type"), none, F.lit(1)))
-        .unionAll(row(matches, "edge", F.concat_ws(":", F.lit("edge"), "artifact_id", "file_id", "kind"), F.col("artifact_id"), F.col("file_id"), F.col("kind"), F.col("confidence"), F.lit(1)))
-        .unionAll(row(led.where("artifacts > 1"), "cluster", F.concat(F.lit("cluster:"), "file_id"), F.col("file_id"), none, F.col("path"), F.col("confidence"), F.col("artifacts")))
-        .unionAll(row(led, "lead", F.concat(F.lit("lead:"), "file_id"), F.col("file_id"), none, F.col("path"), F.col("confidence"), F.col("artifacts") + F.col("events")))
-    )
+    return match_rows(matches, artifacts).unionAll(file_rows(tables.put(rule_groups(matches, events)), files))
 
 
 def merged_snapshots(snapshots: DataFrame) -> DataFrame:

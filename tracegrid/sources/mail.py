@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 MESSAGES = "path string, message_index int, message_id string, sender string, recipients string, subject string, sent string, body string, attachments array<string>"
 
 
-def _row(path: str, index: int, raw: bytes) -> tuple:
+def message_row(path: str, index: int, raw: bytes) -> tuple:
+    """A row of ``MESSAGES`` for one message."""
     m = email.message_from_bytes(raw, policy=email.policy.default)
     part = m.get_body(preferencelist=("plain", "html"))
     try:
@@ -18,7 +19,13 @@ def _row(path: str, index: int, raw: bytes) -> tuple:
     except (LookupError, ValueError, KeyError):
         body = ""
     names = [a.get_filename() or "" for a in m.iter_attachments()] if m.is_multipart() else []
-    return (path, index, m["message-id"], m["from"], m["to"], m["subject"], m["date"], body, names)
+    text = lambda x: None if x is None else str(x)
+    return (path, index, *(text(m[h]) for h in ("message-id", "from", "to", "subject", "date")), body, names)
+
+
+def unquoted(line: bytes) -> bytes:
+    """A line of a mailbox without the sign that kept it from beginning a message."""
+    return line[1:] if line.startswith(b">") and line.lstrip(b">").startswith(b"From ") else line
 
 
 def split_mailbox(data: bytes) -> list[bytes]:
@@ -30,7 +37,7 @@ def split_mailbox(data: bytes) -> list[bytes]:
         if blank and line.startswith(b"From "):
             out.append([])
         elif out:
-            out[-1].append(line[1:] if line.lstrip(b">").startswith(b"From ") and line.startswith(b">") else line)
+            out[-1].append(unquoted(line))
         blank = not line.strip()
     return [b"".join(m) for m in out]
 
@@ -45,8 +52,7 @@ def messages(files: DataFrame) -> DataFrame:
                 if data is None:
                     continue
                 parts = split_mailbox(data) if data.startswith(b"From ") else [data.split(b"\n", 1)[1] if path.endswith(".emlx") else data]
-                rows = [tuple(str(x) if x is not None and not isinstance(x, (int, list)) else x for x in _row(path, i, p)) for i, p in enumerate(parts)]
-                yield pd.DataFrame(rows, columns=names)
+                yield pd.DataFrame([message_row(path, i, p) for i, p in enumerate(parts)], columns=names)
 
     return files.select("path", "content").mapInPandas(parse, MESSAGES)
 
