@@ -245,3 +245,105 @@ def test_merkle_of_many_leaves_numbered_by_slots(spark, monkeypatch):
         return level[0]
 
     assert {r["scope_key"]: r["root"] for r in integrity.merkle_roots(places).collect()} == {k: root(xs) for k, xs in ids.items()}
+
+
+def plain_highlights(text, query):
+    """Hits by a scan of every byte place; groups by their gaps."""
+    data, terms = text.encode(), [t.encode() for t in query.lower().split()]
+    lower = text.lower().encode()
+    hits = []
+    for t in terms:
+        at = 0
+        while at <= len(lower) - len(t):
+            if lower[at : at + len(t)] == t:
+                hits.append(at)
+                at += len(t)
+            else:
+                at += 1
+    if not (hits := sorted(set(hits))):
+        return []
+    starts = [i for i, p in enumerate(hits) if i == 0 or p - hits[i - 1] > 120]
+    out = []
+    for i, j in list(zip(starts, [*starts[1:], len(hits)], strict=True))[:5]:
+        a, b = max(0, hits[i] - 60), min(len(data), hits[j - 1] + max(map(len, terms)) + 60)
+        while a and data[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(data) and data[b] & 0xC0 == 0x80:
+            b -= 1
+        piece = data[a:b]
+        cut = min(512, len(piece))
+        while cut < len(piece) and piece[cut] & 0xC0 == 0x80:
+            cut -= 1
+        shown = piece[:cut].decode()
+        low, marks = shown.lower().encode(), []
+        for t in terms:
+            at = low.find(t)
+            while at >= 0:
+                marks.append((at, at + len(t)))
+                at = low.find(t, at + len(t))
+        out.append((shown, sorted(marks)))
+    return out
+
+
+def test_highlights_against_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    parts = ["the ", "é", "THE", "x" * 30, "日本語 ", "word ", "\n", "É ", "y" * 130, "th e"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(120))) for _ in range(150)] + ["the" * 400, "", None, "none"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", text.highlights(F.col("text"), "The É").alias("s")).collect()
+    for r in rows:
+        want = None if texts[r["id"]] is None else plain_highlights(texts[r["id"]], "The É")
+        assert (None if r["s"] is None else [(x["text"], [tuple(h) for h in x["hits"]]) for x in r["s"]]) == want
+    assert spark.createDataFrame([("a",)], "text string").select(text.highlights(F.col("text"), "  ")).first()[0] == []
+
+
+def test_addresses_as_bits(spark):
+    import ipaddress
+    import random
+
+    from tracegrid.operators import networks
+
+    rng = random.Random(7)
+    texts = ["", ":", "::", "1::", "::1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "1.2.3", "1.2.3.4.5", "00.1.2.3", "1:2:3:4:5:6:7:8:9", "1:::2", "ABCD::", "12345::", None]
+    texts += [str(ipaddress.IPv6Address(rng.getrandbits(128) & rng.choice([2**128 - 1, 2**64 - 1, 0xFFFF << 64]))) for _ in range(50)]
+    texts += [str(ipaddress.IPv4Address(rng.getrandbits(32))) for _ in range(50)]
+
+    def bits(x):
+        try:
+            ip = ipaddress.ip_address(x)
+        except ValueError:
+            return None
+        return bin(int(ip))[2:].zfill(ip.max_prefixlen)
+
+    rows = spark.createDataFrame([(x,) for x in texts], "address string").select("address", networks.address_bits("address").alias("bits"), networks.valid_address("address").alias("ok")).collect()
+    assert {r["address"]: r["bits"] for r in rows} == {x: bits(x) if x is not None else None for x in texts}
+
+
+def test_walks_of_odd_forests(spark):
+    import random
+
+    from tracegrid.operators import forest
+
+    rng = random.Random(8)
+    parents = {i: rng.choice([None, *range(i)]) if i else None for i in range(150)} | {i: i - 1 for i in range(150, 350)}
+    parents |= {900: 901, 901: 900, 902: 900, 500: 7777}  # a cycle, what hangs on it, and an orphan
+    ranks = {i: rng.randrange(5) for i in parents}
+    rows = spark.createDataFrame([(i, p, ranks[i]) for i, p in parents.items()], "id long, parent_id long, rank int")
+    kids = {}
+    for i, p in parents.items():
+        kids.setdefault(p if p in parents else None, []).append(i)
+    order, sizes = [], {}
+
+    def walk(i, depth):
+        order.append((i, depth))
+        sizes[i] = 1 + sum(walk(k, depth + 1) for k in sorted(kids.get(i, []), key=lambda k: (ranks[k], k)))
+        return sizes[i]
+
+    for r in sorted(kids[None], key=lambda k: (ranks[k], k)):
+        walk(r, 0)
+    got = {r["id"]: (r["depth"], r["size"], r["place"]) for r in forest.walk_order(rows, ["rank"]).collect()}
+    assert got == {i: (d, sizes[i], n) for n, (i, d) in enumerate(order)}
+    breadth = {r["id"]: r["breadth"] for r in forest.level_order(rows, ["rank"]).collect()}
+    assert breadth == {i: n for n, (i, _) in enumerate(sorted(order, key=lambda x: x[1]))}
+    assert forest.walk_order(rows.limit(0), ["rank"]).count() == 0

@@ -21,7 +21,11 @@ def shown(value):
     return f"{value:.9g}" if isinstance(value, float) else str(value)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+#: Queries that SQL can't express; other tests hold them against brute force.
+NO_SQL = {"search_highlights"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - NO_SQL))
 def test_query_equals_sql(spark, db, name):
     df = QUERIES[name](spark, SF_DIR)
     relation = db.sql(ORACLE_SQL[name])
@@ -33,4 +37,4 @@ def test_query_equals_sql(spark, db, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) == set(ORACLE_SQL) | NO_SQL

@@ -1,6 +1,6 @@
 """Joins with rules of their own: best path match, temporal proximity, login pairing."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.paths import basename, normalize_path, suffix_key
 from ..plans.tables import Tables
@@ -54,14 +54,16 @@ def best_path_match(candidates: DataFrame, files: DataFrame) -> DataFrame:
     with whatever it matches: a key that each file has once for each depth that occurs. Candidates
     of one component are matched by the ends of different file names, of lengths that occur.
     """
-    key = ["norm", "wants_deleted"]
-    c = candidates.withColumn("norm", normalize_path(F.col("candidate")))
-    wanted = c.select(*key).distinct().withColumn("key", suffix_key(F.col("norm"))).where("key <> ''")
+    key, tables = ["norm", "wants_deleted"], Tables(candidates.sparkSession, "best-path")
+    # paths in their normal form are written once: as expressions they would be in each branch again
+    c = tables.put(candidates.withColumn("norm", normalize_path(F.col("candidate"))))
+    wanted = tables.put(c.select(*key).distinct().withColumn("key", suffix_key(F.col("norm"))).where("key <> ''"))
     f = files.select(F.col("id").alias("file_id"), normalize_path(F.col("path")).alias("file_path"), "deleted")
     f = _least_file(f.withColumn("path_key", F.col("file_path")), "path_key")
-    exact = _best(wanted.join(f, F.col("norm") == F.col("path_key")), *key).withColumn("how", F.lit("exact"))
-    rest = wanted.join(exact.select(*key), key, "left_anti")
-    named = f.withColumn("file_key", suffix_key(F.col("file_path")))
+    f = tables.put(f.withColumn("file_key", suffix_key(F.col("file_path"))))
+    exact = tables.put(_best(wanted.join(f, F.col("norm") == F.col("path_key")), *key).withColumn("how", F.lit("exact")))
+    rest = tables.put(wanted.join(exact.select(*key), key, "left_anti"))
+    named = f
 
     slashes = F.length("key") - F.length(F.replace("key", F.lit("/")))
     deep = rest.withColumn("depth", slashes).where("depth > 0").withColumn("end", F.expr("right(key, length(substring_index(key, '/', -depth)) + 2)"))
@@ -79,7 +81,7 @@ def best_path_match(candidates: DataFrame, files: DataFrame) -> DataFrame:
 
     columns = [*key, "file_id", "file_path", "deleted"]
     suffix = _best(by_tail.select(*columns).unionAll(by_end.select(*columns)), *key).withColumn("how", F.lit("suffix"))
-    return c.join(exact.unionByName(suffix), key).select("candidate_id", "file_id", "file_path", "how")
+    return c.join(exact.unionByName(tables.put(suffix)), key).select("candidate_id", "file_id", "file_path", "how")
 
 
 def best_name_match(candidates: DataFrame, files: DataFrame) -> DataFrame:
@@ -135,6 +137,40 @@ def temporal_proximity(left: DataFrame, right: DataFrame, seconds: int = PROXIMI
         rest, width = tables.put(rest.join(full, "id", "left_anti")), min(seconds, width * WIDER)
 
 
+def _grams(text: Column, n: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n))))
+
+
+def temporal_text_matches(needles: DataFrame, texts: DataFrame, seconds: int = PROXIMITY_SECONDS, gram: int = 4) -> DataFrame:
+    """``needle_id, text_id, gap``: texts within so many seconds, inclusive, that contain the needle,
+    without case.
+
+    ``needles`` has id, second, needle; ``texts`` id (one row each), second, text. Time is cut to
+    buckets of the width, of which a needle looks at its own and both neighbours. In each it is
+    looked up by the gram of its text that is rarest there, so the key of the join is a bucket and
+    a gram, and a bucket that is hot is spread over its grams; what meets is compared exactly.
+    Needles shorter than a gram are looked up whole; empty or null ones match nothing.
+    """
+    bucket = F.expr(f"second div {seconds + 1}")
+    here = texts.select(F.col("id").alias("text_id"), "second", bucket.alias("bucket"), F.lower("text").alias("text"))
+    asked = needles.select(F.col("id").alias("needle_id"), "second", bucket.alias("bucket"), F.lower("needle").alias("needle")).where("length(needle) > 0")
+    sizes = [r["n"] for r in asked.select(F.least(F.length("needle"), F.lit(gram)).alias("n")).distinct().collect()]  # at most ``gram`` rows
+    none = F.array().cast("array<string>")
+    within = [F.when(F.length("text") >= n, _grams(F.col("text"), n)).otherwise(none) for n in sorted(sizes)]
+    tables = Tables(needles.sparkSession, "text-matches")
+    index = tables.put(here.select("text_id", "bucket", F.explode(F.concat(none, *within)).alias("gram")))
+    counts = index.groupBy("bucket", "gram").agg(F.count("*").alias("df"))
+    parts = F.when(F.length("needle") <= gram, F.array("needle")).otherwise(_grams(F.col("needle"), gram))
+    around = F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket")
+    probes = asked.select("needle_id", "needle", around).distinct().select("needle_id", "bucket", F.explode(parts).alias("gram"))
+    # a gram that the bucket lacks rules it out
+    rarest = probes.join(counts, ["bucket", "gram"], "left").groupBy("needle_id", "bucket").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("g"))
+    pairs = rarest.where("g.df > 0").select("needle_id", "bucket", F.col("g.gram").alias("gram")).join(index, ["bucket", "gram"]).select("needle_id", "text_id")
+    joined = pairs.join(asked.select("needle_id", "second", "needle"), "needle_id").join(here.select("text_id", F.col("second").alias("text_second"), "text"), "text_id")
+    gap = F.abs(F.col("second") - F.col("text_second"))
+    return joined.where((gap <= seconds) & F.col("text").contains(F.col("needle"))).select("needle_id", "text_id", gap.alias("gap")).distinct()
+
+
 def pair_sessions(records: DataFrame) -> DataFrame:
     """Logins with the logouts that end them, by terminal and process, first in first out.
 

@@ -2,6 +2,9 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.tables import Tables
+from .ranks import running_sums
+
 #: Buckets of a histogram, and newest ids of a cluster, at most.
 MAX_BUCKETS, SAMPLES_EACH = 180, 5
 #: Event kinds that a timeline may hold, those that analysis shows first.
@@ -150,19 +153,10 @@ def clusters(events: DataFrame) -> DataFrame:
 
 
 def _cluster_ranks(counted: DataFrame) -> DataFrame:
-    """``event_type, description, rank``: largest first, then by name. Clusters are numbered inside
-    parts of one size and one range of names, which begin where the parts before them end, so no
-    window holds all clusters."""
-    cut = counted.select("event_type", "description", "n", F.substring("description", 1, 24).alias("d"))
-    sizes = cut.groupBy("n", "event_type", "d").agg(F.count("*").alias("c"))
-    before = Window.partitionBy("n").orderBy("event_type", "d").rowsBetween(Window.unboundedPreceding, -1)
-    above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    # different counts of a cluster are few: of m events at most about the square root of 2 m
-    by_n = sizes.groupBy("n").agg(F.sum("c").alias("of_n")).select("n", F.coalesce(F.sum("of_n").over(above), F.lit(0)).alias("larger"))
-    begins = sizes.join(by_n, "n").select("n", "event_type", "d", (F.col("larger") + F.coalesce(F.sum("c").over(before), F.lit(0))).alias("begin"))
-    inside = F.row_number().over(Window.partitionBy("n", "event_type", "d").orderBy("description"))
-    numbered = cut.withColumn("inside", inside).join(begins, ["n", "event_type", "d"])
-    return numbered.select("event_type", "description", (F.col("begin") + F.col("inside")).cast("int").alias("rank"))
+    """``event_type, description, rank``: largest first, then by name."""
+    cut = counted.select("event_type", "description", (-F.col("n")).alias("order"), F.lit(1).alias("one"))
+    placed = running_sums(cut, [], ["order", "event_type", "description"], "one", Tables(counted.sparkSession, "ranks"))
+    return placed.select("event_type", "description", (F.col("before") + 1).cast("int").alias("rank"))
 
 
 def file_activity(files: DataFrame) -> DataFrame:
