@@ -166,7 +166,8 @@ def _linked(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[Da
     scores = scratch.put(shared.groupBy("id").agg(F.sum("size").alias("score")))
     members = scratch.put(shared.join(scores, "id").select("bucket", "id", "score"))
     wanted = scratch.put(classes.join(scores, "id", "left_semi").select("id", "doc_id", "content"))
-    texts = rows.join(wanted, ["doc_id", "content"]).select("doc_id", "id", "text")
+    # by a shuffle at every size: texts move once, and partitions hold a part of what is wanted
+    texts = rows.join(wanted.hint("shuffle_hash"), ["doc_id", "content"]).select("doc_id", "id", "text")
     if not repeated.isEmpty():  # equal rows give one text
         again = texts.join(repeated, "doc_id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
         texts = texts.join(repeated, "doc_id", "left_anti").select("id", "text").unionAll(again)
