@@ -35,7 +35,7 @@ CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_low_qua
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose numbers a Python worker keeps.
-WORD_STORE = 500_000
+WORD_STORE = 100_000
 
 
 class _WordNumbers(dict):

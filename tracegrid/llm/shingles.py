@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes a Python worker keeps; the store is emptied when it is full.
-WORD_STORE = 500_000
+WORD_STORE = 100_000
 
 
 class _WordHashes(dict):
