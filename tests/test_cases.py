@@ -1,14 +1,15 @@
 """Case, content and correlation operators on small inputs with odd rows."""
 
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from tracegrid.functions.paths import name_candidates, path_candidates, posix_candidates
 from tracegrid.functions.text import snippets
-from tracegrid.operators import cases, catalog, content, correlation, graph, joins, rules
-from tracegrid.plans import tables
+from tracegrid.operators import cases, catalog, content, correlation, graph, joins, logs, rules, timeline
+from tracegrid.plans import paging, tables
 from tracegrid.sources import generations, mail, sinks
 
 
@@ -36,6 +37,70 @@ def test_texts_and_patterns_of_odd_files(spark):
         content.byte_pattern(files, b"")
 
 
+def test_cut_and_late_bad_texts(spark, monkeypatch):
+    whole = "\u00e4" * 40_000  # two bytes a sign
+    rows = [(1, whole.encode()[:-1]), (2, whole.encode() + b"\xff\xff"), (3, b"\xff\xfe" + "\U0001f600".encode("utf-16-le")[:-2])]
+    files = spark.createDataFrame([(i, bytearray(c), None) for i, c in rows], "id int, content binary, mime string")
+    got = {r["id"]: (r["content_kind"], r["text"]) for r in content.extract_text(files).collect()}
+    assert got == {1: ("text_utf8", whole[:-1]), 2: ("unsupported_encoding", None), 3: ("text_utf16le", "")}
+    monkeypatch.setattr(content, "TEXT_BYTES", 5)
+    assert {r["text"] for r in content.extract_text(files.where("id < 3")).collect()} == {"\u00e4\u00e4"}
+
+
+def test_pattern_blocks(spark, monkeypatch):
+    artifacts = spark.createDataFrame([(i, "f", f"^n{i}$") for i in range(40)] + [(99, "f", None), (98, "f", "^n1$")], "id int, family string, p string")
+    nodes = spark.createDataFrame([(i, "t", f"n{i}") for i in range(0, 60, 2)] + [(1, "t", "n1"), (77, "t", None)], "id int, node_type string, name string")
+    rule = rules.Rule("r", "f", "t", "weak", (rules.Condition("p", "regex", "name"),))
+    want = {(str(i), str(i)) for i in [*range(0, 40, 2), 1]} | {("98", "1")}
+    for size in (1 << 20, 20):
+        monkeypatch.setattr(rules, "PATTERN_BYTES", size)
+        assert {(r["source_id"], r["target_id"]) for r in rules.run_rule("p", rule, artifacts, nodes).collect()} == want
+    assert rules.run_rule("p", rule, artifacts.where("false"), nodes).count() == 0
+
+
+@pytest.mark.parametrize("down", [True, False])
+def test_pages_by_cursor(spark, down):
+    values = [None, 2.0, 1.5, None, 2.0, -0.5, 2.0]
+    rows = spark.createDataFrame([(i, v, datetime(2024, 1, 1, 0, 0, i % 2, 5), i) for i, v in enumerate(values)], "id int, v double, ts timestamp_ntz, extra int")
+    keys = [("v", down), ("ts", not down), ("id", False)]
+    seen, cursor = [], None
+    while True:
+        page = paging.read_page(rows, keys, paging.PageRequest(2, cursor=cursor), "r", "c")
+        seen += [r["id"] for r in page.rows.collect()]
+        assert page.rows.schema == rows.schema
+        cursor = page.next_cursor
+        if cursor is None:
+            break
+    order = [F.desc(k) if d else F.asc(k) for k, d in keys]
+    assert seen == [r["id"] for r in rows.orderBy(*order).collect()]
+    assert paging.read_page(rows.where("false"), keys, paging.PageRequest(), "r", "c").next_cursor is None
+
+
+def test_cursors_belong_to_their_query(spark):
+    events = spark.createDataFrame([(i, 0, "k", datetime(2024, 1, 1)) for i in range(5)], "id int, data_source_id int, event_type string, ts timestamp_ntz")
+    cursor = timeline.read_timeline(events, paging.PageRequest(2), "r1").next_cursor
+    again = paging.PageRequest(2, cursor=cursor)
+    assert [r["id"] for r in timeline.read_timeline(events, again, "r1").rows.collect()] == [2, 3]
+    for revision, kind in (("r2", None), ("r1", "k")):
+        with pytest.raises(ValueError):
+            timeline.read_timeline(events, again, revision, event_type=kind)
+    hits = events.selectExpr("id", "data_source_id", "1.0D AS score")
+    sources = spark.createDataFrame([(0, "ready"), (1, "building")], "data_source_id int, status string")
+    cursor = cases.read_case_search(hits, sources, "q", paging.PageRequest(2), "r1").next_cursor
+    with pytest.raises(ValueError):
+        cases.read_case_search(hits, sources.withColumn("status", F.lit("ready")), "q", paging.PageRequest(2, cursor=cursor), "r1")
+
+
+def test_config_findings(spark):
+    lines = ["bind-address=*", "skip-networking=0", "secure_file_priv=", "local-infile", "general-log=off", "init-file=/x", "port=1"]
+    found = logs.mysql_config_findings(logs.parse_mysql_config(spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "file_id int, line_number int, line string")))
+    got = {(r["finding_kind"], r["severity"], r["confidence"], r["evidence"]) for r in found.collect()}
+    assert got == {
+        ("bindAddressAny", "medium", 0.86, "bind-address=*"), ("networkingEnabled", "info", 0.7, "skip-networking=0"), ("secureFilePrivEmpty", "medium", 0.78, "secure-file-priv is empty"),
+        ("localInfileEnabled", "medium", 0.82, "local-infile="), ("init-fileConfigured", "low", 0.72, "init-file=/x"),
+    }
+
+
 def test_candidates(spark):
     text = 'run "C:\\Program Files\\a b.exe" /s, see C:\\x\\y.dll. (D:\\z)'
     found = spark.range(1).select(path_candidates(F.lit(text)).alias("p"), name_candidates(F.lit("my photo.jpg")).alias("n"), posix_candidates(F.lit("open '/var/log x/a' or //no /flag /usr/bin/x")).alias("u")).head()

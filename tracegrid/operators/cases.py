@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.paging import Page, PageRequest, context_of, read_page
 from .integrity import merkle_roots, numbered
 
 #: Digests of recovered files, with the digits they have.
@@ -115,6 +116,15 @@ def case_search(hits: DataFrame, sources: DataFrame, limit: int = 50, offset: in
     return (ordered.offset(offset) if offset else ordered).limit(limit), coverage
 
 
+def read_case_search(hits: DataFrame, sources: DataFrame, query: str, request: PageRequest, revision: str) -> Page:
+    """The pages of ``case_search`` by an opaque cursor that only goes on with the same query, the
+    same ready sources and the same revision."""
+    ready = sources.where("status = 'ready'").select("data_source_id").distinct()
+    state = ready.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("data_source_id")).alias("x")).head()
+    found = hits.join(ready, "data_source_id", "left_semi")
+    return read_page(found, [("score", True), ("id", False)], request, revision, context_of("case search", query=query, sources=[state["n"], state["x"]]))
+
+
 def ledger_batches(events: DataFrame, size: int) -> DataFrame:
     """Sealed batches of ``size`` neighbouring ledger events (scope_key, sequence, data): ``batch_key,
     first, last, n, root``. Only full batches are sealed; the open one has no row."""

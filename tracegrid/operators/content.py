@@ -1,11 +1,14 @@
 """File content: what it is, its text, previews and byte patterns."""
 
-import pandas as pd
+import codecs
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
 
 #: Bytes that decide what a content is; bytes of text at most; bytes of a preview.
 SNIFF_BYTES, TEXT_BYTES, PREVIEW_BYTES = 64 << 10, 10 << 20, 64 << 10
+#: How texts are read, and the bytes of their mark.
+CODECS = {"text_utf8": ("utf-8", 0), "text_utf16le": ("utf-16-le", 2), "text_utf16be": ("utf-16-be", 2)}
 
 
 def _is_text(data: bytes, codec: str) -> bool:
@@ -30,42 +33,40 @@ def kind_of(data: bytes | None) -> str:
     return "text_utf8" if _is_text(sample, "utf-8") else "unsupported_encoding"
 
 
-@F.pandas_udf(StringType())
-def content_kind(content: pd.Series) -> pd.Series:
-    """What each content is, by its first bytes."""
-    return content.map(kind_of, na_action=None)
-
-
 def text_mime(mime: Column) -> Column:
     """Whether a declared type leaves room for text; unknown ones do."""
     known = mime.startswith("text/") | mime.isin("application/json", "application/xml", "application/javascript")
     return F.coalesce(known, F.lit(True))
 
 
-def decoded(content: pd.Series) -> pd.Series:
-    codecs = {"text_utf8": ("utf-8", 0), "text_utf16le": ("utf-16-le", 2), "text_utf16be": ("utf-16-be", 2)}
-
-    def text(data: bytes | None) -> str | None:
-        data = bytes(data or b"")[:TEXT_BYTES]
-        codec, skip = codecs.get(kind_of(data), (None, 0))
-        try:
-            return data[skip:].decode(codec) if codec else None
-        except UnicodeDecodeError:
-            return None
-
-    return content.map(text, na_action=None)
-
-
-extracted_text = F.pandas_udf(decoded, StringType())
+def decoded(data: bytes) -> tuple[str, str | None]:
+    """What a content is and its text. All of it must decode, or it is none; of a last character
+    that is cut off, what there is of it is left out."""
+    kind = kind_of(data)
+    if kind not in CODECS:
+        return kind, None
+    codec, mark = CODECS[kind]
+    try:
+        return kind, codecs.getincrementaldecoder(codec)().decode(data[mark:])
+    except UnicodeDecodeError:
+        return "unsupported_encoding", None
 
 
 def extract_text(files: DataFrame) -> DataFrame:
     """``id, content_kind, text, byte_count`` of files (id, content, mime): the first
-    ``TEXT_BYTES`` bytes as text; null where they are none. Null content is empty text."""
+    ``TEXT_BYTES`` bytes as text; null where they are none. Null content is empty text. Each
+    content goes to Python once."""
+
+    def read(batches):
+        for batch in batches:
+            rows = [(None, None) if c is None else decoded(c) for c in batch.column("wanted").to_pylist()]
+            found = [pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *found, batch.column("byte_count")], ["id", "content_kind", "text", "byte_count"])
+
     content = F.substring(F.coalesce("content", F.lit(b"")), 1, TEXT_BYTES)
-    kind = F.when(text_mime(F.col("mime")), content_kind(content)).otherwise("binary")
-    rows = files.select("id", kind.alias("content_kind"), content.alias("content"))
-    return rows.select("id", "content_kind", F.when(F.col("content_kind").startswith("text"), extracted_text("content")).alias("text"), F.octet_length("content").alias("byte_count"))
+    rows = files.select("id", F.when(text_mime(F.col("mime")), content).alias("wanted"), F.octet_length(content).alias("byte_count"))
+    id_type = files.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(read, f"id {id_type}, content_kind string, text string, byte_count int").na.fill("binary", ["content_kind"])
 
 
 def text_preview(files: DataFrame, size: int = PREVIEW_BYTES) -> DataFrame:
@@ -79,15 +80,23 @@ def byte_pattern(files: DataFrame, pattern: bytes, most: int = 1000) -> DataFram
     """Offsets at which a byte pattern stands in each content, overlapping ones too: ``id, offsets,
     truncated`` with at most ``most`` of them in order. Contents without a hit have no row.
 
-    Bytes are read as Latin-1, one character a byte, and split by a look-ahead for the pattern, so
-    each part but the first begins with a hit.
+    Each content is searched up to one hit more than are kept.
     """
     if not pattern:
         raise ValueError("the pattern is empty")
-    wanted = "".join(f"\\x{b:02x}" for b in pattern)
-    text = F.decode("content", "ISO-8859-1")
-    rows = files.select("id", F.split(text, f"(?s)(?={wanted})").alias("parts"), text.rlike(f"(?s)^{wanted}").alias("at_start"))
-    lengths = F.transform(F.slice("parts", 1, F.size("parts") - 1), lambda p: F.length(p))
-    ends = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
-    found = rows.select("id", F.filter(ends, lambda x: (x > 0) | F.col("at_start")).alias("all"))
-    return found.where(F.size("all") > 0).select("id", F.slice("all", 1, most).alias("offsets"), (F.size("all") > most).alias("truncated"))
+
+    def places(data: bytes | None) -> list[int]:
+        found, at = [], (data or b"").find(pattern)
+        while at >= 0 and len(found) <= most:
+            found.append(at)
+            at = data.find(pattern, at + 1)
+        return found
+
+    def search(batches):
+        for batch in batches:
+            found = pa.array([places(c) for c in batch.column("content").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), found], ["id", "all"])
+
+    id_type = files.schema["id"].dataType.simpleString()
+    hits = files.select("id", "content").mapInArrow(search, f"id {id_type}, all array<int>").where(F.size("all") > 0)
+    return hits.select("id", F.slice("all", 1, most).alias("offsets"), (F.size("all") > most).alias("truncated"))

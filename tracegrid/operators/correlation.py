@@ -1,11 +1,12 @@
 """Leads: candidates from artifacts, their best files, and how well families are covered."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.paths import name_candidates, path_candidates, posix_candidates
 from ..functions.text import first_attr
 from ..plans.tables import Tables
 from .joins import best_name_match, best_path_match
+from .ranks import running_sums
 
 LEAD_CONFIDENCE = {"direct": 1.0, "strong": 0.9, "weak": 0.5, "heuristic": 0.3}
 
@@ -100,11 +101,6 @@ def rule_groups(matches: DataFrame, events: DataFrame) -> DataFrame:
     return joined.withColumn("confidence", F.when(F.col("path"), "direct").when(strong, "strong").otherwise("weak")).drop("path", "strong")
 
 
-def leads_in_order(leads: DataFrame) -> list[Column]:
-    """The order of leads (confidence, support, title): surest first, then most supported."""
-    return [confidence_rank(F.col("confidence")).desc(), F.desc("support"), F.asc("title")]
-
-
 def _row(df: DataFrame, part: str, key: Column, a: Column, b: Column, title: Column, confidence: Column, support: Column) -> DataFrame:
     return df.select(
         F.lit(part).alias("part"), key.alias("id"), a.cast("string").alias("a"), b.cast("string").alias("b"), title.alias("title"),
@@ -140,10 +136,51 @@ def correlation_snapshot(artifacts: DataFrame, files: DataFrame, events: DataFra
     return match_rows(matches, artifacts).unionAll(file_rows(tables.put(rule_groups(matches, events)), files))
 
 
+def in_order(snapshot: DataFrame, key: str | None = None) -> DataFrame:
+    """A snapshot with ``position`` (from 0) of each row in its part: nodes by kind, title and id,
+    edges by confidence, clusters and leads by confidence, support and title; ids decide last. With
+    ``key``, parts are ordered within each of its values.
+
+    Positions are counted over range partitions, so no part is sorted in one task.
+    """
+    surest = F.coalesce(-confidence_rank(F.col("confidence")), F.lit(0.0))
+    listed = F.col("part").isin("cluster", "lead")
+    kind = F.when(F.col("part") == "node", F.substring_index("id", ":", 1)).otherwise("")
+    most = F.when(listed, -F.col("support")).otherwise(0)
+    title = F.when(F.col("part") == "edge", "").otherwise(F.coalesce("title", F.lit("")))
+    rows = snapshot.select("*", kind.alias("_kind"), F.when(F.col("part") == "node", 0.0).otherwise(surest).alias("_sure"), most.alias("_most"), title.alias("_title"), F.lit(1).alias("_one"))
+    order = ["_kind", "_sure", "_most", "_title", "id"]
+    placed = running_sums(rows, ([key] if key else []) + ["part"], order, "_one", Tables(snapshot.sparkSession, "order"))
+    return placed.select(*snapshot.columns, F.col("before").alias("position"))
+
+
 def merged_snapshots(snapshots: DataFrame) -> DataFrame:
-    """Snapshots of several sources (with data_source_id) as one: ids get their source, so nothing
-    of different sources meets; in order of part and id."""
-    return snapshots.withColumn("id", F.concat_ws("/", "data_source_id", "id")).orderBy("part", "id")
+    """Snapshots of several sources (with data_source_id) as one, with ``position``: ids and what
+    edges and clusters refer to get their source, so nothing of different sources meets. Nodes,
+    edges and clusters go by id, leads by confidence, support and title."""
+    of_source = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("/", "data_source_id", c))
+    rows = snapshots.withColumns({c: of_source(c) for c in ("id", "a", "b")})
+    lead = F.col("part") == "lead"
+    keys = {"_sure": F.when(lead, F.coalesce(-confidence_rank(F.col("confidence")), F.lit(0.0))).otherwise(0.0), "_most": F.when(lead, -F.col("support")).otherwise(0), "_title": F.when(lead, F.coalesce("title", F.lit(""))).otherwise("")}
+    placed = running_sums(rows.withColumns(keys).withColumn("_one", F.lit(1)), ["part"], ["_sure", "_most", "_title", "id"], "_one", Tables(snapshots.sparkSession, "merged"))
+    return placed.select(*snapshots.columns, F.col("before").alias("position"))
+
+
+def snapshot_totals(snapshot: DataFrame) -> DataFrame:
+    """One row: ``node_count, edge_count, cluster_count, lead_count``, of one source or merged."""
+    return snapshot.agg(*(F.count(F.when(F.col("part") == p, 1)).alias(f"{p}_count") for p in ("node", "edge", "cluster", "lead")))
+
+
+def newest_inputs(rows: DataFrame, most: int | None, time: str) -> DataFrame:
+    """What correlation of an interactive case looks at: the newest ``most`` rows of each source by
+    a time (nulls last), then id; all of them with None. Ranks are taken in parts of a source
+    before the whole."""
+    if most is None:
+        return rows
+    for part in ([F.pmod(F.xxhash64("id"), F.lit(64))], []):
+        best = Window.partitionBy("data_source_id", *part).orderBy(F.desc(time), "id")
+        rows = rows.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= most).drop("_r")
+    return rows
 
 
 def candidates(artifacts: DataFrame, text: str, most: int | None = None) -> DataFrame:

@@ -15,13 +15,25 @@ REQUEST_RULES = [
 WEB_SHELL_MARKERS = ["eval(", "assert(", "base64_decode", "shell_exec", "system(", "passthru(", "cmd.exe", "powershell", "runtime.getruntime"]
 LOGIN_WORDS = ["login", "signin", "wp-login", "admin"]
 BRUTE_FORCE_SECONDS, BRUTE_FORCE_REQUESTS = 300, 50
-#: MySQL log findings, the first that fits (kind, severity, texts).
+#: MySQL log findings, the first that fits (kind, severity, confidence, texts).
 MYSQL_LOG_RULES = [
-    ("accessDenied", "medium", ["access denied for user"]),
-    ("serverCrashSignal", "high", ["mysqld got signal", "got signal"]),
-    ("crashRecovery", "medium", ["database was not shutdown normally", "crash recovery", "starting crash recovery"]),
-    ("serviceStarted", "info", ["ready for connections"]),
+    ("accessDenied", "medium", 0.84, ["access denied for user"]),
+    ("serverCrashSignal", "high", 0.82, ["mysqld got signal", "got signal"]),
+    ("crashRecovery", "medium", 0.8, ["database was not shutdown normally", "crash recovery", "starting crash recovery"]),
+    ("serviceStarted", "info", 0.7, ["ready for connections"]),
 ]
+#: MySQL settings that are findings (key, test of the value, kind, severity, confidence).
+MYSQL_CONFIG_RULES = [
+    ("bind-address", "wildcard", "bindAddressAny", "medium", 0.86),
+    ("general-log", "on", "generalLogEnabled", "low", 0.75),
+    ("init-file", "any", "init-fileConfigured", "low", 0.72),
+    ("local-infile", "on", "localInfileEnabled", "medium", 0.82),
+    ("plugin-load", "any", "plugin-loadConfigured", "low", 0.72),
+    ("plugin-load-add", "any", "plugin-load-addConfigured", "low", 0.72),
+    ("secure-file-priv", "empty", "secureFilePrivEmpty", "medium", 0.78),
+    ("skip-networking", "off", "networkingEnabled", "info", 0.7),
+]
+WILDCARD_ADDRESSES, SWITCHED_ON = ["0.0.0.0", "::", "*"], ["", "1", "on", "true", "yes"]
 
 _ACCESS = r'^\s*(\S+)(?:\s+(\S+))?[^\[]*\[([^\]]*)\]\s*"([^"]*)"\s+(\d{1,5})(?:\s+(\S+))?(?:\s+"([^"]*)")?(?:\s+"([^"]*)")?'
 _IP = r"^(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f:]*:[0-9A-Fa-f:]+)$"
@@ -175,27 +187,23 @@ def parse_mysql_config(lines: DataFrame) -> DataFrame:
 
 
 def mysql_config_findings(settings: DataFrame) -> DataFrame:
-    """What is risky in settings; the first that fits."""
+    """Risky settings with ``finding_kind, severity, confidence, evidence``."""
     value = F.lower(F.trim("value"))
-    on = value.isin("", "1", "on", "true", "yes")
-    key = F.col("key")
-    finding = (
-        F.when((key == "bind-address") & value.isin("0.0.0.0", "::", "*"), "bindAddressAny")
-        .when((key == "local-infile") & on, "localInfileEnabled")
-        .when((key == "secure-file-priv") & (value == ""), "secureFilePrivEmpty")
-        .when((key == "general-log") & on, "generalLogEnabled")
-        .when((key == "skip-networking") & ~on, "networkingEnabled")
-        .when(key.isin("init-file", "plugin-load", "plugin-load-add"), F.concat(key, F.lit("Configured")))
-    )
-    return settings.withColumn("finding_kind", finding).where("finding_kind IS NOT NULL")
+    tests = {"any": F.lit(True), "wildcard": value.isin(WILDCARD_ADDRESSES), "on": value.isin(SWITCHED_ON), "off": ~value.isin(SWITCHED_ON), "empty": value == ""}
+    told = F.lit(None).cast("struct<finding_kind:string,severity:string,confidence:double>")
+    for key, test, kind, severity, confidence in MYSQL_CONFIG_RULES:
+        fits = F.struct(F.lit(kind).alias("finding_kind"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"))
+        told = F.when((F.col("key") == key) & tests[test], fits).otherwise(told)
+    evidence = F.when((F.col("key") == "secure-file-priv") & (value == ""), F.concat("key", F.lit(" is empty"))).otherwise(F.concat_ws("=", "key", "value"))
+    return settings.withColumn("told", told).where("told IS NOT NULL").select(*settings.columns, "told.*", evidence.alias("evidence"))
 
 
 def mysql_log_findings(lines: DataFrame) -> DataFrame:
-    kind, severity = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, level, parts in reversed(MYSQL_LOG_RULES):
-        fits = _contains_any(F.lower("line"), parts)
-        kind, severity = F.when(fits, name).otherwise(kind), F.when(fits, level).otherwise(severity)
-    return lines.select("line_number", kind.alias("finding_kind"), severity.alias("severity"), F.col("line").alias("evidence")).where("finding_kind IS NOT NULL")
+    told = F.lit(None).cast("struct<finding_kind:string,severity:string,confidence:double>")
+    for name, level, confidence, parts in reversed(MYSQL_LOG_RULES):
+        fits = F.struct(F.lit(name).alias("finding_kind"), F.lit(level).alias("severity"), F.lit(confidence).alias("confidence"))
+        told = F.when(_contains_any(F.lower("line"), parts), fits).otherwise(told)
+    return lines.select("line_number", told.alias("told"), F.col("line").alias("evidence")).where("told IS NOT NULL").select("line_number", "told.*", "evidence")
 
 
 def parse_passwd(lines: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 import re
 import unicodedata
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import has_phrase, search_form, snippets, words
+from ..plans.paging import Page, PageRequest, context_of, read_page
 from ..plans.tables import Tables
 
 
@@ -64,16 +65,30 @@ def match_sources(request: SearchRequest) -> Column:
     return F.array_join(F.array_compact(F.array(*hits)), ",")
 
 
+def _hits(documents: DataFrame, request: SearchRequest, sort: str) -> DataFrame:
+    keys = {"name": F.lower("name"), "path": F.lower("path"), "size": F.coalesce("size", F.lit(0)), "modified": F.coalesce("modified_at", F.lit(-(2**63)))}
+    return documents.where(compile_search(request)).withColumn("sort_key", keys[sort])
+
+
 def search(documents: DataFrame, request: SearchRequest, sort: str = "name", limit: int = 100, after: tuple | None = None) -> DataFrame:
     """A page of hits in order of a key and id, behind ``after`` (key, id) if given. Missing sizes
     count as 0, missing times as the least."""
-    keys = {"name": F.lower("name"), "path": F.lower("path"), "size": F.coalesce("size", F.lit(0)), "modified": F.coalesce("modified_at", F.lit(-(2**63)))}
-    hits = documents.where(compile_search(request)).withColumn("sort_key", keys[sort])
+    hits = _hits(documents, request, sort)
     if after is not None:
         hits = hits.where((F.col("sort_key") > after[0]) | ((F.col("sort_key") == after[0]) & (F.col("id") > after[1])))
     return hits.orderBy("sort_key", "id").limit(limit)
 
 
+def read_search(documents: DataFrame, request: SearchRequest, page: PageRequest, revision: str, sort: str = "name") -> Page:
+    """As ``search``, by an opaque cursor that only goes on with the same request, order and revision."""
+    keys = [("sort_key", False), ("id", False)]
+    return read_page(_hits(documents, request, sort), keys, page, revision, context_of("search", sort=sort, **asdict(request)))
+
+
+def _times(listed: Column, term: str) -> Column:
+    return F.size(F.filter(listed, lambda x: x == term))
+
+
 def ranked_search(documents: DataFrame, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 scores of documents (id, content) that hold any word of the query.
 
@@ -81,9 +96,9 @@ def ranked_search(documents: DataFrame, query: str, k1: float = 1.2, b: float =
     """
     wanted = sorted({w for w in re.findall(r"\w+", query.lower())})
     # one pass over the texts: their lengths and the counts of the query's words
-    counts = ", ".join(f"size(filter(w, x -> x = '{t}'))" for t in wanted)
     tokens = documents.select("id", words(F.coalesce("content", F.lit(""))).alias("w"))
-    counted = tokens.select("id", F.expr(f"transform(array(w), w -> array(size(w), {counts}))[0]").alias("c"))
+    counts = lambda w: F.array(F.size(w), *(_times(w, t) for t in wanted))
+    counted = tokens.select("id", F.transform(F.array("w"), counts)[0].alias("c"))
     counted = Tables(documents.sparkSession, "ranked").put(counted.select("id", F.col("c")[0].alias("dl"), *(F.col("c")[i + 1].alias(f"tf{i}") for i in range(len(wanted)))))
     n_with = [F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"n{i}") for i in range(len(wanted))]
     corpus = counted.agg(F.count("*").alias("docs"), F.avg("dl").alias("avg_dl"), *n_with)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.paging import Page, PageRequest, context_of, read_page
 from ..plans.tables import Tables
 from .ranks import running_sums
 
@@ -78,6 +79,19 @@ def after_cursor(events: DataFrame, ts, data_source_id, event_id) -> DataFrame:
     )
 
 
+def read_timeline(events: DataFrame, request: PageRequest, revision: str, start=None, end=None, event_type: str | None = None) -> Page:
+    """A page of filtered events in timeline order, by an opaque cursor that only goes on with the
+    same bounds, type and revision."""
+    found = timeline_filter(events, start, end, event_type)
+    keys = [("ts", True), ("data_source_id", False), ("id", False)]
+    return read_page(found, keys, request, revision, context_of("timeline", start=start, end=end, event_type=event_type))
+
+
+def of_cluster(events: DataFrame, event_type: str, description: str | None) -> DataFrame:
+    """The events of one cluster, as ``clusters`` forms them; a predicate that reaches the scan."""
+    return events.where((F.col("event_type") == event_type) & F.col("description").eqNullSafe(F.lit(description)))
+
+
 def facet_summary(events: DataFrame, filtered: DataFrame) -> DataFrame:
     """One row for the filtered events (total, first, last), and one for each type over all."""
     totals = filtered.agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))

@@ -10,6 +10,7 @@ from ..operators import artifacts as art, cases as ca, catalog as cat, content a
 from ..sources import sinks
 from ..sources.adapters import artifacts, files, graph_nodes, read, timeline_events
 from .registry import query
+from .timeline import first_pages
 
 
 @query("SELECT id, data_source_id, ts FROM t WHERE (ts, data_source_id, id) > (TIMESTAMP '2024-01-10 00:00:00', 2, 0) ORDER BY ts, data_source_id, id LIMIT 60")
@@ -255,12 +256,12 @@ def case_ordered_text(spark, d):
 def _contents(spark, d):
     """Documents as files in four encodings, of which the last is none."""
     made = F.expr("CASE doc_id % 4 WHEN 0 THEN encode(text, 'UTF-8') WHEN 1 THEN concat(X'FFFE', encode(text, 'UTF-16LE')) WHEN 2 THEN X'00010203' ELSE concat(encode(text, 'UTF-8'), X'FFFE41') END")
-    return read(spark, d, "documents").where("doc_id % 4 <> 3 OR octet_length(text) < 60000").select(F.col("doc_id").alias("id"), made.alias("content"), F.lit(None).cast("string").alias("mime"), "text")
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), made.alias("content"), F.lit(None).cast("string").alias("mime"), "text")
 
 
 @query(
     """SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'text_utf8' WHEN 1 THEN 'text_utf16le' WHEN 2 THEN 'binary' ELSE 'unsupported_encoding' END AS content_kind,
-    CASE WHEN doc_id % 4 < 2 THEN md5(text) END AS digest FROM documents WHERE doc_id % 4 <> 3 OR strlen(text) < 60000"""
+    CASE WHEN doc_id % 4 < 2 THEN md5(text) END AS digest FROM documents"""
 )
 def content_text(spark, d):
     return co.extract_text(_contents(spark, d)).select("id", "content_kind", F.md5("text").alias("digest"))
@@ -504,3 +505,16 @@ def correlation_coverage_gate(spark, d):
 def search_snippets(spark, d):
     rows = files(spark, d).where(F.lower("name").contains("doc1")).withColumn("content", F.concat(F.lit("my "), "name", F.lit(" end")))
     return se.with_snippets(rows, "DOC1").select("id", F.get("snippets", F.lit(0)).alias("snippet"))
+
+
+@query("SELECT id, lower(name) AS sort_key, CAST((row_number() OVER (ORDER BY lower(name), id) - 1) // 40 AS INTEGER) AS page FROM f WHERE contains(lower(name), 'doc') ORDER BY 2, 1 LIMIT 160")
+def search_cursor_pages(spark, d):
+    request = se.SearchRequest("doc", fields=("name",))
+    return first_pages(lambda page: se.read_search(files(spark, d), request, page, "r1"), 40, 4).select("id", "sort_key", "page")
+
+
+@query(_HITS + " SELECT id, data_source_id, score, CAST((row_number() OVER (ORDER BY score DESC, id) - 1) // 60 AS INTEGER) AS page FROM h ORDER BY score DESC, id LIMIT 300")
+def search_case_cursor_pages(spark, d):
+    hits = artifacts(spark, d).selectExpr("id", "data_source_id", "CAST(id % 97 AS DOUBLE) AS score")
+    sources = spark.range(5).selectExpr("id AS data_source_id", "CASE WHEN id = 2 THEN 'building' ELSE 'ready' END AS status")
+    return first_pages(lambda page: ca.read_case_search(hits, sources, "order", page, "r1"), 60, 5).select("id", "data_source_id", "score", "page")

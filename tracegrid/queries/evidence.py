@@ -10,7 +10,7 @@ from ..operators.joins import temporal_text_matches
 from ..operators.summaries import linux_summary
 from ..plans.tables import Tables
 from ..sources import bundle, extractors, generations, readers
-from ..sources.adapters import files, read, timeline_events
+from ..sources.adapters import artifacts, files, read, timeline_events
 from .cases import _rule_artifacts
 from .registry import query
 
@@ -325,3 +325,49 @@ def extract_as_table_function(spark, d):
     own, logs = (spark.sql(call % e, rows=rows) for e in ("lines", "logs"))
     counted = own.where("family = 'dropped'").groupBy("source_object_id", "family", "title", "n_bytes", "n_lines").agg(F.sum("dropped").alias("dropped"))
     return own.where("family <> 'dropped'").unionByName(counted).unionByName(logs.withColumn("n_bytes", F.lit(None).cast("long")))
+
+
+_SURE = "CASE confidence WHEN 'direct' THEN 1.0 WHEN 'strong' THEN 0.9 WHEN 'weak' THEN 0.5 ELSE 0.0 END"
+
+
+_ALL = _SNAPSHOT.replace("SELECT 'node' AS part", ", s AS (SELECT 'node' AS part", 1) + ")"
+
+
+@query(
+    _ALL
+    + f""" SELECT part, id, row_number() OVER (PARTITION BY part ORDER BY CASE WHEN part = 'node' THEN split_part(id, ':', 1) ELSE '' END, CASE WHEN part = 'node' THEN 0 ELSE {_SURE} END DESC,
+    CASE WHEN part IN ('cluster', 'lead') THEN -support ELSE 0 END, CASE WHEN part = 'edge' THEN '' ELSE title END, id) - 1 AS position FROM s"""
+)
+def correlation_order(spark, d):
+    rows = cor.correlation_snapshot(_more_artifacts(spark, d), files(spark, d), timeline_events(spark, d))
+    return cor.in_order(rows).select("part", "id", "position")
+
+
+_BY_SOURCE = _ALL + """, q AS (SELECT s.part, s.id AS own, CAST(f.data_source_id AS VARCHAR) AS src, s.a, s.b, s.title, s.confidence, s.support FROM s JOIN f ON f.id = CAST(CASE WHEN s.part = 'edge' THEN s.b WHEN starts_with(s.id, 'artifact:') THEN CAST(CAST(s.a AS BIGINT) % 1000000000 AS VARCHAR) ELSE s.a END AS BIGINT))"""
+
+
+def _by_source(spark, d):
+    """The snapshot's rows with the source of their file."""
+    rows = cor.correlation_snapshot(_more_artifacts(spark, d), files(spark, d), timeline_events(spark, d))
+    file_id = F.when(F.col("part") == "edge", F.col("b").cast("long")).when(F.col("id").startswith("artifact:"), F.col("a").cast("long") % 1_000_000_000).otherwise(F.col("a").cast("long"))
+    sources = files(spark, d).select(F.col("id").alias("file_id"), "data_source_id")
+    return rows.withColumn("file_id", file_id).join(sources, "file_id").drop("file_id")
+
+
+@query(
+    _BY_SOURCE
+    + f""" SELECT part, concat(src, '/', own) AS id, CASE WHEN a IS NOT NULL THEN concat(src, '/', a) END AS a, CASE WHEN b IS NOT NULL THEN concat(src, '/', b) END AS b,
+    row_number() OVER (PARTITION BY part ORDER BY CASE WHEN part = 'lead' THEN {_SURE} ELSE 0 END DESC, CASE WHEN part = 'lead' THEN -support ELSE 0 END, CASE WHEN part = 'lead' THEN title ELSE '' END, concat(src, '/', own)) - 1 AS position FROM q"""
+)
+def correlation_merged(spark, d):
+    return cor.merged_snapshots(_by_source(spark, d)).select("part", "id", "a", "b", "position")
+
+
+@query(_ALL + " SELECT count(*) FILTER (part = 'node') AS node_count, count(*) FILTER (part = 'edge') AS edge_count, count(*) FILTER (part = 'cluster') AS cluster_count, count(*) FILTER (part = 'lead') AS lead_count FROM s")
+def correlation_merged_totals(spark, d):
+    return cor.snapshot_totals(cor.merged_snapshots(_by_source(spark, d)))
+
+
+@query("SELECT id, data_source_id, created_at FROM (SELECT *, row_number() OVER (PARTITION BY data_source_id ORDER BY created_at DESC, id) AS r FROM a) WHERE r <= 250")
+def correlation_newest_inputs(spark, d):
+    return cor.newest_inputs(artifacts(spark, d), 250, "created_at").select("id", "data_source_id", "created_at")

@@ -55,7 +55,7 @@ def log_brute_force(spark, d):
     return lg.brute_force(tried, F.unix_seconds(F.expr("CAST(ts AS TIMESTAMP)")))
 
 
-@query("SELECT doc_id AS line_number, 'accessDenied' AS finding_kind, 'medium' AS severity, concat('Access denied for user ', doc_id) AS evidence FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT doc_id AS line_number, 'accessDenied' AS finding_kind, 'medium' AS severity, 0.84::DOUBLE AS confidence, concat('Access denied for user ', doc_id) AS evidence FROM documents WHERE doc_id % 3 = 0")
 def log_mysql_findings(spark, d):
     lines = read(spark, d, "documents").selectExpr("doc_id AS line_number", "CASE WHEN doc_id % 3 = 0 THEN concat('Access denied for user ', doc_id) ELSE 'all is well' END AS line")
     return lg.mysql_log_findings(lines)
@@ -97,12 +97,12 @@ def log_apt_history(spark, d):
     return lg.parse_apt_history(lines).select("file_id", "line_number", "action", "package", "version", "start_date")
 
 
-@query("SELECT doc_id // 4 AS file_id, doc_id AS line_number, 'mysqld' AS section, CASE doc_id % 4 WHEN 1 THEN 'bind-address' ELSE 'local-infile' END AS key, CASE doc_id % 4 WHEN 1 THEN 'bindAddressAny' ELSE 'localInfileEnabled' END AS finding_kind FROM documents WHERE doc_id % 4 IN (1, 2)")
+@query("SELECT doc_id // 4 AS file_id, doc_id AS line_number, 'mysqld' AS section, CASE doc_id % 4 WHEN 1 THEN 'bind-address' ELSE 'local-infile' END AS key, CASE doc_id % 4 WHEN 1 THEN 'bindAddressAny' ELSE 'localInfileEnabled' END AS finding_kind, 'medium' AS severity, CASE doc_id % 4 WHEN 1 THEN 0.86::DOUBLE ELSE 0.82::DOUBLE END AS confidence FROM documents WHERE doc_id % 4 IN (1, 2)")
 def log_mysql_config(spark, d):
     lines = read(spark, d, "documents").selectExpr(
         "doc_id div 4 AS file_id", "doc_id AS line_number", "CASE doc_id % 4 WHEN 0 THEN '[mysqld]' WHEN 1 THEN 'bind_address = 0.0.0.0' WHEN 2 THEN 'local-infile=ON' ELSE 'port=3306' END AS line"
     )
-    return lg.mysql_config_findings(lg.parse_mysql_config(lines)).select("file_id", "line_number", "section", "key", "finding_kind")
+    return lg.mysql_config_findings(lg.parse_mysql_config(lines)).select("file_id", "line_number", "section", "key", "finding_kind", "severity", "confidence")
 
 
 @query("SELECT doc_id AS line_number, concat('u', doc_id) AS user, doc_id + 900 AS uid, doc_id >= 100 AS is_user FROM documents")

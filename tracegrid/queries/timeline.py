@@ -5,6 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..operators import artifacts as art, joins, timeline as tl
+from ..plans.paging import PageRequest
 from ..sources.adapters import artifacts, timeline_events
 from .registry import query
 
@@ -177,3 +178,30 @@ def correlation_object_groups(spark, d):
 def correlation_temporal_proximity(spark, d):
     rows = timeline_events(spark, d).select("id", "source_object_id", tl.epoch_second().alias("second"), F.col("event_type").alias("match_key"))
     return joins.temporal_proximity(rows, rows)
+
+
+def first_pages(read, limit: int, pages: int):
+    """The first pages that ``read(request)`` gives, each by the cursor of the one before, numbered."""
+    cursor, out = None, None
+    for number in range(pages):
+        found = read(PageRequest(limit, cursor=cursor))
+        rows = found.rows.withColumn("page", F.lit(number))
+        out = rows if out is None else out.unionByName(rows)
+        cursor = found.next_cursor
+        if cursor is None:
+            break
+    return out
+
+
+@query(
+    f"""SELECT id, ts, CAST((row_number() OVER ({_ORDER}) - 1) // 70 AS INTEGER) AS page FROM (SELECT * FROM t WHERE {_BOUNDS} AND event_type = 'click' {_ORDER} LIMIT 280)"""
+)
+def timeline_cursor_pages(spark, d):
+    """Four pages, each found by the cursor that the one before gave."""
+    read = lambda request: tl.read_timeline(timeline_events(spark, d), request, "r1", START, END, "click")
+    return first_pages(read, 70, 4).select("id", "ts", "page")
+
+
+@query("SELECT id, ts FROM t WHERE event_type = 'view' AND description = 'view by user 7'")
+def timeline_of_cluster(spark, d):
+    return tl.of_cluster(timeline_events(spark, d), "view", "view by user 7").select("id", "ts")
