@@ -176,6 +176,52 @@ def test_vectors_of_every_dimension_are_compared(spark):
     assert got[len(rows) - 1]["n_links"] >= 1
 
 
+def clustered(n, dim, seed=21):
+    """Loose clusters with near copies of some vectors."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((20, dim))[rng.integers(0, 20, n)] + 0.8 * rng.standard_normal((n, dim))
+    near = rng.permutation(n)[: n // 2]
+    x[near[::2]] = x[near[1::2]] + 0.35 * rng.standard_normal((n // 4, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_crowded_leaves_are_split_again(spark):
+    """Deep trees: no leaf stays too full, each vector keeps its copies, and near pairs still meet."""
+    x, full = clustered(40_000, 32).astype("<f4"), 70
+    heads = spark.createDataFrame([(i, 1, 128, v.tobytes()) for i, v in enumerate(x)], "vec_id long, copies long, width int, vector binary")
+    leaves = op4.forest_leaves(heads, "<f4", 0.9, 2048, full, Scratch(spark, "t")).select("leaf", "vec_id").toPandas()
+    sizes = leaves.groupby("leaf").size()
+    depth = [(int(k) & ((1 << 48) - 1)).bit_length() - 1 for k in sizes.index]
+    assert sizes.max() <= full and max(depth) >= 12 and np.average(depth, weights=sizes) > 10
+    assert not leaves.duplicated().any() and leaves["vec_id"].nunique() == len(x)
+    assert leaves.groupby(["vec_id", leaves["leaf"] // (1 << 48)]).size().between(1, op4.COPIES).all()
+    x = x.astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    of = leaves.groupby("vec_id")["leaf"].agg(set).sort_index().to_list()
+    near = [(i + a, b) for i in range(0, len(x), 2000) for a, b in np.argwhere(x[i : i + 2000] @ x.T >= 0.9) if i + a < b]
+    met = sum(not of[a].isdisjoint(of[b]) for a, b in near)
+    print("recall", met / len(near), "of", len(near), "mean depth", np.average(depth, weights=sizes), "deepest", max(depth), "leaves", len(sizes))
+    assert len(near) > 2500 and met >= 0.9 * len(near), met / len(near)
+
+
+def test_links_are_counted_once_in_split_leaves(spark):
+    x = clustered(3000, 16)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = op4.near_vectors(frame, sample=256, full=200).toPandas().set_index("vec_id")["n_links"].sort_index().to_numpy()
+    near = (x @ x.T >= 0.9).sum(axis=1) - 1
+    assert (got <= near).all() and got.sum() >= 0.95 * near.sum() > 0
+
+
+def test_leaves_full_of_links_stay_whole(spark):
+    """A large group of near copies is compared whole, whatever the bound of a leaf."""
+    rng = np.random.default_rng(5)
+    x = np.ones((600, 16)) + 0.05 * rng.standard_normal((600, 16))
+    x = np.concatenate([x, rng.standard_normal((600, 16))])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = op4.near_vectors(frame, full=64).toPandas().set_index("vec_id").sort_index()
+    assert (got["n_links"][:600] >= 599).all() and (got["component_id"][:600] == 0).all()
+
+
 def test_vectors_that_share_an_id(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (2**60 + 1, None), (None, [1.0, 0.0])]
     schema = "vec_id long, embedding array<double>, vec_key string"
