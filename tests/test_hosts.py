@@ -59,3 +59,32 @@ def test_browser_history(spark, tmp_path):
     files = spark.createDataFrame([("x", bytearray((tmp_path / "h").read_bytes())), ("y", bytearray(b"no")), ("z", None)], "id string, content binary")
     found = browser.history(files).orderBy("row_id").collect()
     assert [(r["url"], r["visit_count"], r["visit_time"] and r["visit_time"].year) for r in found] == [("http://a", 3, 2024), (None, None, None)]
+
+
+def test_slots_by_user(spark):
+    last = lambda form, second, line: struct.pack(form, second, line, b"h")
+    narrow, wide = "<i32s256s", "<q32s256s"
+    files = [
+        ("a", bytearray(bytes(292) + last(narrow, 100, b"pts/0") + last(narrow, 0, b"tty1"))),
+        ("b", bytearray(last(wide, 200, b"pts/1") + bytes(296))),
+        ("c", bytearray(last(narrow, 300, b"pts/2") + b"cut off")),
+        ("d", bytearray(b"\xff" * 292)), ("e", bytearray(b"")), ("f", None),
+    ]
+    found = hosts.last_logins(spark.createDataFrame(files, "id string, content binary")).collect()
+    assert sorted((r["file_id"], r["uid"], r["terminal"], r["host"], r["second"]) for r in found) == [
+        ("a", 1, "pts/0", "h", 100), ("a", 2, "tty1", "h", None), ("b", 0, "pts/1", "h", 200), ("c", 0, "pts/2", "h", 300),
+    ]
+    assert hosts.login_failures(spark.createDataFrame(files[3:], "id string, content binary")).count() == 0
+
+
+def test_package_logs(spark):
+    from tracegrid.operators import logs
+
+    lines = [("f", i, x) for i, x in enumerate(["2024-01-15 10:30:00 upgrade a:all 1 2", "2024-01-15 10:30:00 configure b:all 3 <none>", "bad 10:30:00 purge c:all", "2024-01-15 10:30:00 status installed d", "", None])]
+    found = logs.parse_dpkg(spark.createDataFrame(lines, "file_id string, line_number int, line string")).orderBy("line_number").collect()
+    assert [(r["action"], r["package"], r["version"], r["ts"] is None) for r in found] == [("upgrade", "a:all", "2", False), ("configure", "b:all", "3", False), ("purge", "c:all", None, True)]
+    lines = ["2024-01-15T10:30:00+0100 INFO Installed: a-b-1-2.x", "Feb 29 01:00:00 Updated: c-1", "Jan 02 01:00:00 Reinstalled: d-1-1,", "Jan 02 01:00:00 Installed:", None]
+    frame = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file_id string, line_number int, line string").selectExpr("*", "TIMESTAMP '2024-02-01 00:00:00' AS reference")
+    found = logs.parse_rpm(frame).selectExpr("*", "unix_seconds(ts) AS s").orderBy("line_number").collect()
+    assert [(r["action"], r["package"], r["version"]) for r in found] == [("install", "a-b", "1-2.x"), ("upgrade", "c-1", None), ("reinstall", "d", "1-1")]
+    assert found[0]["s"] == 1705311000 and found[1]["ts"] is None and found[2]["ts"].year == 2024

@@ -1,7 +1,8 @@
 """Hosts: event-log kinds, web server sites, login records, network facts, topology."""
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -35,6 +36,11 @@ EVENT_KINDS = [
 ]
 #: The layouts of login records (record size: time format and its place).
 LOGIN_LAYOUTS = {384: ("<i", 340), 400: ("<q", 344)}
+#: Record layouts of files with a slot for each user id, the likelier first: size, form of the fields.
+LAST_LOGIN_LAYOUTS = [(292, "<i32s256s"), (296, "<q32s256s")]
+FAILURE_LAYOUTS = [(32, "<hh12sqq"), (24, "<hh12sii")]
+#: The last second that a record may name, the year 2100.
+LATEST_SECOND = 4_102_444_800
 LOGIN_KINDS = {2: "boot", 7: "login", 8: "logout"}
 #: Relations of the infrastructure graph and the kinds that they may join.
 TOPOLOGY = [
@@ -122,6 +128,70 @@ def login_records(files: DataFrame) -> DataFrame:
     return files.select(F.col("id").cast("string").alias("id"), "content").mapInPandas(parse, schema)
 
 
+def _slots(files: DataFrame, layouts: list[tuple[int, str]], read: Callable, schema: str) -> DataFrame:
+    """Rows of files that are arrays of slots by user id. ``read`` gives a slot's row, and whether it
+    is plausible. The layout is the one that divides the file with most plausible slots among the
+    first eight, else the first that fits half of them; empty slots and files that fit none give no rows."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def slots(data: bytes, size: int, form: str) -> Iterator[tuple]:
+        for at in range(0, len(data) - size + 1, size):
+            if any(data[at : at + size]):
+                yield at // size, *read(struct.unpack_from(form, data, at))
+
+    def layout_of(data: bytes) -> tuple[int, str] | None:
+        scores = []
+        for size, form in layouts:
+            seen = list(slots(data[: 8 * size], size, form))
+            good = sum(x[-1] for x in seen)
+            if good and 2 * good >= len(seen):
+                scores.append((len(data) % size == 0, good if len(data) % size == 0 else 0, (size, form)))
+        return max(scores, key=lambda s: s[:2])[2] if scores else None
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file_id, content in zip(batch["id"], batch["content"], strict=True):
+                data = bytes(content or b"")
+                layout = layout_of(data)
+                found = slots(data, *layout) if layout else iter(())
+                while rows := [(file_id, *x[:-1]) for x in islice(found, 10_000)]:
+                    yield pd.DataFrame(rows, columns=names).convert_dtypes()
+
+    return files.select(F.col("id").cast("string").alias("id"), "content").mapInPandas(parse, schema)
+
+
+def _slot_text(data: bytes) -> str:
+    return data.split(b"\0", 1)[0].decode("utf-8", "replace")
+
+
+def _slot_second(value: int) -> tuple[int | None, bool]:
+    """A slot's time, if it names one, and whether it is a sound value."""
+    known = 0 < value <= LATEST_SECOND
+    return (value if known else None), known or value == 0
+
+
+def last_logins(files: DataFrame) -> DataFrame:
+    """``file_id, uid, terminal, host, second`` of ``id, content`` rows of lastlog files."""
+
+    def read(fields: tuple) -> tuple:
+        line, (second, sound) = _slot_text(fields[1]), _slot_second(fields[0])
+        return line, _slot_text(fields[2]), second, sound and all(" " <= c <= "~" for c in line)
+
+    return _slots(files, LAST_LOGIN_LAYOUTS, read, "file_id string, uid long, terminal string, host string, second long")
+
+
+def login_failures(files: DataFrame) -> DataFrame:
+    """Failure counters of ``id, content`` rows of faillog files; ``locked`` tells that the allowed number is reached."""
+
+    def read(fields: tuple) -> tuple:
+        failures, most, line, second, seconds = fields
+        line, (second, sound) = _slot_text(line), _slot_second(second)
+        good = sound and failures >= 0 and most >= 0 and all(" " <= c <= "~" for c in line)
+        return failures, most, line, second, seconds, 0 < most <= failures, good
+
+    return _slots(files, FAILURE_LAYOUTS, read, "file_id string, uid long, failures int, most int, terminal string, second long, lock_seconds long, locked boolean")
+
+
 def network_facts(lines: DataFrame) -> DataFrame:
     """Addresses, gateways and names in configuration lines (path, line_number, line)."""
     line = F.trim("line")

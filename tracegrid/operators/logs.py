@@ -39,6 +39,14 @@ _ACCESS = r'^\s*(\S+)(?:\s+(\S+))?[^\[]*\[([^\]]*)\]\s*"([^"]*)"\s+(\d{1,5})(?:\
 _IP = r"^(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f:]*:[0-9A-Fa-f:]+)$"
 
 
+#: Actions of package logs that count, and marks of the other family's with their actions, first match first.
+DPKG_ACTIONS = ("install", "upgrade", "configure", "trigproc", "remove", "purge")
+RPM_ACTIONS = [
+    ("Installed:", "install"), ("Updated:", "upgrade"), ("Upgraded:", "upgrade"), ("Erased:", "remove"),
+    ("Removed:", "remove"), ("Downgraded:", "downgrade"), ("Reinstalled:", "reinstall"),
+]
+
+
 def _contains_any(text: Column, parts: list[str]) -> Column:
     found = F.lit(False)
     for p in parts:
@@ -216,3 +224,38 @@ def parse_passwd(lines: DataFrame) -> DataFrame:
 def parse_os_release(lines: DataFrame) -> DataFrame:
     pair = r"""^([A-Z_0-9]+)=["']?([^"']*)["']?$"""
     return lines.select("line_number", F.regexp_extract(F.trim("line"), pair, 1).alias("key"), F.regexp_extract(F.trim("line"), pair, 2).alias("value")).where("key <> ''")
+
+
+def parse_dpkg(lines: DataFrame) -> DataFrame:
+    """Package actions of dpkg's log (file_id, line_number, line), times in the session's zone.
+
+    The version is what an installation or upgrade brings, else the present one.
+    """
+    words = F.split(F.trim("line"), " ", 5)
+    rows = lines.select("file_id", "line_number", words.alias("w")).where(F.get("w", F.lit(2)).isin(*DPKG_ACTIONS) & (F.size("w") >= 4))
+    action, versions = F.get("w", F.lit(2)), F.filter(F.split(F.coalesce(F.get("w", F.lit(4)), F.lit("")), r"\s+"), lambda x: x != "")
+    version = F.when(action.isin("install", "upgrade"), F.get(versions, F.size(versions) - 1)).otherwise(F.get(versions, F.lit(0)))
+    when = F.try_to_timestamp(F.array_join(F.slice("w", 1, 2), " "), F.lit("yyyy-MM-dd HH:mm:ss"))
+    return rows.select("file_id", "line_number", action.alias("action"), F.get("w", F.lit(3)).alias("package"), F.when(version != "<none>", version).alias("version"), when.alias("ts"))
+
+
+def parse_rpm(lines: DataFrame) -> DataFrame:
+    """Package actions of yum's and dnf's logs. ``lines`` has file_id, line_number, line and
+    ``reference``, a time (the file's own): dates without a year are of the last year in which they
+    are not after it."""
+    line = F.trim("line")
+    hits = [F.when(F.contains(line, F.lit(mark)), F.struct(F.lit(action).alias("action"), F.regexp_extract(line, rf"^.*?{mark}\s*(\S*)", 1).alias("token"))) for mark, action in RPM_ACTIONS]
+    rows = lines.select("file_id", "line_number", "reference", line.alias("line"), F.coalesce(*hits).alias("hit")).where("hit.token <> ''")
+    parts = F.split(F.regexp_replace("hit.token", "^,+|,+$", ""), "-")
+    named = (F.size(parts) >= 3) & (F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 2, F.lit(0))), "-") != "")
+    cut = F.when(named, F.size(parts) - 2).otherwise(F.size(parts))
+    offset = F.regexp_extract("line", r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d[+-]\d\d):?(\d\d)(?:\s|$)", 1)
+    minutes = F.regexp_extract("line", r"^\S+[+-]\d\d:?(\d\d)(?:\s|$)", 1)
+    absolute = F.when(offset != "", F.concat(offset, F.lit(":"), minutes).try_cast("timestamp"))
+    prefix = F.regexp_replace(F.substring("line", 1, 15), r"\s+", " ")
+    of_year = lambda back: F.try_to_timestamp(F.concat_ws(" ", F.year("reference") - back, prefix), F.lit("yyyy MMM d HH:mm:ss"))
+    when = F.coalesce(absolute, F.when(of_year(0) > F.col("reference"), of_year(1)).otherwise(of_year(0)))
+    return rows.select(
+        "file_id", "line_number", "hit.action", F.array_join(F.slice(parts, F.lit(1), cut), "-").alias("package"),
+        F.when(named, F.array_join(F.slice(parts, cut + 1, F.lit(2)), "-")).alias("version"), when.alias("ts"),
+    )

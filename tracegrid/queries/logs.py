@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from ..functions.digests import sha256_text
-from ..operators import integrity as it, joins, logs as lg
+from ..operators import hosts, integrity as it, joins, logs as lg
 from ..operators.timeline import epoch_second
 from ..sources.adapters import read, timeline_events
 from .registry import query
@@ -193,3 +193,55 @@ def integrity_merkle_all(spark, d):
     """A tree over all events of each type."""
     rows = it.numbered(read(spark, d, "events").select("event_type", "event_id"), "event_type", "event_id")
     return it.merkle_roots(rows.select(F.col("event_type").alias("scope_key"), "at", F.col("event_id").alias("data")))
+
+
+@query(", e AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS pos FROM events) SELECT event_type AS scope_key, pos AS at, event_id % 7 <> 0 AS verified FROM e")
+def integrity_merkle_verify(spark, d):
+    """The proof of each event; every seventh event was changed since."""
+    rows = it.numbered(read(spark, d, "events").select("event_type", "event_id"), "event_type", "event_id")
+    leaves = rows.select(F.col("event_type").alias("scope_key"), "at", F.col("event_id").cast("string").alias("data"))
+    levels = it.merkle_levels(leaves, "L", "N")
+    changed = leaves.withColumn("data", F.when(F.col("data").cast("long") % 7 == 0, F.concat("data", F.lit("x"))).otherwise(F.col("data")))
+    return it.merkle_verify(changed, it.merkle_proofs(levels, leaves), it.merkle_roots(leaves, "L", "N"), "L", "N")
+
+
+@query("SELECT doc_id // 100 AS file_id, doc_id AS line_number, CASE doc_id % 4 WHEN 0 THEN 'install' WHEN 1 THEN 'upgrade' WHEN 2 THEN 'remove' END AS action, concat('pkg', doc_id, ':amd64') AS package, CASE doc_id % 4 WHEN 0 THEN concat('2.', doc_id) WHEN 1 THEN concat('2.', doc_id) ELSE concat('1.', doc_id) END AS version, concat('2024-01-15 10:', lpad(CAST(doc_id % 60 AS VARCHAR), 2, '0'), ':00') AS at_time FROM documents WHERE doc_id % 4 <> 3")
+def log_dpkg(spark, d):
+    lines = read(spark, d, "documents").selectExpr(
+        "doc_id div 100 AS file_id", "doc_id AS line_number",
+        "concat('2024-01-15 10:', lpad(doc_id % 60, 2, '0'), ':00 ', CASE doc_id % 4 WHEN 0 THEN concat('install pkg', doc_id, ':amd64 <none> 2.', doc_id) WHEN 1 THEN concat('upgrade pkg', doc_id, ':amd64 1.', doc_id, ' 2.', doc_id)"
+        " WHEN 2 THEN concat('remove pkg', doc_id, ':amd64 1.', doc_id, ' <none>') ELSE concat('status installed pkg', doc_id, ':amd64 1.0') END) AS line",
+    )
+    return lg.parse_dpkg(lines).select("file_id", "line_number", "action", "package", "version", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at_time"))
+
+
+@query("SELECT doc_id // 100 AS file_id, doc_id AS line_number, CASE doc_id % 4 WHEN 0 THEN 'install' WHEN 1 THEN 'upgrade' ELSE 'remove' END AS action, CASE doc_id % 4 WHEN 2 THEN concat('plain', doc_id) ELSE concat('lib-x', doc_id) END AS package, CASE WHEN doc_id % 4 <> 2 THEN concat('1.', doc_id, '-3.el8.x86_64') END AS version, CASE WHEN doc_id % 2 = 0 THEN '2024-02-05 08:00:00' ELSE '2023-12-05 08:00:00' END AS at_time FROM documents WHERE doc_id % 4 <> 3")
+def log_rpm(spark, d):
+    lines = read(spark, d, "documents").selectExpr(
+        "doc_id div 100 AS file_id", "doc_id AS line_number", "TIMESTAMP '2024-03-01 00:00:00' AS reference",
+        "concat(CASE WHEN doc_id % 2 = 0 THEN 'Feb  5' ELSE 'Dec  5' END, ' 08:00:00 ', CASE doc_id % 4 WHEN 0 THEN concat('Installed: lib-x', doc_id, '-1.', doc_id, '-3.el8.x86_64') WHEN 1 THEN concat('Updated: lib-x', doc_id, '-1.', doc_id, '-3.el8.x86_64')"
+        " WHEN 2 THEN concat('Erased: plain', doc_id) ELSE 'Cleanup' END) AS line",
+    )
+    return lg.parse_rpm(lines).select("file_id", "line_number", "action", "package", "version", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at_time"))
+
+
+def _le(value: str, width: int) -> str:
+    """SQL for the little-endian bytes of a number, in hex."""
+    digits = f"lpad(hex(bigint({value})), {2 * width}, '0')"
+    return "concat(" + ", ".join(f"substr({digits}, {2 * i + 1}, 2)" for i in reversed(range(width))) + ")"
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS file_id, 1 + i AS uid, concat('pts/', i) AS terminal, concat('10.0.0.', doc_id % 200) AS host, CASE WHEN i = 0 THEN 1700000000 + doc_id END AS second FROM documents, (VALUES (0), (1)) v(i)")
+def log_last_logins(spark, d):
+    """A file of three slots for each document; the first user never came, the last has no time."""
+    slot = lambda time, line: f"{_le(time, 4)}, rpad(hex('{line}'), 64, '0'), rpad(hex(concat('10.0.0.', doc_id % 200)), 512, '0')"
+    content = f"unhex(concat(repeat('00', 292), {slot('1700000000 + doc_id', 'pts/0')}, {slot('0', 'pts/1')}))"
+    return hosts.last_logins(read(spark, d, "documents").selectExpr("doc_id AS id", f"{content} AS content"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS file_id, 1 AS uid, doc_id % 9 AS failures, 5 AS most, 'tty1' AS terminal, 1700000000 + doc_id AS second, 600 AS lock_seconds, doc_id % 9 >= 5 AS locked FROM documents")
+def log_login_failures(spark, d):
+    """A file of two slots for each document, in one of both layouts."""
+    slot = lambda width: f"concat(repeat('00', {16 + 2 * width}), {_le('doc_id % 9', 2)}, '0500', rpad(hex('tty1'), 24, '0'), {_le('1700000000 + doc_id', width)}, {_le('600', width)})"
+    content = f"unhex(CASE WHEN doc_id % 2 = 0 THEN {slot(8)} ELSE {slot(4)} END)"
+    return hosts.login_failures(read(spark, d, "documents").selectExpr("doc_id AS id", f"{content} AS content"))
