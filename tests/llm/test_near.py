@@ -312,6 +312,27 @@ def test_lines_behind_a_center_are_linked(spark):
     assert removed == 8 * 19
 
 
+@pytest.mark.parametrize("whole", [0, 10_000])
+def test_one_bucket_of_all_lines_loses_no_link(spark, monkeypatch, whole):
+    """Whatever shares a bucket with a link, by all pairs or behind the center: the links are those of brute force."""
+    monkeypatch.setattr(op7, "_bands", lambda line: "array(1L)")
+    monkeypatch.setattr(op7, "WHOLE", whole, raising=False)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randrange(2, 7)))
+    common = " ".join(word() for _ in range(9))
+    lines = []
+    for i in range(45):
+        x = " ".join([common] * (i % 3) + [word() for _ in range(rng.randrange(5, 14))])
+        lines += [x, edited(rng, x), x + " " + word(), x[: len(x) * 5 // 6]]
+    lines = sorted({x.strip(" ") for x in lines if len(x.strip(" ")) >= op7.MIN_CHARS}, key=lambda x: rng.random())
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    label = united(range(len(lines)), pairs)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"] for r in op7.dedup_lines(docs).where("n_removed > 0").collect()}
+    assert got == {i for i in label if label[i] != i} and len(got) > 60
+
+
 def test_dedup_lines_odd_rows(spark):
     long = " ".join(f"word{i}" for i in range(60_000))
     rows = [

@@ -12,12 +12,16 @@ Two lines are similar if their sets of ``SHINGLE``-character shingles have a Jac
   point are a band (one-permutation hashing).
 * Lines near a limit have both kinds of bands, so that pairs across it are found.
 
-In a bucket all members are compared with its center, and links are united (``components``).
-Buckets that hold several components then compare what is outside of the center's component with a
-new center of its own and with another member of the center's component, ``ROUNDS`` times; each
-round has other representatives. So candidates grow with the members of buckets and not with their
-square. Every link is confirmed by the exact similarity of both sets. Of each component only the
-first line of the least document stays.
+In a bucket all members are compared with its center, and links are united (``components``). Buckets
+that then hold several components are finished whole: those of at most ``WHOLE`` members by all pairs
+across components, larger ones by the pairs that the distances to the center do not exclude
+(``stars``), which are found without comparing all.
+
+Each line that shares a bucket has ``marks``: the size of its set, and ``MARKS`` words of 64 bits in
+which each shingle sets one. Sets differ in at least as many shingles as their marks do in bits, so
+pairs whose marks differ too much are no links, and most are told so without their texts. Every link
+is confirmed by the exact similarity of both sets. Of each component only the first line of the least
+document stays.
 
 Lines are known by a 64-bit hash of their compared form, beside which a second one is kept: lines
 that share the first alone are repeated only where both hashes are, so none goes for another.
@@ -27,6 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
 from .scratch import Scratch
+from .stars import pairs_behind_center, unfinished
 
 MIN_CHARS, SHINGLE, PERCENT = 20, 5, 80
 #: Lines of fewer different anchored shingles than the first are signed by all shingles, from the second on by anchored ones alone.
@@ -36,8 +41,10 @@ SHORT_BANDS, SHORT_HASHES = 8, 4
 BEYOND, BANDS, BAND_HASHES = 3, 8, 3
 #: From the first number of anchored shingles on bands come from points, up to the second from permutations.
 CIRCLE = 24, 30
-#: Rounds with new representatives in buckets that are split between components.
-ROUNDS = 2
+#: Buckets of so many members are finished by all pairs across components.
+WHOLE = 32
+#: Words of 64 bits that tell how much sets differ at least.
+MARKS = 4
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -96,60 +103,100 @@ def _signed(docs: DataFrame) -> DataFrame:
     return lines.select("rid", "doc_id", "pos", F.xxhash64("line").alias("id"), second, F.expr(_bands("line")).alias("bands"))
 
 
+def _marks(line: str) -> str:
+    """SQL for a line's set size n and its words of bits."""
+    bit = "shiftleft(1L, cast(shiftrightunsigned(x, 8) & 63 AS int))"
+    words = ", ".join(f"aggregate(g, 0L, (w, x) -> if((x & {MARKS - 1}) = {i}, w | {bit}, w))" for i in range(MARKS))
+    return _let(_shingles(line), "g", f"struct(size(g) AS n, array({words}) AS bits)")
+
+
+def _likely(x: str, y: str) -> str:
+    """SQL that is false only if the lines with the marks x and y are not similar: sets that differ in d
+    shingles are similar if (100 + PERCENT) * d is at most (100 - PERCENT) times the size of both together."""
+    differ = " + ".join(f"bit_count({x}.bits[{i}] ^ {y}.bits[{i}])" for i in range(MARKS))
+    return f"{100 + PERCENT} * greatest(abs({x}.n - {y}.n), {differ}) <= {100 - PERCENT} * ({x}.n + {y}.n)"
+
+
 def _texts(docs: DataFrame, signed: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, line``: the compared form of each of ``ids``, from one of its places."""
+    """``id, line, marks``: the compared form of each of ``ids``, from one of its places, and its marks."""
     spots = signed.select("id", "rid", "pos").join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("rid", "pos")).alias("at"))
     wanted = spots.groupBy("at.rid").agg(F.collect_list(F.struct("id", "at.pos")).alias("spots"))
     rows = docs.select(_row_id().alias("rid"), "text").join(wanted, "rid")
     found = _let("split(text, '\n')", "parts", "transform(spots, s -> struct(s.id AS id, lower(trim(get(parts, s.pos))) AS line))")
-    return rows.select(F.explode_outer(F.expr(found)).alias("x")).groupBy("x.id").agg(F.first("x.line").alias("line"))
+    lines = rows.select(F.explode_outer(F.expr(found)).alias("x")).groupBy("x.id").agg(F.first("x.line").alias("line"))
+    return lines.withColumn("marks", F.expr(_marks("line")))
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs ``a, b`` that are similar, as ``src, dst``."""
+def _with_lines(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     ta = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
     tb = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
+    return pairs.join(tb, "b").join(ta, "a")
 
-    def shared(x: str, y: str, test: str) -> str:
-        """A test of n, the size of both sets together, and both, what they share. Each set is made once."""
-        counts = "struct(size(t.x) + size(t.y) AS n, size(array_intersect(t.x, t.y)) AS both)"
-        return _let(f"struct({x} AS x, {y} AS y)", "t", _let(counts, "u", test))
 
-    similar = shared(_shingles("line_a"), _shingles("line_b"), f"100 * u.both >= {PERCENT} * (u.n - u.both)")
-    found = pairs.join(tb, "b").join(ta, "a").where(similar)
-    return found.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+def _of_sets(body: str) -> str:
+    """SQL of both sets, t.x and t.y, each made once."""
+    return _let(f"struct({_shingles('line_a')} AS x, {_shingles('line_b')} AS y)", "t", body)
 
 
-def _linked(members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """``id, component`` of lines with a link in one of their buckets. ``members`` has bucket, id, score."""
-    pair = [F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")]
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs ``a, b`` that are similar, as ``src, dst``."""
+    counts = "struct(size(t.x) + size(t.y) AS n, size(array_intersect(t.x, t.y)) AS both)"
+    similar = _of_sets(_let(counts, "u", f"100 * u.both >= {PERCENT} * (u.n - u.both)"))
+    return _with_lines(pairs, texts).where(similar).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
 
-    def best(rows: DataFrame, order: Column, name: str) -> DataFrame:
-        top = rows.groupBy("bucket").agg(F.max(F.struct(order.alias("order"), "id")).alias("top"))
-        return top.select("bucket", F.col("top.id").alias(name))
+def _shared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` with the number of shingles they share, ``both``."""
+    return _with_lines(pairs, texts).select("a", "b", F.expr(_of_sets("size(array_intersect(t.x, t.y))")).alias("both"))
+
+
+def _beyond(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b, shingle``: what b's set has beyond a's."""
+    rest = F.explode_outer(F.expr(_of_sets("array_except(t.y, t.x)"))).alias("shingle")
+    return _with_lines(pairs, texts).select("a", "b", rest).where("shingle IS NOT NULL")
+
+
+def _across(rest: DataFrame) -> DataFrame:
+    """Likely pairs ``a, b`` across the components of each bucket, of all its members."""
+    x, y = (rest.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "label", "marks"))) for s in "ab")
+    pairs = x.join(y, "bucket").where(f"id_a < id_b AND label_a <> label_b AND {_likely('marks_a', 'marks_b')}")
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
+def _behind_centers(rest: DataFrame, centers: DataFrame, labels: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs ``a, b`` across the components of each bucket that can be links by what they share with its center."""
+    inner = rest.join(centers.select("bucket", "center"), "bucket").where("id <> center")
+    inner = scratch.put(inner.select("center", "id", "label", F.col("marks.n").alias("n")).distinct())
+    known = _shared(inner.select(F.col("center").alias("a"), F.col("id").alias("b")), texts)
+    known = known.select(F.col("a").alias("center"), F.col("b").alias("id"), F.col("both").alias("u"))
+    of_center = labels.select(F.col("id").alias("center"), F.col("component").alias("at_center"))
+    apart = (F.col("label") != F.coalesce("at_center", "center")).alias("apart")
+    inner = inner.join(known, ["center", "id"]).join(of_center, "center", "left")
+    inner = scratch.put(inner.select("center", "id", "label", apart, "n", "u"))
+    return pairs_behind_center(inner, lambda pairs: _beyond(pairs, texts), PERCENT, scratch)
+
+
+def _linked(members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """``id, component`` of lines with a link in one of their buckets. ``members`` has bucket, id, score, marks."""
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         return scratch.put(_links(scratch.put(pairs.distinct()), texts))
 
-    centers = scratch.put(best(members, F.struct("score", "id"), "center"))
-    links = confirmed(members.join(centers, "bucket").where("id <> center").withColumn("a", F.col("center")).select(*pair))
+    top = members.groupBy("bucket").agg(F.max(F.struct("score", "id", "marks")).alias("top"))
+    centers = scratch.put(top.select("bucket", F.col("top.id").alias("center"), F.col("top.marks").alias("of_center")))
+    star = members.join(centers, "bucket").where(f"id <> center AND {_likely('marks', 'of_center')}")
+    links = confirmed(star.select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b")))
     labels = components(links, scratch)
     scratch.release()
-    for r in range(ROUNDS):
-        labelled = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
-        of_center = centers.join(labels.withColumnRenamed("id", "center"), "center", "left").select("bucket", F.coalesce("component", "center").alias("main"))
-        placed = scratch.put(labelled.join(of_center, "bucket"))
-        outside = placed.where("label <> main")
-        if outside.isEmpty():
-            break
-        scramble = F.xxhash64("id", "bucket", F.lit(r))
-        partners = best(outside, scramble, "a").unionAll(best(placed.where("label = main"), scramble, "a"))
-        candidates = outside.join(scratch.put(partners), "bucket").where("id <> a")
-        links = links.unionAll(confirmed(candidates.select(*pair)))
-        labels = components(links, scratch)
-        members = outside.select("bucket", "id")
-        scratch.release()
-    return labels
+    rest = unfinished(members, labels, scratch)
+    sizes = scratch.put(rest.groupBy("bucket").agg(F.count("*").alias("size")))
+    candidates = _across(rest.join(sizes.where(f"size <= {WHOLE}"), "bucket"))
+    large = rest.join(sizes.where(f"size > {WHOLE}"), "bucket")
+    if not large.isEmpty():
+        candidates = candidates.unionAll(_behind_centers(large, centers, labels, texts, scratch))
+    links = links.unionAll(confirmed(candidates))
+    scratch.release()
+    return components(links, scratch)
 
 
 def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -164,7 +211,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     counts = scratch.put(members.groupBy("id").agg(F.count("*").alias("score")))
     texts = scratch.put(_texts(docs, signed, counts))
     scratch.release()
-    labels = _linked(scratch.put(members.join(counts, "id")), texts, scratch)
+    labels = _linked(scratch.put(members.join(counts, "id").join(texts.select("id", "marks"), "id")), texts, scratch)
     times = signed.groupBy("id").agg(F.count("*").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi"))
     unlike = F.col("lo") != F.col("hi")
     repeats = scratch.put(

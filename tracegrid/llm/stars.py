@@ -11,7 +11,7 @@ from .scratch import Scratch
 SIZE_STEP = 1.05
 
 
-def _unfinished(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+def unfinished(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """Members of those buckets that hold more than one component, with their components."""
     found = scratch.put(
         members.drop("label")
@@ -26,7 +26,7 @@ def _unfinished(members: DataFrame, labels: DataFrame, scratch: Scratch) -> Data
     return out
 
 
-def _pairs_behind_center(inner: DataFrame, beyond: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
+def pairs_behind_center(inner: DataFrame, beyond: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
     """Pairs ``a, b`` of members with the same center that can still be links.
 
     ``inner`` has center, id, label, apart (not in the center's component), n (set size) and u
@@ -114,14 +114,14 @@ def linked_components(
     tested = compared(members.join(first, "bucket").where("a <> id").select(*to_center))
     links = links_in(tested)
     labels = components(links, scratch)
-    rest = _unfinished(members, labels, scratch)
+    rest = unfinished(members, labels, scratch)
     if not rest.isEmpty():
         seen = centers(rest).select("bucket", F.col("label_a").alias("seen"))
         others = rest.join(seen, "bucket").where("label <> seen")
         star = rest.join(centers(others), "bucket").where("label <> label_a").select(*to_center)
         links = links.unionAll(links_in(compared(star)))
         labels = components(links, scratch)
-        rest = _unfinished(rest, labels, scratch)
+        rest = unfinished(rest, labels, scratch)
     if not rest.isEmpty():
         placed = rest.join(first.select("bucket", F.col("a").alias("center")), "bucket").where("id <> center")
         inner = scratch.put(placed.select("center", "id", "label").distinct())
@@ -130,6 +130,6 @@ def linked_components(
         apart = (F.col("label") != F.coalesce("at_center", "center")).alias("apart")
         inner = inner.join(known, ["center", "id"]).join(of_center, "center", "left")
         inner = scratch.put(inner.select("center", "id", "label", apart, "n", "u"))
-        links = links.unionAll(links_in(compared(_pairs_behind_center(inner, beyond, percent, scratch))))
+        links = links.unionAll(links_in(compared(pairs_behind_center(inner, beyond, percent, scratch))))
         labels = components(links, scratch)
     return labels
