@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracegrid.llm import components as cc, op03_minhash as op3, op04_vector_forest as op4, op07_lines as op7
+from tracegrid.llm import components as cc, op03_minhash as op3, op04_vector_forest as op4, op07_lines as op7, stars
 from tracegrid.llm.scratch import Scratch
 
 
@@ -312,6 +312,29 @@ def test_lines_behind_a_center_are_linked(spark):
     assert removed == 8 * 19
 
 
+@pytest.mark.parametrize("mixed", [False, True])
+def test_no_link_behind_a_center_is_dropped(spark, mixed):
+    """Sets of all sizes within, beside and beyond a center's set; some may be in its component."""
+    rng = random.Random(17)
+    center, sets = set(range(120)), []
+    for _ in range(60):
+        inside, beyond = rng.choice([5, 20, 60, 100, 118]), rng.choice([0, 1, 6, 30, 90])
+        x = set(rng.sample(sorted(center), inside)) | set(rng.sample(range(1000, 1000 + rng.choice([100, 400])), beyond))
+        sets.append(x)
+        for _ in range(3):
+            y = {v for v in x if rng.random() > 0.08} | set(rng.sample(range(2000, 2400), rng.randrange(0, 3 + len(x) // 12)))
+            sets.append(y or x)
+    of_center = [mixed and 100 * len(x & center) >= 80 * len(x | center) for x in sets]
+    label = [-1 if near else i for i, near in enumerate(of_center)]
+    rows = [(-1, i, label[i], not of_center[i], len(x), len(x & center)) for i, x in enumerate(sets)]
+    inner = spark.createDataFrame(rows, "center long, id long, label long, apart boolean, n long, u long")
+    rest = spark.createDataFrame([(i, v) for i, x in enumerate(sets) for v in x - center], "b long, shingle long")
+    got = stars.pairs_behind_center(inner, lambda pairs: pairs.join(rest, "b").select("a", "b", "shingle"), 80, Scratch(spark, "t"))
+    got = {(r["a"], r["b"]) for r in got.collect()}
+    want = {(j, i) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if label[i] != label[j] and 100 * len(x & y) >= 80 * len(x | y)}
+    assert len(want) > 80 and want <= got
+
+
 @pytest.mark.parametrize("whole", [0, 10_000])
 def test_one_bucket_of_all_lines_loses_no_link(spark, monkeypatch, whole):
     """Whatever shares a bucket with a link, by all pairs or behind the center: the links are those of brute force."""
