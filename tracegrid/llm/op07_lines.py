@@ -5,7 +5,7 @@ Two lines are similar if their sets of ``SHINGLE``-character shingles have a Jac
 ``PERCENT`` or more. Buckets come from signatures over character shingles:
 
 * A line of few words is signed by all its shingles: ``SHORT_BANDS`` permutations of their hashes,
-  the ``SHORT_HASHES`` least of each being a band.
+  the ``SHORT_HASHES`` least of each being a band; from ``SHORT_CIRCLE`` on by one order, as below.
 * A line of more words is signed by the shingles that begin at its words and end ``BEYOND``
   characters into the next, by ``BANDS`` permutations in the same way. With many of them, one order
   does: hashes lie on a circle, fixed points divide it, and the ``BAND_HASHES`` hashes that follow a
@@ -14,8 +14,9 @@ Two lines are similar if their sets of ``SHINGLE``-character shingles have a Jac
 
 In a bucket all members are compared with its center, and links are united (``components``). Buckets
 that then hold several components are finished whole: those of at most ``WHOLE`` members by all pairs
-across components, larger ones by the pairs that the distances to the center do not exclude
-(``stars``), which are found without comparing all.
+across components. In larger ones each member outside of the largest component meets some members of
+it; then come the pairs across components that the distances to a center do not exclude (``stars``),
+which are found without comparing all. The center is now the best member of the largest component.
 
 Each line that shares a bucket has ``marks``: the size of its set, and ``MARKS`` words of 64 bits in
 which each shingle sets one. Sets differ in at least as many shingles as their marks do in bits, so
@@ -37,14 +38,18 @@ MIN_CHARS, SHINGLE, PERCENT = 20, 5, 80
 #: Lines of fewer different anchored shingles than the first are signed by all shingles, from the second on by anchored ones alone.
 FEW, MANY = 12, 16
 SHORT_BANDS, SHORT_HASHES = 8, 4
+#: From the first number of shingles on their bands come from points, up to the second from permutations.
+SHORT_CIRCLE = 48, 60
 #: An anchored shingle is a word and so many characters of the next.
 BEYOND, BANDS, BAND_HASHES = 3, 8, 3
 #: From the first number of anchored shingles on bands come from points, up to the second from permutations.
 CIRCLE = 24, 30
 #: Buckets of so many members are finished by all pairs across components.
 WHOLE = 32
-#: Words of 64 bits that tell how much sets differ at least.
-MARKS = 4
+#: Members of larger ones first meet so many members of the bucket's largest component.
+PICKS = 4
+#: Words of 64 bits that tell how much sets differ at least, a power of two; half full at some 700 shingles.
+MARKS = 16
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -68,24 +73,28 @@ def _shingles(line: str) -> str:
 
 def _bands(line: str) -> str:
     """SQL for the bucket keys of a line."""
-    step = (1 << 64) // BANDS
-    points = ", ".join(f"bigint({-(1 << 63) + step // 2 + j * step})" for j in range(BANDS))
-    # s has hashes and points in order, the first ones again behind the last; a point's band follows it
-    following = ", ".join(f"s[i + {k}]" for k in range(1, BAND_HASHES + 1))
-    marked = f"array_compact(transform(slice(s, 1, size(h) + {BANDS}), (x, i) -> if(x IN ({points}), xxhash64(x, {following}), null)))"
-    circle = _let(f"sort_array(concat(h, array({points})))", "c", f"concat(c, slice(c, 1, {BAND_HASHES}))")
-    by_points = _let(circle, "s", marked)
+
+    def by_points(hashes: str, count: int, least: int) -> str:
+        step = (1 << 64) // count
+        points = ", ".join(f"bigint({-(1 << 63) + step // 2 + j * step})" for j in range(count))
+        # s has hashes and points in order, the first ones again behind the last; a point's band follows it
+        following = ", ".join(f"s[i + {k}]" for k in range(1, least + 1))
+        marked = f"array_compact(transform(slice(s, 1, size({hashes}) + {count}), (x, i) -> if((x & {step - 1}L) = {step // 2}L, xxhash64(x, {following}), null)))"
+        return _let(_let(f"sort_array(concat({hashes}, array({points})))", "c", f"concat(c, slice(c, 1, {least}))"), "s", marked)
 
     def permuted(hashes: str, first: int, count: int, least: int) -> str:
         kept = f"slice(sort_array(transform({hashes}, x -> xxhash64(x, k))), 1, {least})"
         return f"transform(sequence({first}, {first + count - 1}), k -> xxhash64(k, {kept}))"
 
-    all_shingles = _let(_shingles(line), "g", permuted("g", SHORT_BANDS, SHORT_BANDS, SHORT_HASHES))
-    few = permuted("h", 2 * SHORT_BANDS, BANDS, BAND_HASHES)
     none = "cast(array() AS array<bigint>)"
+    short = permuted("g", SHORT_BANDS, SHORT_BANDS, SHORT_HASHES)
+    longer = by_points("g", SHORT_BANDS, SHORT_HASHES)
+    both = f"concat(if(size(g) <= {SHORT_CIRCLE[1]}, {short}, {none}), if(size(g) >= {SHORT_CIRCLE[0]}, {longer}, {none}))"
+    all_shingles = _let(_shingles(line), "g", both)
+    few = permuted("h", 2 * SHORT_BANDS, BANDS, BAND_HASHES)
     bands = (
         f"concat(if(size(h) < {MANY}, {all_shingles}, {none}),"
-        f" if(size(h) BETWEEN {FEW} AND {CIRCLE[1]}, {few}, {none}), if(size(h) >= {CIRCLE[0]}, {by_points}, {none}))"
+        f" if(size(h) BETWEEN {FEW} AND {CIRCLE[1]}, {few}, {none}), if(size(h) >= {CIRCLE[0]}, {by_points('h', BANDS, BAND_HASHES)}, {none}))"
     )
     anchors = f"zip_with(w, slice(w, 2, size(w)), (x, y) -> xxhash64(x, left(y, {BEYOND})))"
     return _let(f"split({line}, ' ')", "w", _let(f"array_distinct({anchors})", "h", bands))
@@ -103,11 +112,12 @@ def _signed(docs: DataFrame) -> DataFrame:
     return lines.select("rid", "doc_id", "pos", F.xxhash64("line").alias("id"), second, F.expr(_bands("line")).alias("bands"))
 
 
-def _marks(line: str) -> str:
-    """SQL for a line's set size n and its words of bits."""
+def _marked(texts: DataFrame) -> DataFrame:
+    """``id, marks``: each line's set size n and its words of bits."""
+    shingles = texts.select("id", F.explode_outer(F.expr(_shingles("line"))).alias("x"))
     bit = "shiftleft(1L, cast(shiftrightunsigned(x, 8) & 63 AS int))"
-    words = ", ".join(f"aggregate(g, 0L, (w, x) -> if((x & {MARKS - 1}) = {i}, w | {bit}, w))" for i in range(MARKS))
-    return _let(_shingles(line), "g", f"struct(size(g) AS n, array({words}) AS bits)")
+    words = [F.bit_or(F.expr(f"if((x & {MARKS - 1}) = {i}, {bit}, 0L)")) for i in range(MARKS)]
+    return shingles.groupBy("id").agg(F.struct(F.count("x").alias("n"), F.array(*words).alias("bits")).alias("marks"))
 
 
 def _likely(x: str, y: str) -> str:
@@ -118,13 +128,12 @@ def _likely(x: str, y: str) -> str:
 
 
 def _texts(docs: DataFrame, signed: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, line, marks``: the compared form of each of ``ids``, from one of its places, and its marks."""
+    """``id, line``: the compared form of each of ``ids``, from one of its places."""
     spots = signed.select("id", "rid", "pos").join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("rid", "pos")).alias("at"))
     wanted = spots.groupBy("at.rid").agg(F.collect_list(F.struct("id", "at.pos")).alias("spots"))
     rows = docs.select(_row_id().alias("rid"), "text").join(wanted, "rid")
     found = _let("split(text, '\n')", "parts", "transform(spots, s -> struct(s.id AS id, lower(trim(get(parts, s.pos))) AS line))")
-    lines = rows.select(F.explode_outer(F.expr(found)).alias("x")).groupBy("x.id").agg(F.first("x.line").alias("line"))
-    return lines.withColumn("marks", F.expr(_marks("line")))
+    return rows.select(F.explode_outer(F.expr(found)).alias("x")).groupBy("x.id").agg(F.first("x.line").alias("line"))
 
 
 def _with_lines(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -156,6 +165,12 @@ def _beyond(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return _with_lines(pairs, texts).select("a", "b", rest).where("shingle IS NOT NULL")
 
 
+def _likely_of(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Those of the pairs ``a, b`` that their marks do not exclude, each once."""
+    of_a, of_b = (marks.select(F.col("id").alias(s), F.col("marks").alias(f"marks_{s}")) for s in "ab")
+    return pairs.distinct().join(of_b, "b").join(of_a, "a").where(_likely("marks_a", "marks_b")).select("a", "b")
+
+
 def _across(rest: DataFrame) -> DataFrame:
     """Likely pairs ``a, b`` across the components of each bucket, of all its members."""
     x, y = (rest.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "label", "marks"))) for s in "ab")
@@ -163,38 +178,66 @@ def _across(rest: DataFrame) -> DataFrame:
     return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
-def _behind_centers(rest: DataFrame, centers: DataFrame, labels: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs ``a, b`` across the components of each bucket that can be links by what they share with its center."""
-    inner = rest.join(centers.select("bucket", "center"), "bucket").where("id <> center")
+def _with_largest(rest: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of each bucket's members with some of its largest component, which are drawn by hash."""
+    picks = F.array(*(F.min_by("id", F.xxhash64("bucket", "id", F.lit(i))) for i in range(PICKS)))
+    parts = rest.groupBy("bucket", "label").agg(F.count("*").alias("n"), picks.alias("picks"))
+    largest = parts.groupBy("bucket").agg(F.max(F.struct("n", "label", "picks")).alias("most"))
+    drawn = largest.select("bucket", F.col("most.label").alias("of"), F.explode_outer("most.picks").alias("drawn"))
+    pairs = rest.join(drawn, "bucket").where("label <> of")
+    return pairs.select(F.least("drawn", "id").alias("a"), F.greatest("drawn", "id").alias("b"))
+
+
+def _united(rest: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members of the buckets that more links leave split, with the components they now have."""
+    labels = scratch.put(rest.select("id", "label").distinct())
+    of_src, of_dst = (labels.select(F.col("id").alias(c), F.col("label").alias(f"of_{c}")) for c in ("src", "dst"))
+    joined = links.join(of_src, "src").join(of_dst, "dst").select(F.col("of_src").alias("src"), F.col("of_dst").alias("dst"))
+    merged = components(joined, scratch).withColumnRenamed("id", "label")
+    now = labels.join(merged, "label", "left").select("id", F.coalesce("component", "label").alias("component"))
+    return unfinished(rest, scratch.put(now), scratch)
+
+
+def _behind_centers(rest: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs ``a, b`` across the components of each bucket that can be links by what they share with its
+    center, which is now the best member of its largest component."""
+    parts = rest.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.max(F.struct("score", "id")).alias("top"))
+    centers = parts.groupBy("bucket").agg(F.max(F.struct("n", "label", "top")).alias("most")).select("bucket", F.col("most.top.id").alias("center"))
+    inner = rest.join(centers, "bucket").where("id <> center")
     inner = scratch.put(inner.select("center", "id", "label", F.col("marks.n").alias("n")).distinct())
     known = _shared(inner.select(F.col("center").alias("a"), F.col("id").alias("b")), texts)
     known = known.select(F.col("a").alias("center"), F.col("b").alias("id"), F.col("both").alias("u"))
-    of_center = labels.select(F.col("id").alias("center"), F.col("component").alias("at_center"))
-    apart = (F.col("label") != F.coalesce("at_center", "center")).alias("apart")
-    inner = inner.join(known, ["center", "id"]).join(of_center, "center", "left")
+    of_center = rest.select(F.col("id").alias("center"), F.col("label").alias("at_center")).distinct()
+    apart = (F.col("label") != F.col("at_center")).alias("apart")
+    inner = inner.join(known, ["center", "id"]).join(of_center, "center")
     inner = scratch.put(inner.select("center", "id", "label", apart, "n", "u"))
     return pairs_behind_center(inner, lambda pairs: _beyond(pairs, texts), PERCENT, scratch)
 
 
-def _linked(members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """``id, component`` of lines with a link in one of their buckets. ``members`` has bucket, id, score, marks."""
+def _linked(members: DataFrame, texts: DataFrame, marks: DataFrame, scratch: Scratch) -> DataFrame:
+    """``id, component`` of lines with a link in one of their buckets. ``members`` has bucket, id, score."""
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return scratch.put(_links(scratch.put(pairs.distinct()), texts))
+        return scratch.put(_links(scratch.put(pairs), texts))
 
-    top = members.groupBy("bucket").agg(F.max(F.struct("score", "id", "marks")).alias("top"))
-    centers = scratch.put(top.select("bucket", F.col("top.id").alias("center"), F.col("top.marks").alias("of_center")))
-    star = members.join(centers, "bucket").where(f"id <> center AND {_likely('marks', 'of_center')}")
-    links = confirmed(star.select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b")))
+    top = members.groupBy("bucket").agg(F.max(F.struct("score", "id")).alias("top"))
+    centers = scratch.put(top.select("bucket", F.col("top.id").alias("center")))
+    star = members.join(centers, "bucket").where("id <> center")
+    links = confirmed(_likely_of(star.select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b")), marks))
     labels = components(links, scratch)
     scratch.release()
     rest = unfinished(members, labels, scratch)
     sizes = scratch.put(rest.groupBy("bucket").agg(F.count("*").alias("size")))
-    candidates = _across(rest.join(sizes.where(f"size <= {WHOLE}"), "bucket"))
-    large = rest.join(sizes.where(f"size > {WHOLE}"), "bucket")
+    rest = rest.select("bucket", "id", "score", "label").join(sizes, "bucket")
+    candidates = _across(rest.where(f"size <= {WHOLE}").join(marks, "id"))
+    large = scratch.put(rest.where(f"size > {WHOLE}").drop("size"))
     if not large.isEmpty():
-        candidates = candidates.unionAll(_behind_centers(large, centers, labels, texts, scratch))
-    links = links.unionAll(confirmed(candidates))
+        met = confirmed(_likely_of(_with_largest(large), marks))
+        links = links.unionAll(met)
+        large = _united(large, met, scratch)
+        behind = _behind_centers(large.join(marks, "id"), texts, scratch)
+        candidates = candidates.unionAll(_likely_of(behind, marks))
+    links = links.unionAll(confirmed(candidates.distinct()))
     scratch.release()
     return components(links, scratch)
 
@@ -211,7 +254,8 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     counts = scratch.put(members.groupBy("id").agg(F.count("*").alias("score")))
     texts = scratch.put(_texts(docs, signed, counts))
     scratch.release()
-    labels = _linked(scratch.put(members.join(counts, "id").join(texts.select("id", "marks"), "id")), texts, scratch)
+    marks = scratch.put(_marked(texts))
+    labels = _linked(scratch.put(members.join(counts, "id")), texts, marks, scratch)
     times = signed.groupBy("id").agg(F.count("*").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi"))
     unlike = F.col("lo") != F.col("hi")
     repeats = scratch.put(

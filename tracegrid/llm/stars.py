@@ -42,20 +42,28 @@ def pairs_behind_center(inner: DataFrame, beyond: Callable[[DataFrame], DataFram
     size_class = lambda n: F.floor(F.log(n) / F.log(F.lit(SIZE_STEP)) + 1e-9).cast("int")
     keys = ["center", "size"]
 
-    found = scratch.put(beyond(inner.select(F.col("center").alias("a"), F.col("id").alias("b"))))
-    found = found.select(F.col("a").alias("center"), F.col("b").alias("id"), "shingle")
-    counts = scratch.put(found.groupBy("center", "shingle").agg(F.count("*").alias("df")).where("df > 1"))
-    # shingles of one member alone come first in any order, so only their number counts
-    shared = found.join(counts, ["center", "shingle"])
-    order = Window.partitionBy("center", "id").orderBy("df", "shingle")
-    shared = shared.select("center", "id", "shingle", F.row_number().over(order).alias("at"), F.count("*").over(Window.partitionBy("center", "id")).alias("common"))
-    rows = scratch.put(shared.join(inner, ["center", "id"]).withColumn("e", F.col("n") - F.col("u")).withColumn("rank", F.expr("e - common + at")))
+    def of(members: DataFrame, apart: bool) -> DataFrame:
+        found = beyond(members.where("apart" if apart else "NOT apart").select(F.col("center").alias("a"), F.col("id").alias("b")))
+        return found.select(F.col("a").alias("center"), F.col("b").alias("id"), "shingle", F.lit(apart).alias("apart"))
+
+    alike = Window.partitionBy("center", "shingle")
+    shared = of(inner, True).unionAll(of(inner, False)).select("*", F.count("*").over(alike).alias("df"), F.max("apart").over(alike).alias("probed"))
+    # shingles that no pair can share come first in any order, so only their number counts
+    shared = shared.where("df > 1 AND probed")
+    ordered = F.array_sort(F.collect_list(F.struct("df", "shingle")))
+    lists = shared.groupBy("center", "id").agg(ordered.alias("ordered")).join(inner, ["center", "id"])
+    lists = lists.withColumn("e", F.col("n") - F.col("u")).withColumn("common", F.size("ordered"))
+    # no set can do with less in common than with the smallest that it can be linked with
+    first = F.expr(f"slice(ordered, 1, cast(greatest(common - greatest(ceil({percent} * n / 100.0 - 1e-9) - u, 1) + 1, 0) AS int))")
+    rows = lists.select("center", "id", "label", "apart", "n", "u", "e", "common", F.posexplode_outer(first).alias("at", "of"))
+    rows = rows.where("of IS NOT NULL").select("center", "id", "label", "apart", "n", "u", "e", "of.shingle", F.expr("e - common + at + 1").alias("rank"))
+    rows = scratch.put(rows)
 
     sizes = F.explode(F.sequence(size_class(F.col("n") * percent / 100), size_class(F.col("n") * 100 / percent)))
     probes = rows.where("apart").withColumn("size", sizes)
     smallest = f"greatest(pow({SIZE_STEP}, size), n * {percent} / 100.0)"
     probes = probes.where(f"rank <= e - greatest({needed.format('n', smallest)} - u, 1) + 1")
-    index = rows.where(f"rank <= e - greatest(ceil({percent} * n / 100.0 - 1e-9) - u, 1) + 1").withColumn("size", size_class(F.col("n")))
+    index = rows.withColumn("size", size_class(F.col("n")))
     side = lambda df, s, keys: df.select(*keys, *(F.col(c).alias(f"{s}_{c}") for c in ("id", "label", "n", "u")))
     different = f"a_label <> b_label AND 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
     missing = f"{needed.format('a_n', 'b_n')} - least(a_u, b_u)"
