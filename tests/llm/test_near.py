@@ -365,7 +365,7 @@ def test_few_lines_of_a_large_bucket_are_compared(spark, monkeypatch):
     word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randrange(2, 7)))
     base, lines = [word() for _ in range(100)], []
     for i in range(90):
-        lines.append(" ".join(mutated(rng, base, 18)))
+        lines.append(" ".join(mutated(rng, base, 8)))
         if i % 3 == 0:
             lines.append(lines[-1] + " " + word())
     sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
