@@ -3,6 +3,9 @@ cluster's resource documents."""
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.tables import Tables
+from .blocks import block_join
+
 V4 = "^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:[.](?!$)|$)){4}$"
 RESOURCE = (
     "kind string, metadata struct<namespace:string,name:string,labels:map<string,string>>, "
@@ -128,19 +131,38 @@ def resource_edges(read: DataFrame) -> DataFrame:
     """``source_id, relation, target_id, detail``: services select pods, pods run on machines,
     ingresses route to services.
 
-    A service selects the pods of its namespace that have all of its labels; it is joined by the
-    rarest of them, and the others are compared after, so a label that all pods share joins nothing.
+    A service selects the pods of its namespace that have all of its labels. Different selectors
+    meet different sets of labels first: a selector is joined by the rarest of its labels, and the
+    others are compared after, so a label that all pods share joins nothing. Services and pods
+    follow by the number of a set. A pair can come twice only if a pod is told with several sets;
+    of these pods alone pairs are compared with each other.
     """
+    tables = Tables(read.sparkSession, "resource-edges")
     key = resource_key(F.col("kind"), F.col("namespace"), F.col("metadata.name"))
-    pods = read.where("kind = 'Pod'").select(key.alias("target_id"), "namespace", F.col("metadata.labels").alias("labels"))
-    services = read.where("kind = 'Service' AND size(spec.selector) > 0").select(key.alias("source_id"), "namespace", F.col("spec.selector").alias("selector"))
-    of_pods = pods.select("target_id", "namespace", "labels", F.explode("labels").alias("label", "value"))
-    counts = of_pods.groupBy("namespace", "label", "value").agg(F.count("*").alias("n"))
-    asked = services.select("source_id", "namespace", F.explode("selector").alias("label", "value"))
-    rarest = asked.join(counts, ["namespace", "label", "value"], "left").groupBy("source_id", "namespace").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "label", "value")).alias("r"))
-    chosen = services.join(rarest.select("source_id", "r.label", "r.value"), "source_id")
-    all_there = F.forall(F.map_entries("selector"), lambda e: F.coalesce(F.try_element_at("labels", e["key"]) == e["value"], F.lit(False)))
-    selects = chosen.join(of_pods, ["namespace", "label", "value"]).where(all_there)
+    pairs = lambda m: F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("label"), e["value"].alias("value"))))
+    pods = tables.put(read.where("kind = 'Pod' AND size(metadata.labels) > 0").select(key.alias("target_id"), "namespace", pairs("metadata.labels").alias("labels")).distinct())
+    services = tables.put(read.where("kind = 'Service' AND size(spec.selector) > 0").select(key.alias("source_id"), "namespace", pairs("spec.selector").alias("selector")).distinct())
+    sets = tables.put(pods.select("namespace", "labels").distinct().withColumn("set", F.monotonically_increasing_id()))
+    selectors = tables.put(services.select("namespace", "selector").distinct().withColumn("asks", F.monotonically_increasing_id()))
+
+    of_sets = sets.select("set", "namespace", "labels", F.inline("labels"))
+    counts = of_sets.groupBy("namespace", "label", "value").agg(F.count("*").alias("n"))
+    asked = selectors.select("asks", "namespace", F.inline("selector"))
+    rarest = asked.join(counts, ["namespace", "label", "value"], "left").groupBy("asks").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "label", "value")).alias("r"))
+    chosen = selectors.join(rarest.select("asks", "r.label", "r.value"), "asks")
+    all_there = F.forall("selector", lambda e: F.array_contains("labels", e))
+    met = chosen.join(of_sets, ["namespace", "label", "value"]).where(all_there).select("asks", "set")
+
+    asking = services.join(selectors, ["namespace", "selector"]).join(met, "asks")
+    left = tables.put(asking.select("source_id", "set").distinct())
+    right = tables.put(pods.join(sets, ["namespace", "labels"]).select("target_id", "set"))
+    several = tables.put(right.groupBy("target_id").agg(F.count("*").alias("n")).where("n > 1").select("target_id"))
+    if several.isEmpty():
+        selects = block_join(left, right, ["set"], tables).select("source_id", "target_id")
+    else:
+        once, more = (tables.put(right.join(several, "target_id", how)) for how in ("left_anti", "left_semi"))
+        selects = block_join(left, once, ["set"], tables).select("source_id", "target_id").unionAll(block_join(left, more, ["set"], tables).select("source_id", "target_id").distinct())
+
     none = F.lit("").alias("detail")
     found = selects.select("source_id", F.lit("selects").alias("relation"), "target_id", none)
     runs = read.where("kind = 'Pod' AND spec.nodeName IS NOT NULL").select(key.alias("source_id"), F.lit("runs_on").alias("relation"), F.concat(F.lit("Machine/"), "spec.nodeName").alias("target_id"), none)
@@ -149,4 +171,4 @@ def resource_edges(read: DataFrame) -> DataFrame:
     routes = routes.where("p.backend.service.name IS NOT NULL").select(
         "source_id", F.lit("routes_to").alias("relation"), resource_key(F.lit("Service"), F.col("namespace"), F.col("p.backend.service.name")).alias("target_id"), F.concat("host", F.coalesce("p.path", F.lit("/"))).alias("detail")
     )
-    return found.unionByName(runs).unionByName(routes).distinct()
+    return found.unionByName(runs.distinct()).unionByName(routes.distinct())
