@@ -67,3 +67,45 @@ def test_edges_of_pods_with_one_set_of_labels_are_not_compared(spark):
     edges = networks.resource_edges(networks.resources(rows))
     assert edges.count() == 400
     assert top(edges) != "Aggregate"
+
+
+def rule(*conditions):
+    from tracegrid.operators import rules
+
+    return rules.Rule("r", "A", "N", "strong", tuple(rules.Condition(*c) for c in conditions))
+
+
+def ids_of(rule, artifacts, nodes, holds):
+    ids = lambda a, b: ":".join(x for x in ("rp", "p", rule.id, a, b) if x is not None)
+    return {ids(a[0], b[0]) for a in artifacts for b in nodes if a[1] == "A" and b[1] == "N" and a[2] is not None and b[2] is not None and holds(a, b)}
+
+
+@pytest.mark.parametrize("nameless", [False, True])
+@pytest.mark.parametrize("operator", ["equals", "regex"])
+def test_edges_of_a_rule_have_an_id_once(spark, small_blocks, operator, nameless):
+    from tracegrid.operators import rules
+
+    rng = random.Random(3)
+    words = ["x", "xy", "yx", "long word", "a long word", "words", None, ""]
+    names = [*map(str, range(60)), "1:2", "1:2:3", "1", "a:b", "a:", "1", "7", "2", "3:4", *([None, None] if nameless else [])]
+    artifacts = [(i, rng.choice("AAAB"), rng.choice(words), rng.choice("uv")) for i in names + names[:9]]
+    nodes = [(i, rng.choice("NNNM"), rng.choice(words), rng.choice("uv")) for i in [*names, "2:3", "3:5", *names[-6:], None]]
+    a, n = spark.createDataFrame(artifacts, "id string, family string, name string, w string"), spark.createDataFrame(nodes, "id string, node_type string, label string, w string")
+    test = {"equals": lambda x, y: x == y, "contains": lambda x, y: x != "" and x in y, "regex": lambda x, y: x in y}[operator]
+    one, two = rule(("name", operator, "label")), rule(("name", operator, "label"), ("w", "regex", "w"))
+    for r, holds in ((one, lambda x, y: test(x[2], y[2])), (two, lambda x, y: test(x[2], y[2]) and x[3] == y[3])):
+        got = [e["id"] for e in rules.run_rule("p", r, a, n).collect()]
+        want = ids_of(r, artifacts, nodes, holds)
+        assert len(got) == len(set(got))
+        assert set(got) == want
+
+
+def test_edges_of_rows_with_ids_of_their_own_are_not_compared(spark):
+    from tracegrid.operators import rules
+
+    a = spark.createDataFrame([(str(i), "A", "x") for i in range(20)], "id string, family string, name string")
+    n = spark.createDataFrame([(f"n:{i}", "N", "wxyz") for i in range(20)], "id string, node_type string, label string")
+    edges = [rules.run_rule("p", rule(("name", "equals", "label")), a, n.selectExpr("id", "node_type", "'X' AS label")), rules.run_rule("p", rule(("name", "regex", "label")), a, n)]
+    for e in edges:
+        assert e.count() == 400
+        assert top(e) != "Aggregate"
