@@ -81,7 +81,7 @@ def ids_of(rule, artifacts, nodes, holds):
 
 
 @pytest.mark.parametrize("nameless", [False, True])
-@pytest.mark.parametrize("operator", ["equals", "regex"])
+@pytest.mark.parametrize("operator", ["equals", "contains", "regex"])
 def test_edges_of_a_rule_have_an_id_once(spark, small_blocks, operator, nameless):
     from tracegrid.operators import rules
 
@@ -105,7 +105,19 @@ def test_edges_of_rows_with_ids_of_their_own_are_not_compared(spark):
 
     a = spark.createDataFrame([(str(i), "A", "x") for i in range(20)], "id string, family string, name string")
     n = spark.createDataFrame([(f"n:{i}", "N", "wxyz") for i in range(20)], "id string, node_type string, label string")
-    edges = [rules.run_rule("p", rule(("name", "equals", "label")), a, n.selectExpr("id", "node_type", "'X' AS label")), rules.run_rule("p", rule(("name", "regex", "label")), a, n)]
+    edges = [rules.run_rule("p", rule(("name", "equals", "label")), a, n.selectExpr("id", "node_type", "'X' AS label")), rules.run_rule("p", rule(("name", "regex", "label")), a, n), rules.run_rule("p", rule(("name", "contains", "label")), a, n)]
     for e in edges:
         assert e.count() == 400
         assert top(e) != "Aggregate"
+
+
+def test_texts_of_all_lengths_are_found_by_grams(spark):
+    from tracegrid.operators import rules
+
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("abé", k=rng.randrange(150))) for _ in range(60)] + [None, "", "doc" + "0" * 130]
+    sought = [x[i : i + n].upper() for x in texts if x for n in (1, 2, 3, 4, 5, 7, 8, 9, 16, 31, 33, 64, 100, 129) if len(x) >= n for i in [rng.randrange(len(x) - n + 1)]] + ["", None, "doc1", "zz"]
+    a = spark.createDataFrame([(i, "A", x) for i, x in enumerate(sought)], "id long, family string, name string")
+    n = spark.createDataFrame([(i, "N", x) for i, x in enumerate(texts)], "id long, node_type string, label string")
+    got = sorted((int(e["source_id"]), int(e["target_id"])) for e in rules.run_rule("p", rule(("name", "contains", "label")), a, n).collect())
+    assert got == sorted((i, j) for i, x in enumerate(sought) for j, y in enumerate(texts) if x and y is not None and x.lower() in y)
