@@ -121,3 +121,26 @@ def test_texts_of_all_lengths_are_found_by_grams(spark):
     n = spark.createDataFrame([(i, "N", x) for i, x in enumerate(texts)], "id long, node_type string, label string")
     got = sorted((int(e["source_id"]), int(e["target_id"])) for e in rules.run_rule("p", rule(("name", "contains", "label")), a, n).collect())
     assert got == sorted((i, j) for i, x in enumerate(sought) for j, y in enumerate(texts) if x and y is not None and x.lower() in y)
+
+
+def test_texts_near_in_time_are_found_once(spark, small_blocks):
+    from tracegrid.operators.joins import temporal_text_matches
+
+    rng = random.Random(2)
+    needles = [(rng.randrange(100), rng.choice([rng.randrange(-300, 300), None, 50]), rng.choice(["User 1", "user 12", "by", "é", "", None, "by user 123 and"])) for _ in range(120)] + [(None, 50, "by")]
+    texts = [(i, rng.choice([rng.randrange(-300, 300), None, 50]), rng.choice(["Seen BY User 12", "by user 123 and more", "by user 123 or", "É", "", None])) for i in range(150)] + [(7, 50, "by user 12"), (None, 50, "by user 1")]
+    for ns, ts in ((needles, texts), (list({x[0]: x for x in needles}.values()), texts[:150])):
+        a, b = spark.createDataFrame(ns, "id long, second long, needle string"), spark.createDataFrame(ts, "id long, second long, text string")
+        got = [tuple(r) for r in temporal_text_matches(a, b, 60).select("needle_id", "text_id", "gap").collect()]
+        want = {(x[0], y[0], abs(x[1] - y[1])) for x in ns for y in ts if x[2] and y[2] is not None and None not in (x[1], y[1]) and abs(x[1] - y[1]) <= 60 and x[2].lower() in y[2].lower()}
+        assert len(got) == len(set(got))
+        assert set(got) == want
+
+
+def test_pairs_near_in_time_with_ids_of_their_own_are_not_compared(spark):
+    from tracegrid.operators.joins import temporal_text_matches
+
+    rows = spark.range(30).selectExpr("id", "id AS second", "concat('word ', id) AS text")
+    found = temporal_text_matches(rows.selectExpr("id", "second", "'Word' AS needle"), rows, 60)
+    assert found.count() == 900
+    assert top(found) != "Aggregate"

@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.paths import basename, normalize_path, suffix_key
 from ..plans.tables import Tables
+from .blocks import block_join
+from .grams import holding
 
 PROXIMITY_SECONDS, PROXIMITY_KEEP = 86_400, 3
 #: Rows in the fullest bucket of the first look, and how much wider each further look is.
@@ -137,38 +139,44 @@ def temporal_proximity(left: DataFrame, right: DataFrame, seconds: int = PROXIMI
         rest, width = tables.put(rest.join(full, "id", "left_anti")), min(seconds, width * WIDER)
 
 
-def _grams(text: Column, n: int) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n))))
-
-
 def temporal_text_matches(needles: DataFrame, texts: DataFrame, seconds: int = PROXIMITY_SECONDS, gram: int = 4) -> DataFrame:
     """``needle_id, text_id, gap``: texts within so many seconds, inclusive, that contain the needle,
     without case.
 
     ``needles`` has id, second, needle; ``texts`` id (one row each), second, text. Time is cut to
-    buckets of the width, of which a needle looks at its own and both neighbours. In each it is
-    looked up by the gram of its text that is rarest there, so the key of the join is a bucket and
-    a gram, and a bucket that is hot is spread over its grams; what meets is compared exactly.
-    Needles shorter than a gram are looked up whole; empty or null ones match nothing.
+    buckets of the width, of which a needle looks at its own and both neighbours. In each bucket
+    different needles are found in different texts by grams (``gram`` is the signs of the shortest
+    that a needle need not fill), and rows follow by the number of a bucket's needle, so pairs are
+    made once, by time alone, and go nowhere. They can repeat only where ids do; only these are
+    compared with each other. Empty or null needles match nothing.
     """
-    bucket = F.expr(f"second div {seconds + 1}")
-    here = texts.select(F.col("id").alias("text_id"), "second", bucket.alias("bucket"), F.lower("text").alias("text"))
-    asked = needles.select(F.col("id").alias("needle_id"), "second", bucket.alias("bucket"), F.lower("needle").alias("needle")).where("length(needle) > 0")
-    sizes = [r["n"] for r in asked.select(F.least(F.length("needle"), F.lit(gram)).alias("n")).distinct().collect()]  # at most ``gram`` rows
-    none = F.array().cast("array<string>")
-    within = [F.when(F.length("text") >= n, _grams(F.col("text"), n)).otherwise(none) for n in sorted(sizes)]
     tables = Tables(needles.sparkSession, "text-matches")
-    index = tables.put(here.select("text_id", "bucket", F.explode(F.concat(none, *within)).alias("gram")))
-    counts = index.groupBy("bucket", "gram").agg(F.count("*").alias("df"))
-    parts = F.when(F.length("needle") <= gram, F.array("needle")).otherwise(_grams(F.col("needle"), gram))
+    bucket = F.expr(f"second div {seconds + 1}")
+    here = texts.select(F.col("id").alias("text_id"), F.col("second").alias("text_second"), bucket.alias("bucket"), F.lower("text").alias("text")).where("bucket IS NOT NULL AND text IS NOT NULL")
+    asked = needles.select(F.col("id").alias("needle_id"), "second", bucket.alias("bucket"), F.lower("needle").alias("sought")).where("bucket IS NOT NULL AND length(sought) > 0")
     around = F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket")
-    probes = asked.select("needle_id", "needle", around).distinct().select("needle_id", "bucket", F.explode(parts).alias("gram"))
-    # a gram that the bucket lacks rules it out
-    rarest = probes.join(counts, ["bucket", "gram"], "left").groupBy("needle_id", "bucket").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("g"))
-    pairs = rarest.where("g.df > 0").select("needle_id", "bucket", F.col("g.gram").alias("gram")).join(index, ["bucket", "gram"]).select("needle_id", "text_id")
-    joined = pairs.join(asked.select("needle_id", "second", "needle"), "needle_id").join(here.select("text_id", F.col("second").alias("text_second"), "text"), "text_id")
+    different = tables.put(here.select("bucket", "text").distinct().withColumn("place", F.monotonically_increasing_id()))
+    sought = tables.put(asked.select("bucket", "sought").distinct().select("sought", around).distinct().withColumn("number", F.monotonically_increasing_id()))
+    met = tables.put(holding(sought, different, tables, ["bucket"], gram).select("number", "place"))
+    left = asked.select("needle_id", "second", "sought", around).join(sought, ["bucket", "sought"]).select("needle_id", "second", "number")
+    right = here.join(different.join(met, "place"), ["bucket", "text"]).select("text_id", "text_second", "number")
+    left, right = tables.put(left), tables.put(right)
     gap = F.abs(F.col("second") - F.col("text_second"))
-    return joined.where((gap <= seconds) & F.col("text").contains(F.col("needle"))).select("needle_id", "text_id", gap.alias("gap")).distinct()
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        return block_join(left, right, ["number"], tables).where(gap <= seconds).select("needle_id", "text_id", gap.alias("gap"))
+
+    again = [tables.put(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("id"))) for rows, key in ((asked, "needle_id"), (here, "text_id"))]
+    if all(ids.isEmpty() for ids in again):
+        return pairs(left, right)
+
+    def parted(rows: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+        once, more = (rows.join(ids, F.col(key).eqNullSafe(F.col("id")), how) for how in ("left_anti", "left_semi"))
+        return tables.put(once), tables.put(more.distinct())
+
+    (left_once, left_more), (right_once, right_more) = parted(left, "needle_id", again[0]), parted(right, "text_id", again[1])
+    compared = pairs(left_more, right_once).unionAll(pairs(left_more, right_more)).unionAll(pairs(left_once, right_more)).distinct()
+    return pairs(left_once, right_once).unionAll(compared)
 
 
 def pair_sessions(records: DataFrame) -> DataFrame:
